@@ -81,7 +81,7 @@ def grace(records: Iterable[tuple], memory: int = MEMORY, depth: int = 0, folder
             if files is None:
                 table.add(*record)
                 # records of one fingerprint can't be parted by further bits
-                if table.bytes <= memory or shift >= 64 or len({e[0] for e in table.entries[:2]}) < 2 and len({e[0] for e in table.entries}) < 2:
+                if table.bytes <= memory or shift >= 64 or all(e[0] == record[0] for e in table.entries):
                     continue
                 if own is None and folder is None:
                     own = folder = tempfile.mkdtemp(prefix="grace-", dir=_scratch_root())
