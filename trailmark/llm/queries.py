@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, sharding
 from .common import table
 
 
@@ -12,7 +12,17 @@ def op8_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(table(spark, sf_dir, "documents"))
 
 
+def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), sharding.layout(2, 3, 4))
+
+
+def op5_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
+
+
 QUERIES = {
+    "op1_hash_tree_shards": op1_hash_tree_shards,
+    "op5_golden_ratio_mix": op5_golden_ratio_mix,
     "op8_grace_dedup": op8_grace_dedup,
 }
 
