@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, pii, quality, secrets, sharding
 from .common import table
 
 
@@ -20,13 +20,52 @@ def op5_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
+def op10_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
     "op5_golden_ratio_mix": op5_golden_ratio_mix,
+    "op2_crf_pii": op2_crf_pii,
+    "op7_quality_cascade": op7_quality_cascade,
     "op8_grace_dedup": op8_grace_dedup,
+    "op10_owned_secrets": op10_owned_secrets,
 }
 
 ORACLES = {
+    "op7_quality_cascade": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)
+        ), repeated AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n
+            FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows), (VALUES (0), (1), (2)) AS v(k)
+            WHERE c > 1 GROUP BY doc_id
+        ), counts AS (
+            SELECT d.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                   len(ls) AS n_lines, coalesce(n, 0) AS n_repeat_words
+            FROM d LEFT JOIN repeated ON d.doc_id = repeated.doc_id
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+                    OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept
+        FROM counts
+    """,
     "op8_grace_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
