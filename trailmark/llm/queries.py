@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, quality, secrets, sharding
+from . import exact_dedup, mixing, pii, quality, secrets, sharding, warc
 from .common import table
 
 
@@ -32,8 +32,13 @@ def op10_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
+    "op3_warc_round_trip": op3_warc_round_trip,
     "op5_golden_ratio_mix": op5_golden_ratio_mix,
     "op2_crf_pii": op2_crf_pii,
     "op7_quality_cascade": op7_quality_cascade,
@@ -42,6 +47,14 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_warc_round_trip": """
+        WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS bytes FROM pages),
+        f AS (SELECT *, CASE WHEN bytes >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM p)
+        SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM f
+    """,
     "op7_quality_cascade": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
