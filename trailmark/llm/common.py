@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these six ASCII characters.
@@ -83,7 +83,7 @@ def each_slice(batches: Iterable, text: str = "text", limit: int = 4 << 20) -> I
             yield batch.slice(a, b - a), texts[a:b]
 
 
-def gapless(df: DataFrame, group: list[str], order: list, out: str, cells: int, key=None) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], order: list, out: str, cells, key=None) -> DataFrame:
     """Adds out: the row's position in its group, gapless from 0.
 
     A group may hold any share of the rows, so it is dealt over ``cells`` cells by a
@@ -93,7 +93,7 @@ def gapless(df: DataFrame, group: list[str], order: list, out: str, cells: int,
     """
     from pyspark.sql import Window
 
-    cell = F.pmod(F.xxhash64(*(key if key is not None else order)), F.lit(cells)).cast("int")
+    cell = F.pmod(F.xxhash64(*(key if key is not None else order)), cells if isinstance(cells, Column) else F.lit(cells)).cast("int")
     dealt = df.withColumn("_cell", cell)
     sizes = dealt.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

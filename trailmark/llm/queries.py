@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, quality, secrets, sharding, warc
+from . import exact_dedup, huffman, mixing, packing, pii, quality, secrets, sharding, warc
 from .common import table
 
 
@@ -36,11 +36,21 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
     "op3_warc_round_trip": op3_warc_round_trip,
+    "op4_histogram_packing": op4_histogram_packing,
     "op5_golden_ratio_mix": op5_golden_ratio_mix,
     "op2_crf_pii": op2_crf_pii,
+    "op6_huffman_ids": op6_huffman_ids,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_grace_dedup": op8_grace_dedup,
     "op10_owned_secrets": op10_owned_secrets,
