@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
 
-from .common import scratch, text_or_empty
+from .common import scratch, stored, text_or_empty
 from .files import listing, opened
 
 #: Equal payloads of at least so many bytes are written once.
@@ -21,6 +21,8 @@ REVISIT_BYTES = 100
 #: Files are packed into partitions of about so many bytes.
 PARTITION_BYTES = 64 << 20
 RECORDS_PER_FILE = 50_000
+#: Repeated digests (about 100 bytes each) are sent to all executors up to this number.
+MAX_BROADCAST = 200_000
 #: Archives carry a fixed date: equal tables give equal archives.
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,7 +47,8 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     """Writes one record per row. Of equal payloads of at least ``least`` bytes the one
     with the smallest id is a response and the others revisit it; null html is empty.
 
-    A digest that many rows share is split by adaptive execution's skew join. Repeated
+    Only digests that occur twice or more are joined: sent to all executors while they
+    are few, else in a shuffled join whose hot digests adaptive execution splits. Repeated
     rows with the smallest id are all responses.
     """
     payload, url = text_or_empty(f"`{html_col}`"), F.coalesce(F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"[\r\n]+", " "), F.lit(""))
@@ -53,6 +56,9 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload"))
     firsts = pages.select(F.col(f"`{id_col}`").alias("key"), payload.alias("payload")).where(F.octet_length("payload") >= least)
     firsts = firsts.groupBy(F.sha2("payload", 256).alias("digest")).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = stored(firsts, "warc-firsts")
+    if firsts.count() <= MAX_BROADCAST:  # else both sides are shuffled, payloads too
+        firsts = F.broadcast(firsts)
     marked = rows.join(firsts, "digest", "left").withColumn("refers", F.expr("if(first is not null and not (key <=> first), cast(first as string), null)"))
     eol = "\r\n"
     head = F.concat(
