@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, huffman, mixing, packing, pii, quality, secrets, sharding, warc
+from . import exact_dedup, huffman, mixing, near_dedup, packing, pii, quality, secrets, sharding, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.membership(table(spark, sf_dir, "documents"))
+
+
 def op10_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_huffman_ids": op6_huffman_ids,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_grace_dedup": op8_grace_dedup,
+    "op9_lsh_forest": op9_lsh_forest,
     "op10_owned_secrets": op10_owned_secrets,
 }
 
@@ -94,4 +99,24 @@ ORACLES = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_lsh_forest": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM w
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        )
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, min(b) AS component_id, w.doc_id = min(b) AS kept
+        FROM w JOIN reach ON w.doc_id = reach.a LEFT JOIN sizes ON w.doc_id = sizes.doc_id GROUP BY w.doc_id, n
+    """,
 }
