@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,25 +64,23 @@ def n_words(col):
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(texts: list, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts of about limit characters each, so that a batch of
-    very long texts is worked off in bounded pieces."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "") + 64
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def arrow_slices(batches: Iterable, text: str = "text", limit: int = 4 << 20) -> Iterator[tuple]:
+    """(batch slice, its text column with null as empty) of Arrow batches, each of about
+    limit bytes of text, so that a batch of very long texts is worked off in pieces."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(text), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        start = 0
+        while start < len(batch):
+            end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + limit, side="right")))
+            yield batch.slice(start, end - start), texts.slice(start, end - start)
+            start = end
 
 
 def each_slice(batches: Iterable, text: str = "text", limit: int = 4 << 20) -> Iterator[tuple]:
-    """(batch slice, its texts with null as empty) of Arrow batches."""
-    for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        for a, b in slices(texts, limit):
-            yield batch.slice(a, b - a), texts[a:b]
+    """The same with the texts as a list of strings."""
+    for batch, texts in arrow_slices(batches, text, limit):
+        yield batch, texts.to_pylist()
 
 
 def gapless(df: DataFrame, group: list[str], order: list, out: str, cells, key=None) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import each_slice, scratch, stored
+from .common import arrow_slices, scratch, stored
 from .files import opened, written
 
 MAGIC = b"TMHUF01\n"
@@ -95,15 +95,19 @@ def decode_table(lengths: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray
 
 def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Payload and the bit offsets of every LANE-th id."""
+    if not len(ids):
+        return b"", np.zeros(0, np.int64)
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
     starts = ends - size
-    total = int(ends[-1]) if len(ids) else 0
-    wide = codes[ids].astype(np.int64) << (24 - size - (starts & 7))
-    at, out = starts >> 3, np.zeros(total // 8 + 4)
-    for k, shift in enumerate((16, 8, 0)):
-        out += np.bincount(at + k, (wide >> shift) & 255, len(out))
-    return out[: (total + 7) // 8].astype(np.uint8).tobytes(), starts[::LANE]
+    # each code within the 64 bits from its 32-bit word on; every word has a code's start
+    wide = codes[ids].astype(np.uint64) << (64 - size - (starts & 31)).astype(np.uint64)
+    first = np.flatnonzero(np.diff(starts >> 5, prepend=-1))
+    words = np.bitwise_or.reduceat(wide, first)
+    out = np.zeros(len(words) + 1, np.uint64)
+    out[:-1] = words >> np.uint64(32)
+    out[1:] |= words & np.uint64(0xFFFFFFFF)
+    return out.astype(">u4").tobytes()[: (int(ends[-1]) + 7) // 8], starts[::LANE]
 
 
 def decode_block(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -195,43 +199,40 @@ def read_file(uri: str) -> Iterator[tuple]:
 
 
 def tokenised(df: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    """(id, n, ids): ids as unsigned integers, 16 bits where the vocabulary allows."""
+    """(id, n, ids, token, count): rows of documents, ids as unsigned integers (16 bits
+    where the vocabulary allows), and with n null each task's counts, as arrays."""
 
     def run(batches):
         encoder = tokens.encoder(tokenizer)
-        dtype = _dtype(len(encoder.bytes))
-        for batch, texts in each_slice(batches, limit=2 << 20):
+        dtype, total, kind = _dtype(len(encoder.bytes)), np.zeros(len(encoder.bytes), np.int64), None
+        for batch, texts in arrow_slices(batches):
             ids, ends = encoder.encode(texts)
             ids = np.insert(ids, ends[1:], end_id).astype(dtype)
-            ends = (ends + np.arange(len(ends))) * ids.itemsize
-            data = ids.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends) // ids.itemsize), pa.array([data[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], ["id", "n", "ids"])
-
+            total += np.bincount(ids, minlength=len(total))
+            sizes = np.diff(ends) + 1
+            offsets = np.concatenate([[0], np.cumsum(sizes)]) * ids.itemsize
+            data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.tobytes())])
+            none, kind = pa.nulls(len(sizes), pa.list_(pa.int64())), batch.schema.types[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), data, none, none], names)
+        if kind is not None:
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen]), pa.array([total[seen]])], names)
+
+    names = ["id", "n", "ids", "token", "count"]
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, n long, ids binary")
+    return texts.mapInArrow(run, f"id {kind}, n long, ids binary, token array<long>, count array<long>")
 
 
 def _dtype(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
+def id_counts(coded: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs; one number per id of the vocabulary reaches the driver."""
-    dtype = _dtype(vocabulary)
-
-    def count(batches):
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype)
-            for k in range(0, len(ids), 1 << 20):
-                total += np.bincount(ids[k : k + (1 << 20)], minlength=vocabulary)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
-
-    rows = ids.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    pairs = coded.where("token is not null").select(F.explode(F.arrays_zip("token", "count")).alias("p"))
     counts = np.zeros(vocabulary, np.int64)
-    for r in rows:
+    for r in pairs.groupBy("p.token").agg(F.sum("p.count").alias("n")).collect():
         counts[r["token"]] = r["n"]
     return counts
 
@@ -252,7 +253,8 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, id_col: str =
         name = written(f"{path}/part-{part:06d}.huf", file_chunks(batches, codes, lengths, dtype, meta))
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([meta["docs"]], pa.int64()), pa.array([meta["ids"]], pa.int64())], ["file", "part", "docs", "ids"])
 
-    ordered = coded.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    docs = coded.where("n is not null").select("id", "n", "ids")
+    ordered = docs.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     manifest = stored(ordered.mapInArrow(save, "file string, part long, docs long, ids long"), "token-files").where("docs > 0")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))

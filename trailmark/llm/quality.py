@@ -178,11 +178,10 @@ OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 
 def keep(df: DataFrame, text_col: str = "text", order: list[str] | None = None) -> DataFrame:
     """The rows of df that no rule rejects, with all their columns."""
-    order, at = order or plan(df, text_col), df.columns.index(text_col)
+    order = order or plan(df, text_col)
 
     def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
+        for batch, texts in each_slice(batches, text_col):
             yield batch.filter(pa.array(cascade(Features(texts), order)))
 
     return df.mapInArrow(run, df.schema)

@@ -13,9 +13,11 @@ import itertools
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units that a worker remembers; further ones are encoded batch by batch.
-STORE_UNITS = 600_000
+STORE_UNITS = 400_000
 #: So many new units are encoded as one text.
 JOIN = 64
 
@@ -57,49 +59,90 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)  # one character stands for each byte
-        self.slot: dict[str, int] = {}
+        # units by their text: what follows a space without it, anything else after "\x20"
+        self.slot: dict[str, int] = {" ": 0}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)  # unit k's ids end at ends[k + 1]
 
-    def _store(self, words: list[str]) -> None:
+    def _store(self, keys: list[str]) -> np.ndarray:
         """Encodes new units, those that begin with a space joined: where one ends follows
         from the ids' byte lengths, and a joined text costs less than as many short ones."""
-        words.sort(key=_joins, reverse=True)
-        n = sum(map(_joins, words))
-        texts = ["".join(words[i : min(i + JOIN, n)]) for i in range(0, n, JOIN)] + words[n:]
+        after = [i for i, k in enumerate(keys) if k[0] != " "]
+        alone = [i for i, k in enumerate(keys) if k[0] == " "]
+        texts = [" " + " ".join([keys[j] for j in after[i : i + JOIN]]) for i in range(0, len(after), JOIN)] + [keys[i][1:] for i in alone]
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         k, first = len(self.slot), int(self.ends[len(self.slot)])
         total = sum(map(len, lists))
         while first + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(words) >= len(self.ends):
+        while k + len(keys) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, total)
         self.ids[first : first + total] = ids
-        lengths = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        order = after + alone
+        lengths = pc.binary_length(pa.array(keys)).to_numpy()[order] + np.repeat([1, -1], [len(after), len(alone)])
         ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(lengths)) + 1
-        self.ends[k + 1 : k + 1 + len(words)] = first + ends
-        self.slot.update(zip(words, range(k, k + len(words))))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's begin (one end more)."""
-        parts: list[str] = []
-        bounds = [0]
-        for t in texts:
-            if t:
-                parts += units(t)
-            bounds.append(len(parts))
-        slot, held = self.slot, len(self.slot)
-        new = [w for w in set(parts) if w not in slot]
+        self.ends[k + 1 : k + 1 + len(keys)] = first + ends
+        slots = np.empty(len(keys), np.int64)
+        slots[order] = np.arange(k, k + len(keys))
+        self.slot.update(zip(keys, slots.tolist()))
+        return slots
+
+    def _slots(self, keys: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The slots of different keys, and those keys that are new."""
+        slots = np.fromiter(map(self.slot.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(slots < 0)
+        new = [keys[i] for i in missing]
         if new:
-            self._store(new)
-        at = np.fromiter(map(slot.__getitem__, parts), np.int64, len(parts))
+            slots[missing] = self._store(new)
+        return slots, new
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow array of strings (null: none) one after another, and where
+        each text's begin (one end more)."""
+        held = len(self.slot)
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = lists.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        first = np.zeros(len(code), bool)
+        first[bounds[:-1]] = True
+        # a part that is empty or begins with white space belongs to the unit before it
+        loose = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+        odd = np.zeros(len(texts), bool)
+        if loose.any():
+            odd[np.searchsorted(bounds, np.flatnonzero(loose[code] & ~first), side="right") - 1] = True
+        keep = ~loose
+        at, new = np.zeros(len(words), np.int64), []
+        at[keep], new = self._slots([w for w, k in zip(words, keep) if k])
+        at = at[code]
+        heads, where = np.unique(code[bounds[:-1]], return_inverse=True)
+        heads, more = self._slots([" " + words[c] for c in heads])
+        at[bounds[:-1]] = heads[where]
+        new += more
+        if odd.any():
+            parts, sizes = [], []
+            for i in np.flatnonzero(odd):
+                own = units(texts[int(i)].as_py())
+                parts.append([u[1:] if _joins(u) else " " + u for u in own])
+                sizes.append(len(own))
+            different = dict.fromkeys(u for p in parts for u in p)
+            slots, more = self._slots(list(different))
+            new += more
+            different = dict(zip(different, slots.tolist()))
+            slots = np.array([different[u] for p in parts for u in p], np.int64)
+            count = np.diff(bounds)
+            pieces = np.split(at, bounds[1:-1])
+            for i, own in zip(np.flatnonzero(odd), np.split(slots, np.cumsum(sizes)[:-1])):
+                pieces[i], count[i] = own, len(own)
+            at, bounds = np.concatenate(pieces), np.concatenate([[0], np.cumsum(count)])
         size = self.ends[at + 1] - self.ends[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.ends[at] - ends[:-1], size) + np.arange(ends[-1])]
         if held > STORE_UNITS:  # full: this batch's new units are forgotten again
             for w in new:
-                del slot[w]
+                del self.slot[w]
         return ids, ends[bounds]
 
 
