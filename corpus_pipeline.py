@@ -1,22 +1,63 @@
-"""Documents to training sequences, stage by stage."""
+"""Documents to training sequences, stage by stage.
+
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns
+the documents it lets through, with their columns, and the last one the packed pieces.
+Between stages the documents are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import exact_dedup
+from trailmark.llm import exact_dedup, mixing, near_dedup, packing, quality
 from trailmark.llm.common import stored, table
+from trailmark.session import workers_find_package
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a quality rule rejects."""
+    workers_find_package(spark)
+    return quality.keep(docs)
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    workers_find_package(spark)
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    workers_find_package(spark)
+    return near_dedup.deduplicate(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, whole."""
+    workers_find_package(spark)
+    return mixing.mixed(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, placed in sequences."""
+    workers_find_package(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("source_mix", source_mix),
+    ("sequence_packing", sequence_packing),
+]
+
+#: Tokenising and minhashing are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to the documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

@@ -120,14 +120,8 @@ def _scratch_root() -> str | None:
     return local if local and os.path.isdir(local) else None
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
-    """One row per different text: the row with the largest id (all of df's columns,
-    null text as empty), with group_size, n_keep (repeated rows that share that id)
-    and text_sha256.
-
-    Null ids rank below all others. Of repeated rows with the same id and text any one
-    stands for the rest. An empty table gives none.
-    """
+def _groups(df: DataFrame, id_col: str, text_col: str, memory: int) -> tuple[DataFrame, list]:
+    """(fp, text, id, n, n_keep, rest, sha) of each different text, and df's columns in it."""
     others = [c for c in df.columns if c not in (id_col, text_col)]
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(None).cast("struct<c0:int>")
     text = text_or_empty(f"`{text_col}`")
@@ -135,9 +129,19 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory
     partial = one.mapInArrow(lambda it: _merged(it, memory // 4, False), one.schema)
     merged = T.StructType([*one.schema.fields, T.StructField("sha", T.StringType())])
     found = partial.repartition("fp").mapInArrow(lambda it: _merged(it, memory, True), merged)
-    names = dict(zip(others, (f"rest.c{i}" for i in range(len(others)))))
-    cols = [F.col({id_col: "id", text_col: "text"}.get(c) or names[c]).alias(c) for c in df.columns]
-    return found.select(*cols, F.col("n").alias("group_size"), F.col("n_keep"), F.col("sha").alias("text_sha256"))
+    places = {id_col: "id", text_col: "text"} | {c: f"rest.c{i}" for i, c in enumerate(others)}
+    return found, [F.col(places[c]).alias(c) for c in df.columns]
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
+    """df without copies: of equal texts the row with the largest id stays, once, with all
+    its columns; null text comes back as empty.
+
+    Null ids rank below all others. Of repeated rows with the same id and text any one
+    stands for the rest. An empty table gives none.
+    """
+    found, columns = _groups(df, id_col, text_col, memory)
+    return found.select(*columns)
 
 
 def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
@@ -192,12 +196,7 @@ def _batch(entries: list[list], schema: pa.Schema, final: bool) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without copies: of equal texts the row with the largest id stays, once."""
-    return groups(df, id_col, text_col).select(*df.columns)
-
-
-def membership(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def membership(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
     """One row per row of df: id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty. Exactly one row of a group is kept, also where rows are
@@ -207,7 +206,7 @@ def membership(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sha = F.sha2(text_or_empty(f"`{text_col}`"), 256)
     copy = F.row_number().over(Window.partitionBy("id", "text_sha256").orderBy(F.lit(1)))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), sha.alias("text_sha256")).withColumn("copy", copy)
-    kept = groups(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
-    kept = kept.select("text_sha256", F.col("id").alias("keep_id"), "group_size")
+    kept, _ = _groups(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", memory)
+    kept = kept.select(F.col("sha").alias("text_sha256"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
     out = rows.join(kept, "text_sha256")
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
