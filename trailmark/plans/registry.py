@@ -1,7 +1,34 @@
-"""Named queries over the driver's tables, each with its SQL."""
+"""Named queries over the driver's tables, each with the SQL that says the same."""
 
 from __future__ import annotations
 
-FLAGSHIP = "event_cluster_summary"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+FLAGSHIP = "manoeuvre_labels"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a function of (load), load giving tables by name, under its own name."""
+
+    def wrap(build: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(lambda name: table(spark, sf_dir, name))
+
+        run.__name__, run.__doc__ = build.__name__, build.__doc__
+        QUERIES[build.__name__] = run
+        if sql:
+            ORACLES[build.__name__] = sql
+        return build
+
+    return wrap
+
+
+from . import domain, filters_joins, grouped, sequences, texts_nested  # noqa: E402, F401
