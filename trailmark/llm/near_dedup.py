@@ -35,6 +35,8 @@ FIRST_TREES, WINDOW = 8, 16
 #: A sketch has two bits per permutation; the estimate's deviation at .85 is .03.
 SKETCH = 0.73
 ROWS_PER_TASK = 100_000
+#: Bytes of text that are hashed at a time.
+SLICE = 1 << 20
 #: Ids (16 bytes each) that are sent to all executors at most, to filter the texts by.
 MAX_BROADCAST = 1_000_000
 _HASHES = TREES * VALUES
@@ -121,7 +123,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(batches):
     shingler = Shingler()
-    for batch, texts in each_slice(batches):
+    for batch, texts in each_slice(batches, limit=SLICE):
         sets = shingler.sets(texts)
         hi, lo = set_keys(sets)
         values, sketch = signatures(sets)
@@ -238,7 +240,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 
     def shingle(batches):
         shingler = Shingler()
-        for batch, own in each_slice(batches):
+        for batch, own in each_slice(batches, limit=SLICE):
             sets = shingler.sets(own)
             hi, lo = set_keys(sets)
             # an id may be repeated with other texts: only the class's own set counts
