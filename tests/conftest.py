@@ -11,11 +11,11 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    from trailmark.session import local_session, workers_find_package
+    from trailmark.session import local_session, prepare
 
     session = local_session(cores=os.environ.get("TEST_CPUS", "8"), partitions=4, name="trailmark-tests")
     session.sparkContext.setLogLevel("ERROR")
-    workers_find_package(session)
+    prepare(session)
     yield session
     session.stop()
 

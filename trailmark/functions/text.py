@@ -18,7 +18,7 @@ def normalise(text: Column) -> Column:
 
 def beats(text: Column, delimiter: str = BEATS) -> Column:
     """Trimmed parts between delimiters, blank ones left out."""
-    return F.filter(F.transform(F.split(text, delimiter), F.trim), lambda b: b != "")
+    return F.filter(F.transform(F.split(text, delimiter), lambda b: F.trim(b)), lambda b: b != "")
 
 
 def first_connective(beat: Column, strong: list[str], weak: list[str]) -> Column:

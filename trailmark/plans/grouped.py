@@ -173,20 +173,20 @@ def running_means(load):
 
 
 @query("""
-    SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 9) AS mean_discount
+    SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, round(avg(l_discount), 9) AS mean_discount
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
 def pricing_rollup(load):
     revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return load("lineitem").where("l_shipdate <= timestamp '1998-09-02'").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(revenue), 2).alias("revenue"), F.round(F.avg("l_discount"), 9).alias("mean_discount"))
+    return load("lineitem").where("l_shipdate <= timestamp '1998-09-02'").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(revenue), 4).alias("revenue"), F.round(F.avg("l_discount"), 9).alias("mean_discount"))
 
 
 @query("""
-    SELECT n_name, EXTRACT(year FROM o_orderdate) AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_custkey) AS buyers
+    SELECT n_name, EXTRACT(year FROM o_orderdate) AS year, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(DISTINCT o_custkey) AS buyers
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2""")
 def revenue_by_nation_and_year(load):
     suppliers = load("supplier").join(F.broadcast(load("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     joined = load("lineitem").join(load("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.groupBy("n_name", F.year("o_orderdate").cast("long").alias("year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.countDistinct("o_custkey").alias("buyers"))
+    return joined.groupBy("n_name", F.year("o_orderdate").cast("long").alias("year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"), F.countDistinct("o_custkey").alias("buyers"))
 
 
 @query("""

@@ -182,7 +182,7 @@ def _stream(load):
     table = load("events")
     path = table.inputFiles()[0]
     folder, name = os.path.split(path)
-    return streams.stream(table.sparkSession, folder, table.schema, pathGlobFilter=name)
+    return streams.stream(table.sparkSession, folder, table.schema, pathGlobFilter=name).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("""
@@ -190,7 +190,7 @@ def _stream(load):
 def streamed_windows(load):
     """Daily totals by Structured Streaming over what the source holds."""
     out = streams.to_end(streams.tumbling(_stream(load), "ts", "1 day", ["event_type"], "value"), "complete")
-    return out.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")

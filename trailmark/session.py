@@ -24,9 +24,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "trai
     )
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Puts this checkout on the Python workers' path (same machine only; on a
-    cluster ship the package with ``--py-files``)."""
+#: Rows per Arrow batch: rows hold whole documents, and a batch is held on both sides.
+ARROW_ROWS = 500
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings that the queries rely on: small Arrow batches, and this checkout on the
+    Python workers' path (same machine only; on a cluster ship the package with
+    ``--py-files``)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

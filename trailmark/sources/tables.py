@@ -35,7 +35,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 def json_files(spark: SparkSession, path: str, schema: str, key: str = "stem") -> DataFrame:
     """One row per JSON file under path, its file name without suffix as key; files that
     don't parse are skipped."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?(\.gz)?$", 1)
     rows = whole.select(name.alias(key), F.from_json("value", schema).alias("row"), F.try_parse_json("value").isNotNull().alias("ok"))
     return rows.where("ok").select(key, "row.*")
@@ -43,7 +43,7 @@ def json_files(spark: SparkSession, path: str, schema: str, key: str = "stem") -
 
 def broken_json_files(spark: SparkSession, path: str) -> DataFrame:
     """Paths of the files that hold no valid JSON document."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return whole.where(F.try_parse_json("value").isNull()).select(F.col("_metadata.file_path").alias("path"))
 
 
@@ -56,7 +56,7 @@ def marked_lines(lines: DataFrame, marker: str, schema: str, value: str = "value
 
 def quoted_reports(spark: SparkSession, path: str, header: str = "## ") -> DataFrame:
     """Sections of Markdown reports: file, position, title and the block quotes below it."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
     parts = whole.select("file", F.posexplode(F.split(F.concat(F.lit("\n"), "value"), f"\n{header}")).alias("position", "section")).where("position > 0")
     lines = F.split("section", "\n")
     quotes = F.transform(F.filter(lines, lambda x: x.startswith(">")), lambda x: F.trim(F.regexp_replace(x, "^>\\s?", "")))
