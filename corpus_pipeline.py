@@ -11,36 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.llm import exact_dedup, mixing, near_dedup, packing, quality
 from trailmark.llm.common import stored, table
-from trailmark.session import workers_find_package
+from trailmark.session import prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that a quality rule rejects."""
-    workers_find_package(spark)
+    prepare(spark)
     return quality.keep(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    workers_find_package(spark)
+    prepare(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    workers_find_package(spark)
+    prepare(spark)
     return near_dedup.deduplicate(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole."""
-    workers_find_package(spark)
+    prepare(spark)
     return mixing.mixed(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, placed in sequences."""
-    workers_find_package(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 
