@@ -89,6 +89,31 @@ def test_near_membership_matches_brute_force(docs, corpus, monkeypatch, window):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_crowded_regions_are_searched_to_the_end(spark, monkeypatch):
+    """Unlinked relatives of one text crowd every order; links hide among them."""
+    monkeypatch.setattr(near_dedup, "WINDOW", 2)
+    monkeypatch.setattr(near_dedup, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(near_dedup, "CROWD_BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "CROWD_SHINGLES", 10_000)
+    rng = np.random.default_rng(3)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(90):
+        words = list(base)
+        for k in rng.choice(300, 7, replace=False):
+            words[k] = f"x{i}"
+        rows.append((i, " ".join(words)))
+        if i % 5 == 0:
+            words[int(rng.integers(300))] = "y"
+            rows.append((1000 + i, " ".join(words)))
+    want = sorted(brute_near(rows))
+    assert 20 < len({c for _, _, c in want}) < len(rows)
+    searched = []
+    whole = near_dedup.crowd_links
+    monkeypatch.setattr(near_dedup, "crowd_links", lambda *a: searched.append(1) or whole(*a))
+    got = near_dedup.membership(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert searched and sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_near_deduplicate_and_empty(clashing, empty):
     out = near_dedup.deduplicate(clashing)
     assert out.columns == clashing.columns and out.count() < clashing.count()

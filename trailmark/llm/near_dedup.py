@@ -9,9 +9,12 @@ with the longest common prefixes, which is how depth adapts to the region.
 Candidates come in two rounds. The first takes only next neighbours in a few orders; its
 confirmed links already join most groups of copies. The second takes WINDOW neighbours in
 all orders, but only pairs that aren't connected yet, so a group of many copies costs a
-few comparisons a row and not the square of its size. Candidates must pass a length test
-that is exact and a sketch test some four deviations wide before their full sets are
-fetched and compared.
+few comparisons a row and not the square of its size. A region with more rows than the
+window reaches, of which some still aren't connected, is finished in blocks of rows with
+their full sets: all rows outside its largest connected part are held against all others.
+So the window only says what is looked at first; no candidate is left out. Candidates must
+pass a length test that is exact and a sketch test some four deviations wide before full
+sets are compared.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ FIRST_TREES, WINDOW = 8, 16
 #: A sketch has two bits per permutation; the estimate's deviation at .85 is .03.
 SKETCH = 0.73
 ROWS_PER_TASK = 100_000
+#: Rows of a crowded region, and shingles in them, that are held against as many others
+#: in one task.
+CROWD_BLOCK, CROWD_SHINGLES = 2048, 2_000_000
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
 #: Ids (16 bytes each) that are sent to all executors at most, to filter the texts by.
@@ -137,19 +143,32 @@ _NEAR = f"a long, b long, boundary int, tail boolean, {_ROW}"
 
 def _close(tree, key, part, n, sketch, window: int, ratio: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, i + j), j up to window, that may be linked."""
-    same = np.ones(len(tree), bool)
-    same[1:] = (tree[1:] == tree[:-1]) & (key[1:, : 2 * DEPTH] == key[:-1, : 2 * DEPTH]).all(1)
-    region = np.cumsum(~same)
+    region = np.cumsum(_starts(tree, key))
     out = []
     for j in range(1, min(window, len(tree) - 1) + 1):
-        i = np.flatnonzero((region[j:] == region[:-j]) & (part[j:] != part[:-j]) & (100 * np.minimum(n[j:], n[:-j]) >= ratio * np.maximum(n[j:], n[:-j])))
-        x = sketch[i] ^ sketch[i + j]
-        differ = np.bitwise_count((x | x >> 1) & 0x55).sum(1, dtype=np.int64)
-        i = i[1 - differ / _HASHES * 4 / 3 >= SKETCH]
+        i = np.flatnonzero((region[j:] == region[:-j]) & (part[j:] != part[:-j]) & _like_sized(n[j:], n[:-j], ratio))
+        i = i[_alike(sketch[i], sketch[i + j])]
         out.append((i, i + j))
     return out
 
 
+def _starts(tree, key) -> np.ndarray:
+    """Where rows begin that share a tree and DEPTH values with the row before no more."""
+    first = np.zeros(len(tree), bool)
+    first[1:] = (tree[1:] != tree[:-1]) | (key[1:, : 2 * DEPTH] != key[:-1, : 2 * DEPTH]).any(1)
+    return first
+
+
+def _like_sized(n, m, ratio: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= ratio * np.maximum(n, m)
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    z = x ^ y
+    differ = np.bitwise_count((z | z >> 1) & 0x55).sum(1, dtype=np.int64)
+    return 1 - differ / _HASHES * 4 / 3 >= SKETCH
+
+
 def _arrays(batch: pa.RecordBatch):
     m = len(batch)
     blob = lambda name, w: np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(m, w)
@@ -168,6 +187,18 @@ def _neighbours(window: int, ratio: int):
         ab = np.unique(np.stack([a, b], 1), axis=0)
         return pa.table({"a": ab[:, 0], "b": ab[:, 1]})
 
+    def crowds(batch: pa.RecordBatch):
+        """Rows and least and largest part of each region that the window doesn't span,
+        or of which the batch may hold only a part."""
+        tree, key, part, _, _ = _arrays(batch)
+        at = np.concatenate([[0], np.flatnonzero(_starts(tree, key))])
+        size = np.diff(at, append=len(tree))
+        least, most = np.minimum.reduceat(part, at), np.maximum.reduceat(part, at)
+        show = (size > window + 1) & (least != most)
+        show[[0, -1]] = True
+        keys = pa.array([k[: 2 * DEPTH].tobytes() for k in key[at[show]]], pa.binary())
+        return pa.table({"a": least[show], "b": most[show], "tree": pa.array(tree[at[show]], pa.int32()), "key": keys, "n": pa.array(size[show], pa.int64())})
+
     def edge(rows: pa.Table, boundary: int, tail: bool):
         k = len(rows)
         return rows.append_column("boundary", pa.array([boundary] * k, pa.int32())).append_column("tail", pa.array([tail] * k))
@@ -185,6 +216,8 @@ def _neighbours(window: int, ratio: int):
             if not len(batch):
                 continue
             now = pa.Table.from_batches([batch])
+            if window > 1:
+                yield from shaped(crowds(batch))
             if head < window:
                 first = now.slice(0, window - head)
                 head += len(first)
@@ -213,27 +246,30 @@ def _across(window: int, ratio: int):
     return run
 
 
-def candidates(classes: DataFrame, trees: int, window: int, ratio: int = PERCENT) -> DataFrame:
+def _orders(classes: DataFrame, trees: int, values: int, columns: list[str]) -> DataFrame:
+    wide = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "signature", *columns)
+    return wide.select("tree", F.expr(f"substring(signature, tree * {2 * VALUES} + 1, {2 * values})").alias("key"), *columns)
+
+
+def candidates(classes: DataFrame, trees: int, window: int, ratio: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a, b), a < b, of classes (node, part, n, signature, sketch) that
-    lie near each other in one of the first trees orders and not in one part."""
-    wide = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "signature", "node", "part", "n", "sketch")
-    rows = wide.select("tree", F.expr(f"substring(signature, tree * {2 * VALUES} + 1, {2 * VALUES})").alias("key"), "node", "part", "n", "sketch")
+    lie near each other in one of the first trees orders and not in one part; and the
+    regions (tree, key) of more rows than the window reaches that aren't all one part."""
+    rows = _orders(classes, trees, VALUES, ["node", "part", "n", "sketch"])
     tasks = max(1, -(-classes.count() * trees // ROWS_PER_TASK))
     order = rows.repartitionByRange(tasks, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     near = stored(order.mapInArrow(_neighbours(window, ratio), _NEAR), "forest")
-    inside = near.where("a is not null").select("a", "b")
+    inside = near.where("a is not null and tree is null").select("a", "b")
+    runs = near.where("a is not null and tree is not null").groupBy("tree", "key")
+    runs = runs.agg(F.sum("n").alias("n"), F.min("a").alias("least"), F.max("b").alias("most"))
+    crowded = runs.where(f"n > {window + 1} and least <> most").select("tree", "key")
     edges = near.where("a is null").select("boundary", "tail", "tree", "key", "node", "part", "n", "sketch")
     across = edges.groupBy("boundary").applyInArrow(_across(window, ratio), "a long, b long")
-    return inside.union(across).distinct()
-
+    return inside.union(across).distinct(), crowded
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough: (a, b).
 
-    Sets are made again from the texts of the classes that occur in pairs.
-    """
-    pairs = stored(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def shingle_sets(ends: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the classes whose nodes are in ends, made again from a text."""
     wanted = stored(classes.join(ends, "node", "left_semi").select("node", "first", "n", "hi", "lo"), "wanted")
     small = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     texts = docs.join(small, docs["id"].eqNullSafe(wanted["first"])).select("node", "n", "hi", "lo", "text")
@@ -249,13 +285,87 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             ends = pa.array(np.cumsum([0] + [len(sets[i]) for i in right]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), pa.ListArray.from_arrays(ends, values)], ["node", "shingles"])
 
-    sets = stored(texts.mapInArrow(shingle, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    return stored(texts.mapInArrow(shingle, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough: (a, b)."""
+    pairs = stored(pairs, "pairs")
+    sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs)
     left = pairs.join(sets.withColumnRenamed("node", "a"), "a").withColumnRenamed("shingles", "x")
     both = left.join(sets.withColumnRenamed("node", "b"), "b").withColumnRenamed("shingles", "y")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b")
 
 
+def _blockwise(percent: int):
+    """The links between two blocks of a crowded region, or within one."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        tree, _, kind, x, y = (k.as_py() for k in key)
+        node, part, n, main, block = (t.column(c).to_numpy() for c in ("node", "part", "n", "is_main", "block"))
+        blob = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(len(t), -1)
+        sketch, before = blob("sketch"), blob("signature").reshape(len(t), TREES, -1)[:, :tree, : 2 * DEPTH]
+        sets = t.column("shingles").chunk(0)
+        at, values = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
+        left = np.flatnonzero(~main & (block == x))
+        right = np.flatnonzero(main) if kind == 0 else np.flatnonzero(block == y)
+        a, b = [], []
+        for k, i in enumerate(left):
+            j = right[k + 1 :] if kind and x == y else right
+            j = j[(part[j] != part[i]) & _like_sized(n[j], n[i], percent)]
+            j = j[_alike(sketch[j], sketch[i])]
+            j = j[~(before[j] == before[i]).all(2).any(1)]  # else an earlier order has the pair
+            if not len(j):
+                continue
+            own, ends = np.sort(values[at[i] : at[i + 1]]), np.cumsum(n[j])
+            theirs = values[np.arange(ends[-1]) + np.repeat(at[j] - ends + n[j], n[j])]
+            spot = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            common = np.add.reduceat((own[spot] == theirs).astype(np.int64), ends - n[j])
+            linked = j[100 * common >= percent * (n[i] + n[j] - common)]
+            a += [node[i]] * len(linked)
+            b += node[linked].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def crowd_links(classes: DataFrame, regions: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between classes of different parts that share one of regions (tree, key).
+
+    A region's largest part needn't be compared with itself, so a group of copies costs
+    its size times the few rows beside it. A task holds two blocks, whatever the region's
+    size, and only links leave it.
+    """
+    regions = F.broadcast(regions) if regions.count() <= MAX_BROADCAST else regions
+    rows = stored(_orders(classes, TREES, DEPTH, ["node", "part", "n"]).join(regions, ["tree", "key"]), "crowds")
+    sizes = rows.groupBy("tree", "key", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    sizes = sizes.groupBy("tree", "key").agg(F.max(F.struct("rows", "part", "n")).alias("main"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / CROWD_BLOCK), F.ceil(n / CROWD_SHINGLES)).cast("int")
+    mains, others = blocks(F.col("main.rows"), F.col("main.n")), blocks(F.col("rows") - F.col("main.rows"), F.col("n") - F.col("main.n"))
+    sizes = sizes.where("rows > main.rows").select("tree", "key", F.col("main.part").alias("main"), mains.alias("mains"), others.alias("others"))
+    dealt = rows.select("tree", "key", "node", "part").join(sizes, ["tree", "key"]).withColumn("is_main", F.expr("part = main"))
+    dealt = stored(dealt.withColumn("block", F.expr("cast(pmod(xxhash64(node), if(is_main, mains, others)) as int)")), "dealt")
+    sets = shingle_sets(dealt.select("node").distinct(), classes, docs)
+    met = F.expr("""if(is_main, transform(sequence(0, others - 1), k -> struct(0 as kind, k as x, block as y)),
+        concat(transform(sequence(0, mains - 1), k -> struct(0 as kind, block as x, k as y)),
+               transform(sequence(0, others - 1), k -> struct(1 as kind, least(block, k) as x, greatest(block, k) as y))))""")
+    held = ["node", "part", "is_main", "block"]
+    sent = dealt.select("tree", "key", F.explode(met).alias("t"), *held).select("tree", "key", "t.*", *held)
+    sent = sent.join(classes.select("node", "n", "sketch", "signature"), "node").join(sets, "node")
+    return sent.groupBy("tree", "key", "kind", "x", "y").applyInArrow(_blockwise(percent), "a long, b long")
+
+
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with the parts that links (a, b) between their nodes join made one."""
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
+    between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
+    roots = components(stored(between.distinct(), "links")).select(F.col("node").alias("part"), "root")
+    new = classes.join(roots, "part", "left").withColumn("part", F.coalesce("root", "part")).select(*classes.columns)
+    return stored(new, "parts")
+
+
 def membership(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row: id, n_shingles, component_id, kept.
 
@@ -269,17 +379,15 @@ def membership(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     sets = made.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("id").alias("first"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = stored(sets.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    links = stored(confirmed(candidates(classes.withColumn("part", F.col("node")), FIRST_TREES, 1, percent), classes, docs, percent), "links")
-    parts = components(links)
-    joined = stored(classes.join(parts, classes["node"] == parts["node"], "left").select(classes["*"], F.coalesce("root", classes["node"]).alias("part")), "parts")
-    late = confirmed(candidates(joined, TREES, WINDOW, percent), classes, docs, percent)
-    side = lambda c: joined.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
-    contracted = late.join(side("a"), "a").join(side("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
-    roots = components(stored(contracted.distinct(), "late-links"))
-    roots = roots.select(F.col("node").alias("part"), "root")
-    whole = stored(joined.join(roots, "part", "left").select("n", "hi", "lo", "first", F.coalesce("root", "part").alias("root")), "roots")
-    least = whole.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = whole.join(least, "root").select("n", "hi", "lo", "component_id")
+    pairs, _ = candidates(classes.withColumn("part", F.col("node")), FIRST_TREES, 1, percent)
+    joined = _joined(classes.withColumn("part", F.col("node")), confirmed(pairs, classes, docs, percent))
+    pairs, crowded = candidates(joined, TREES, WINDOW, percent)
+    joined = _joined(joined, confirmed(pairs, classes, docs, percent))
+    crowded = stored(crowded, "crowded")
+    if not crowded.isEmpty():
+        joined = _joined(joined, crowd_links(joined, crowded, docs, percent))
+    least = joined.groupBy("part").agg(F.min("first").alias("component_id"))
+    named = joined.join(least, "part").select("n", "hi", "lo", "component_id")
     out = made.select("id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
     found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"))
