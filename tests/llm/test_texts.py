@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -41,6 +42,15 @@ def test_base_pii_samples():
     assert sorted(pii.base_spans(text)) == sorted([("email", 2, 13), ("ip", 15, 26), ("card", 39, 58), ("phone", 59, 76)])
 
 
+def test_base_pii_long_runs_take_linear_time():
+    n = 200_000
+    text = "9" * n + " " + "x" * n + "@ " + "1." * n + " " + "a@" * n + "b.c"
+    began = time.perf_counter()
+    spans = pii.base_spans(text)
+    assert time.perf_counter() - began < 5
+    assert [s for s in spans if s[0] == "email"] == [("email", len(text) - 5, len(text))]
+
+
 @pytest.fixture(scope="module")
 def model():
     return pii.train(pii.labelled_table())
