@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,20 @@ def arrow_slices(batches: Iterable, text: str = "text", limit: int = 4 << 20) ->
             start = end
 
 
+def gathered(batches: Iterable, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together to about limit bytes, for work that gains from more
+    rows at a time than a batch has."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def each_slice(batches: Iterable, text: str = "text", limit: int = 4 << 20) -> Iterator[tuple]:
     """The same with the texts as a list of strings."""
     for batch, texts in arrow_slices(batches, text, limit):

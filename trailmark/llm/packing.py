@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_slices, gapless, stored
+from .common import arrow_slices, gapless, gathered, stored
 
 LENGTH = 1024
 END_ID = 0
@@ -76,7 +76,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def cut(batches):
         encoder = tokens.encoder(tokenizer)
-        for batch, texts in arrow_slices(batches):
+        for batch, texts in arrow_slices(gathered(batches), limit=8 << 20):
             ids, ends = encoder.encode(texts)
             rows, starts, sizes, crcs, totals, held = [], [], [], [], [], []
             for i in range(len(texts)):

@@ -45,6 +45,19 @@ def _joins(unit: str) -> bool:
     return unit[0] == " " and len(unit) > 1 and not unit[1].isspace()
 
 
+def _begins_loose(array: pa.Array, words: list[str]) -> np.ndarray:
+    """Which words are empty or begin with white space; only words whose first byte
+    leaves it open are looked at one by one."""
+    ends = np.frombuffer(array.buffers()[1], np.int32, len(array) + 1, 4 * array.offset)
+    data = np.frombuffer(array.buffers()[2] or b"", np.uint8)
+    loose = ends[1:] == ends[:-1]
+    full = np.flatnonzero(~loose)
+    first = data[ends[:-1][full]]
+    for i in full[(first <= 32) | (first >= 128)]:
+        loose[i] = words[i][0].isspace()
+    return loose
+
+
 class Encoder:
     """Ids of texts for one vocabulary file; no special tokens, and their strings in a
     text are ordinary text."""
@@ -106,10 +119,10 @@ class Encoder:
         bounds -= bounds[0]
         coded = lists.flatten().dictionary_encode()
         words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # a part that is empty or begins with white space belongs to the unit before it
+        loose = _begins_loose(coded.dictionary, words)
         first = np.zeros(len(code), bool)
         first[bounds[:-1]] = True
-        # a part that is empty or begins with white space belongs to the unit before it
-        loose = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
         odd = np.zeros(len(texts), bool)
         if loose.any():
             odd[np.searchsorted(bounds, np.flatnonzero(loose[code] & ~first), side="right") - 1] = True
