@@ -279,7 +279,8 @@ def read(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc_id", w
                 if rows:
                     yield _rows(rows, id_type, with_ids)
 
-    files = manifest.select("file", "start").repartition("file")
+    # a number of its own, or adaptive execution would put all these short rows in one task
+    files = manifest.select("file", "start").repartitionByRange(max(1, manifest.count()), "start")
     return files.mapInArrow(run, f"id {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids).withColumnRenamed("id", id_col)
 
 
