@@ -78,7 +78,7 @@ def arrow_slices(batches: Iterable, text: str = "text", limit: int = 4 << 20) ->
             start = end
 
 
-def gathered(batches: Iterable, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterable, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches put together to about limit bytes, for work that gains from more
     rows at a time than a batch has."""
     held, size = [], 0

@@ -205,7 +205,7 @@ def tokenised(df: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
     def run(batches):
         encoder = tokens.encoder(tokenizer)
         dtype, total, kind = _dtype(len(encoder.bytes)), np.zeros(len(encoder.bytes), np.int64), None
-        for batch, texts in arrow_slices(gathered(batches), limit=8 << 20):
+        for batch, texts in arrow_slices(gathered(batches)):
             ids, ends = encoder.encode(texts)
             ids = np.insert(ids, ends[1:], end_id).astype(dtype)
             total += np.bincount(ids, minlength=len(total))

@@ -76,7 +76,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def cut(batches):
         encoder = tokens.encoder(tokenizer)
-        for batch, texts in arrow_slices(gathered(batches), limit=8 << 20):
+        for batch, texts in arrow_slices(gathered(batches)):
             ids, ends = encoder.encode(texts)
             rows, starts, sizes, crcs, totals, held = [], [], [], [], [], []
             for i in range(len(texts)):
