@@ -108,3 +108,26 @@ def test_append_new_is_idempotent(feed, spark, tmp_path):
     for k in range(2):
         events.append_new(stream, f"{tmp_path}/table", f"{tmp_path}/c{k}", ["id"])
     assert spark.read.parquet(f"{tmp_path}/table").count() == 30
+
+
+@pytest.fixture
+def parts(spark, sf, tmp_path):
+    """Events in several part files, the newest first, over more than 60 days."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    old = e.withColumn("event_id", F.col("event_id") + 1_000_000).withColumn("ts", F.col("ts") - F.expr("interval 200 days"))
+    for rows in (e, old):
+        rows.repartition(2).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("files", [1, 1000])
+def test_streams_read_every_file(spark, parts, monkeypatch, files):
+    from trailmark.plans import registry
+
+    monkeypatch.setattr(events.stream, "__defaults__", (files,))
+    e = spark.read.parquet(f"{parts}/events.parquet")
+    want = e.groupBy("user_id", "event_type").count()
+    assert sorted(registry.QUERIES["streamed_once"](spark, parts).collect()) == sorted(want.collect())
+    days = e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    got = registry.QUERIES["streamed_windows"](spark, parts).select(F.to_date("window_start"), "event_type", "n", F.round("total", 3))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, days.collect()))

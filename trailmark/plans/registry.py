@@ -16,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def query(sql: str | None = None):
-    """Registers a function of (load), load giving tables by name, under its own name."""
+    """Registers a function of (load), load giving tables by name and load.path where they
+    are, under its own name."""
 
     def wrap(build: Callable[[Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(lambda name: table(spark, sf_dir, name))
+            load = lambda name: table(spark, sf_dir, name)
+            load.path = lambda name: f"{sf_dir}/{name}.parquet"
+            return build(load)
 
         run.__name__, run.__doc__ = build.__name__, build.__doc__
         QUERIES[build.__name__] = run

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import sequences as S
 from trailmark.functions.times import micros
 from trailmark.operators import simlog, trajectories
+from trailmark.session import scratch
 from trailmark.streaming import events as streams
 
 from .registry import query
@@ -176,26 +177,25 @@ def event_sessions(load):
 
 
 def _stream(load):
-    """The events table as a stream of files."""
-    import os
-
-    table = load("events")
-    path = table.inputFiles()[0]
-    folder, name = os.path.split(path)
-    return streams.stream(table.sparkSession, folder, table.schema, pathGlobFilter=name).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events table, a file or a folder of part files, as a stream of files."""
+    table, path = load("events"), load.path("events")
+    return streams.stream_table(table.sparkSession, path, table.schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("""
     SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def streamed_windows(load):
     """Daily totals by Structured Streaming over what the source holds."""
-    out = streams.to_end(streams.tumbling(_stream(load), "ts", "1 day", ["event_type"], "value"), "complete")
+    e = _stream(load)
+    out = streams.to_end(streams.tumbling(e, "ts", "1 day", ["event_type"], "value"), "complete", scratch(e.sparkSession, "windows"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streamed_once(load):
-    """Events delivered twice and counted once."""
-    e = _stream(load)
-    once = streams.once(e.unionByName(_stream(load)), ["event_id"], "ts", "60 days")
-    return streams.to_end(once.select("user_id", "event_type", "event_id")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Events delivered twice and counted once, however late: each batch adds to a table
+    the events that it doesn't hold yet."""
+    e = _stream(load).select("user_id", "event_type", "event_id")
+    held, checkpoint = scratch(e.sparkSession, "once"), scratch(e.sparkSession, "once-state")
+    streams.append_new(e.unionByName(e), held, checkpoint, ["event_id"])
+    return e.sparkSession.read.schema(e.schema).parquet(held).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -18,6 +18,15 @@ def stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000
     return reader.parquet(path)
 
 
+def stream_table(spark: SparkSession, path: str, schema, **options) -> DataFrame:
+    """A stream of all files of a Parquet table. A stream reads folders only, so a table of
+    one file is read as that file of its folder."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
+        return stream(spark, path, schema, **options)
+    return stream(spark, jpath.getParent().toString(), schema, pathGlobFilter=jpath.getName(), **options)
+
+
 def tumbling(df: DataFrame, time: str, width: str, group: list[str], value: str, late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Count, sum and mean per window (sliding where slide is given); works on streams and
     tables."""
