@@ -131,3 +131,10 @@ def test_streams_read_every_file(spark, parts, monkeypatch, files):
     days = e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
     got = registry.QUERIES["streamed_windows"](spark, parts).select(F.to_date("window_start"), "event_type", "n", F.round("total", 3))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, days.collect()))
+
+
+def test_streamed_once_leaves_no_rows_on_the_driver(spark, sf, monkeypatch):
+    from trailmark.plans import registry
+
+    monkeypatch.delattr(events, "to_end")
+    assert registry.QUERIES["streamed_once"](spark, sf).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
