@@ -168,6 +168,12 @@ def test_ownership_parts_examples_from_live_ones(spark, empty, clashing):
     assert secrets.scan(empty).count() == 0 and secrets.scan(clashing).count() == clashing.count()
 
 
+def test_many_repositories_of_one_owner_make_a_copy(spark):
+    rows = [(i, f"x {v}", "a", lang) for i, (v, lang) in enumerate([("gh9_Ab3dE6fG7hI8jK9lM0nOp", x) for x in ("en", "de", "fr")] + [("sk-Example1234567890aBcDeF", x) for x in ("en", "de")])]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).orderBy("doc_id").collect()
+    assert [(r.spans, r.n_live, r.n_copied, r.owners, r.repositories) for r in got] == [("", 0, 1, [1], [3])] * 3 + [("owned:2:28", 1, 0, [1], [2])] * 2
+
+
 def test_secret_scan_keeps_base_spans(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in df.collect()}

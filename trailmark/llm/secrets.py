@@ -2,8 +2,8 @@
 
 Every text is scanned for assignments, access key ids and hex strings, and for other
 credential-like candidates. Digests of all values are counted over the corpus by the
-repositories and owners that hold them: what several owners hold is a copied example,
-what one owner alone holds looks live. Candidates that look live become spans of kind
+repositories and owners that hold them: what several owners hold, or one owner in many
+repositories, is a copied example; what one owner alone holds in few of them looks live. Candidates that look live become spans of kind
 ``owned``; spans of the three base kinds always stay.
 """
 
@@ -24,6 +24,8 @@ from .spans import digest, overlaps
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "owned")
 MIN_ENTROPY = 3.5
+#: One owner may hold a live secret in so many repositories, say code and its fork.
+MAX_REPOSITORIES = 2
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
@@ -82,10 +84,13 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([*kept, *cols, pa.array(shas, pa.string()), pa.array(found, _TYPE)], [*batch.schema.names[:-1], "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1) -> DataFrame:
-    """One row per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """One row per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied,
+    owners, repositories.
 
-    A value is live-looking if at most max_owners owners hold it. Null texts are empty;
+    A value is live-looking if at most max_owners owners and max_repositories repositories
+    hold it. owners and repositories are those of the row's values, in order of their
+    places (of equal ones by kind), base values and candidates alike. Null texts are empty;
     null owners count as one owner, null repositories as one repository each.
     """
     repository = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in repository_cols])
@@ -96,13 +101,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     values = seen.where(F.size("found") > 0).select("row", "owner", "repository", F.posexplode("found").alias("at", "span"))
     held = values.groupBy(F.col("span.value").alias("value"), "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = values.select("row", "at", "span.*").join(held, "value").withColumn("live", F.col("owners") <= max_owners)
+    judged = values.select("row", "at", "span.*").join(held, "value").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     per_row = judged.groupBy("row").agg(
         F.array_sort(F.collect_list(F.when((F.col("rank") < 3) | F.col("live"), F.struct("start", "rank", "end")))).alias("spans"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_copied"),
+        F.array_sort(F.collect_list(F.struct("start", "rank", "owners", "repositories"))).alias("counts"),
     )
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     out = seen.join(per_row, "row", "left")
-    return out.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied")])
+    return out.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied")], *[F.coalesce(F.col(f"counts.{c}"), F.array().cast("array<bigint>")).alias(c) for c in ("owners", "repositories")])
