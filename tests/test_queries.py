@@ -51,3 +51,18 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_actor_and_search_has_rows(spark, sf):
+    actors = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
+    assert registry.QUERIES["states_of_every_actor"](spark, sf).count() == 5 * actors
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    searches = registry.QUERIES["search_similarities"](spark, sf)
+    assert searches.count() == e.where("vec_id % 20 = 0").count() * (e.count() - 1)
+
+
+def test_blocks_hold_every_pair_once(spark):
+    from trailmark.operators import joins
+
+    out = joins.all_pairs(spark.range(57).toDF("a"), spark.range(23).toDF("b"), 5)
+    assert out.count() == out.distinct().count() == 57 * 23

@@ -256,6 +256,17 @@ def anchor_similarities(load):
     return e.join(F.broadcast(anchors), F.col("vec_id") != F.col("other")).select("vec_id", "other", F.round(rewards.cosine(F.col("embedding"), F.col("x")), 6).alias("similarity"), (F.col("label") == F.col("l")).alias("same"))
 
 
+@query("""
+    SELECT v.vec_id, c.vec_id AS other, round(list_cosine_similarity(v.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity, v.label = c.label AS same
+    FROM embeddings v JOIN embeddings c ON v.vec_id <> c.vec_id AND c.vec_id % 20 = 0""")
+def search_similarities(load):
+    """Every twentieth vector against all others."""
+    e = load("embeddings").select("vec_id", "label", "embedding")
+    searched = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("other"), F.col("label").alias("l"), F.col("embedding").alias("x"))
+    pairs = joins.all_pairs(e, searched).where("vec_id <> other")
+    return pairs.select("vec_id", "other", F.round(rewards.cosine(F.col("embedding"), F.col("x")), 6).alias("similarity"), (F.col("label") == F.col("l")).alias("same"))
+
+
 @query("SELECT o_custkey AS id, 'big' AS arm FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_custkey, 'small' FROM orders WHERE o_totalprice < 50000")
 def tagged_union(load):
     o = load("orders").select(F.col("o_custkey").alias("id"), "o_totalprice")

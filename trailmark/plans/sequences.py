@@ -148,6 +148,12 @@ def states_over_frames(load):
     return simlog.states_between(a, st, 10, 14, ["x"]).select("actor", F.col("frame").cast("long").alias("frame"), F.round("x", 4).alias("x"))
 
 
+@query(f"WITH {_STATES}, d AS (SELECT actor, unnest(range(10, 15)) AS frame FROM (SELECT DISTINCT actor FROM st)) SELECT d.actor, d.frame, round(x, 4) AS x FROM d LEFT JOIN st ON st.actor = d.actor AND st.frame = d.frame")
+def states_of_every_actor(load):
+    st = _states(load)
+    return simlog.states_between(st.select("actor").distinct(), st, 10, 14, ["x"]).select("actor", F.col("frame").cast("long").alias("frame"), F.round("x", 4).alias("x"))
+
+
 @query(f"WITH {_STATES} SELECT actor, frame, round(last_value(CASE WHEN y > 3 THEN y END IGNORE NULLS) OVER (PARTITION BY actor ORDER BY frame), 4) AS last_y FROM st")
 def last_known_state(load):
     st = _states(load).withColumn("y", F.when(F.col("y") > 3, F.col("y")))
