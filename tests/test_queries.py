@@ -53,6 +53,11 @@ def test_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("name", ["central_differences", "edge_repeating_average", "longest_runs", "running_sums", "unwrapped_angles", "sharpest_window"])
+def test_series_are_not_put_in_one_row(spark, sf, name):
+    assert "collect_list" not in registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_actor_and_search_has_rows(spark, sf):
     actors = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
     assert registry.QUERIES["states_of_every_actor"](spark, sf).count() == 5 * actors

@@ -50,17 +50,18 @@ def running_sum(x: Column) -> Column:
     return F.aggregate(x, start, lambda a, v: F.struct((a["t"] + v).alias("t"), F.concat(a["out"], F.array(a["t"] + v)).alias("out")), lambda a: a["out"])
 
 
-def unwrap(x: Column) -> Column:
-    """Angles without jumps: each step is brought into [-pi, pi), half-turns keep sign."""
+def turn_step(d: Column) -> Column:
+    """A difference of angles brought into [-pi, pi), half-turns keep sign."""
     turn = 2 * math.pi
+    m = F.pmod(d + F.lit(math.pi), F.lit(turn)) - F.lit(math.pi)
+    m = F.when((m == -math.pi) & (d > 0), F.lit(math.pi)).otherwise(m)
+    return F.when(F.abs(d) < math.pi, d).otherwise(m)
 
-    def step(d: Column) -> Column:
-        m = F.pmod(d + F.lit(math.pi), F.lit(turn)) - F.lit(math.pi)
-        m = F.when((m == -math.pi) & (d > 0), F.lit(math.pi)).otherwise(m)
-        return F.when(F.abs(d) < math.pi, d).otherwise(m)
 
+def unwrap(x: Column) -> Column:
+    """Angles without jumps: each step is brought into [-pi, pi), half-turns keep sign."""
     start = F.struct(at(x, 0).alias("v"), F.array(at(x, 0)).alias("out"))
-    grown = F.aggregate(differences(x), start, lambda a, d: F.struct((a["v"] + step(d)).alias("v"), F.concat(a["out"], F.array(a["v"] + step(d))).alias("out")), lambda a: a["out"])
+    grown = F.aggregate(differences(x), start, lambda a, d: F.struct((a["v"] + turn_step(d)).alias("v"), F.concat(a["out"], F.array(a["v"] + turn_step(d))).alias("out")), lambda a: a["out"])
     return F.when(F.size(x) > 0, grown).otherwise(x)
 
 

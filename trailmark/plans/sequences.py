@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import sequences as S
@@ -25,6 +26,19 @@ def _long(df, **arrays):
     return df.select("user_id", F.posexplode(zipped).alias("i", "e")).select("user_id", "i", *[F.round(F.col(f"e.{n}"), 6).alias(n) for n in arrays])
 
 
+def _window():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def _so_far():
+    return _window().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _rows(load, scale=1.0):
+    """user_id, ts, event_id, i and v: windows over these spill, an array of a user can't."""
+    return load("events").select("user_id", "ts", "event_id", (F.row_number().over(_window()) - 1).alias("i"), (F.col("value") / scale).alias("v"))
+
+
 _S = "WITH s AS (SELECT user_id, value AS v, (row_number() OVER w - 1)::INT AS i, (count(*) OVER (PARTITION BY user_id))::INT AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 
 
@@ -32,50 +46,57 @@ _S = "WITH s AS (SELECT user_id, value AS v, (row_number() OVER w - 1)::INT AS i
     SELECT user_id, i, round(CASE WHEN n = 1 THEN 0 WHEN i = 0 THEN lead(v) OVER w - v WHEN i = n - 1 THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END / 0.1, 6) AS slope
     FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)""")
 def central_differences(load):
-    return _long(_series(load), slope=S.gradient(F.col("v"), 0.1))
+    has = [F.coalesce(f(F.lit(1)).over(_window()), F.lit(0)) for f in (F.lag, F.lead)]
+    lo, hi = (F.when(h == 1, f("v").over(_window())).otherwise(F.col("v")) for h, f in zip(has, (F.lag, F.lead), strict=True))
+    slope = F.when(has[0] + has[1] > 0, (hi - lo) / ((has[0] + has[1]) * F.lit(0.1))).otherwise(F.lit(0.0))
+    return _rows(load).select("user_id", "i", F.round(slope, 6).alias("slope"))
 
 
 @query(f"""{_S}
     SELECT a.user_id, a.i, round(avg(b.v), 6) AS smooth FROM s a, (VALUES (-2), (-1), (0), (1), (2)) k(d), s b
     WHERE b.user_id = a.user_id AND b.i = greatest(0, least(a.n - 1, a.i + d)) GROUP BY 1, 2""")
 def edge_repeating_average(load):
-    return _long(_series(load), smooth=S.moving_average(F.col("v"), 5))
+    whole = _window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last, n = F.first("v").over(whole), F.last("v").over(whole), F.count(F.lit(1)).over(whole)
+    at = [F.when(F.col("i") + k < 0, first).when(F.col("i") + k >= n, last).otherwise(F.lead("v", k).over(_window()) if k >= 0 else F.lag("v", -k).over(_window())) for k in range(-2, 3)]
+    return _rows(load).select("user_id", "i", F.round(sum(at, F.lit(0.0)) / 5, 6).alias("smooth"))
 
 
 @query(f"""{_S}, r AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM s WHERE v < 40),
     k AS (SELECT user_id, max(c) AS best FROM (SELECT user_id, g, count(*) AS c FROM r GROUP BY 1, 2) GROUP BY 1)
     SELECT DISTINCT s.user_id, coalesce(best, 0)::INT AS longest FROM s LEFT JOIN k ON s.user_id = k.user_id""")
 def longest_runs(load):
-    return _series(load).select("user_id", S.longest_run(F.transform("v", lambda x: x < 40)).alias("longest"))
+    breaks = F.sum(F.when(F.col("v") < 40, 0).otherwise(1)).over(_so_far())
+    runs = _rows(load).withColumn("run", breaks).groupBy("user_id", "run").agg(F.count_if(F.col("v") < 40).alias("n"))
+    return runs.groupBy("user_id").agg(F.max("n").cast("int").alias("longest"))
 
 
 @query(f"{_S} SELECT user_id, i, round(sum(v) OVER (PARTITION BY user_id ORDER BY i), 6) AS total FROM s")
 def running_sums(load):
-    return _long(_series(load), total=S.running_sum(F.col("v")))
+    return _rows(load).select("user_id", "i", F.round(F.sum("v").over(_so_far()), 6).alias("total"))
 
 
 @query(f"""{_S}, d AS (SELECT user_id, i, v / 20 AS a, v / 20 - lag(v / 20) OVER (PARTITION BY user_id ORDER BY i) AS d FROM s)
     SELECT user_id, i, round(first_value(a) OVER w + coalesce(sum(CASE WHEN abs(d) < pi() THEN d ELSE d - 2 * pi() * floor((d + pi()) / (2 * pi())) END) OVER w, 0), 6) AS angle
     FROM d WINDOW w AS (PARTITION BY user_id ORDER BY i)""")
 def unwrapped_angles(load):
-    return _long(_series(load, scale=20), angle=S.unwrap(F.col("v")))
+    steps = _rows(load, scale=20).withColumn("step", S.turn_step(F.col("v") - F.lag("v").over(_window())))
+    angle = F.first("v").over(_so_far()) + F.coalesce(F.sum("step").over(_so_far()), F.lit(0.0))
+    return steps.select("user_id", "i", F.round(angle, 6).alias("angle"))
 
 
 @query(f"""{_S}, m AS (SELECT user_id, i, v, v - min(v) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS drop, n FROM s)
     SELECT user_id, i AS start, round(drop, 6) AS drop FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY drop DESC, i) AS k FROM m WHERE i + 8 <= n) WHERE k = 1""")
 def sharpest_window(load):
     """The window of eight samples with the largest fall from its first, the earliest such."""
-    v = F.col("v")
-    starts = F.filter(S.indexes(v), lambda i: i + 8 <= F.size(v))
-    drops = F.transform(starts, lambda i: F.struct((S.at(v, i) - F.array_min(F.slice(v, i + 1, 8))).alias("drop"), (-i).alias("neg")))
-    best = F.array_max(drops)
-    return _series(load).withColumn("b", best).where("b is not null").select("user_id", (-F.col("b.neg")).alias("start"), F.round("b.drop", 6).alias("drop"))
+    drop = F.col("v") - F.min("v").over(_window().rowsBetween(0, 7))
+    starts = _rows(load).select("user_id", drop.alias("drop"), (-F.col("i")).alias("neg"), F.lead("i", 7).over(_window()).alias("end")).where("end is not null")
+    best = starts.groupBy("user_id").agg(F.max(F.struct("drop", "neg")).alias("b"))
+    return best.select("user_id", (-F.col("b.neg")).alias("start"), F.round("b.drop", 6).alias("drop"))
 
 
 @query(f"""{_S} SELECT user_id, (i // 20)::BIGINT AS chunk, count(*) AS n, round(avg(v), 6) AS mean FROM s WHERE i // 20 < n // 20 GROUP BY 1, 2""")
 def whole_chunks(load):
-    from pyspark.sql import Window
-
     e = load("events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     return trajectories.chunks(e, ["user_id"], "i", 20).groupBy("user_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
