@@ -53,7 +53,7 @@ def test_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["central_differences", "edge_repeating_average", "longest_runs", "running_sums", "unwrapped_angles", "sharpest_window"])
+@pytest.mark.parametrize("name", ["central_differences", "edge_repeating_average", "longest_runs", "running_sums", "unwrapped_angles", "sharpest_window", "polynomial_rates", "dip_and_recover", "resampled_series", "rank_percentiles"])
 def test_series_are_not_put_in_one_row(spark, sf, name):
     assert "collect_list" not in registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 

@@ -93,12 +93,15 @@ def stop_event(speed: Column, dt: float, below: float = 0.5, seconds: float = 1.
 
 def yield_event(speed: Column, drop: float = 0.3, low: float = 2.0, recovered: float = 0.5) -> Column:
     """A dip before the last sample that is made good by at least ``recovered`` of it."""
-    first, last, dip = at(speed, 0), at(speed, F.size(speed) - 1), F.array_min(speed)
+    dip = F.array_min(speed)
+    return dipped(at(speed, 0), at(speed, F.size(speed) - 1), dip, first_position(speed, dip) < F.size(speed) - 1, drop, low, recovered)
+
+
+def dipped(first: Column, last: Column, dip: Column, inside: Column, drop: float = 0.3, low: float = 2.0, recovered: float = 0.5) -> Column:
+    """The same of the ends, the least and whether it is before the last sample."""
     amount = first - dip
     share = F.when(first > 1e-6, amount / first).otherwise(F.lit(0.0))
-    dropped = (share > drop) | (dip < low)
-    inside = first_position(speed, dip) < F.size(speed) - 1
-    return dropped & inside & (amount > 1e-6) & (F.try_divide(last - dip, amount) >= recovered)
+    return ((share > drop) | (dip < low)) & inside & (amount > 1e-6) & (F.try_divide(last - dip, amount) >= recovered)
 
 
 def savgol_weights(window: int, order: int, deriv: int = 0, step: float = 1.0) -> list[list[float]]:

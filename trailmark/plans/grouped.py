@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import statistics
@@ -56,8 +57,11 @@ def two_level_percentiles(load):
     WITH s AS (SELECT user_id, list(value ORDER BY value) AS v FROM events GROUP BY 1)
     SELECT user_id, v[round_even(0.9 * (len(v) - 1), 0)::INT + 1] AS nearest, v[floor(0.9 * (len(v) - 1))::INT + 1] AS floored FROM s""")
 def rank_percentiles(load):
-    s = load("events").groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return s.select("user_id", statistics.nearest_rank(F.col("v"), 0.9).alias("nearest"), statistics.floor_rank(F.col("v"), 0.9).alias("floored"))
+    w = Window.partitionBy("user_id")
+    last = F.count(F.lit(1)).over(w) - 1
+    e = load("events").select("user_id", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), (0.9 * last).alias("at"))
+    pick = lambda rank: F.max(F.when(F.col("i") == rank, F.col("value")))
+    return e.groupBy("user_id").agg(pick(F.bround("at")).alias("nearest"), pick(F.floor("at")).alias("floored"))
 
 
 @query("""

@@ -106,23 +106,34 @@ def whole_chunks(load):
     SELECT p.user_id, p.i, round(sum(c * s.v), 7) AS rate FROM p JOIN w ON w.j = p.i - a JOIN s ON s.user_id = p.user_id AND s.i = a + k GROUP BY 1, 2""")
 def polynomial_rates(load):
     """Savitzky-Golay first derivative, window 7, order 2."""
-    zipped = F.posexplode(S.savgol(F.col("v"), 7, 2, 1, 0.1)).alias("i", "rate")
-    return _series(load).select("user_id", zipped).withColumn("rate", F.round("rate", 7))
+    n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
+    near = F.array(*[F.lag("v", 6 - k).over(_window()) if k < 6 else F.lead("v", k - 6).over(_window()) for k in range(13)])
+    e = _rows(load).select("user_id", "i", n.alias("n"), near.alias("near")).where("n >= 7")
+    j = (F.col("i") - F.greatest(F.lit(0), F.least(F.col("i") - 3, F.col("n") - 7))).cast("int")
+    weights = F.get(F.array(*[F.array(*[F.lit(w) for w in row]) for row in S.savgol_weights(7, 2, 1, 0.1)]), j)
+    rate = F.aggregate(F.zip_with(F.slice("near", 7 - j, 7), weights, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    return e.select("user_id", "i", F.round(rate, 7).alias("rate"))
 
 
 @query(f"""{_S}, b AS (SELECT user_id, count(*) AS n, arg_min(v, i) AS first, arg_max(v, i) AS last, min(v) AS low, arg_min(i, (v, i)) AS pos FROM s GROUP BY 1)
     SELECT user_id, ((CASE WHEN first > 1e-6 THEN (first - low) / first ELSE 0 END > 0.3 OR low < 2) AND pos < n - 1 AND first - low > 1e-6 AND coalesce((last - low) / nullif(first - low, 0) >= 0.5, false)) AS dipped FROM b""")
 def dip_and_recover(load):
-    return _series(load).select("user_id", F.coalesce(S.yield_event(F.col("v")), F.lit(False)).alias("dipped"))
+    at, v = F.struct("ts", "event_id"), F.col("value")
+    ends = {"first": F.min_by(v, at), "last": F.max_by(v, at), "dip": F.min(F.struct(v.alias("v"), at.alias("at"))), "end": F.max(at)}
+    b = load("events").groupBy("user_id").agg(*[c.alias(n) for n, c in ends.items()])
+    dipped = S.dipped(F.col("first"), F.col("last"), F.col("dip.v"), F.col("dip.at") < F.col("end"))
+    return b.select("user_id", F.coalesce(dipped, F.lit(False)).alias("dipped"))
 
 
 @query(f"""{_S}, g AS (SELECT DISTINCT user_id, n, unnest(range(0, 9)) / 8.0 * (n - 1) AS q FROM s)
     SELECT g.user_id, round(q, 6) AS q, round(a.v + (q - a.i) * (b.v - a.v), 6) AS v FROM g JOIN s a ON a.user_id = g.user_id AND a.i = floor(q) JOIN s b ON b.user_id = g.user_id AND b.i = least(floor(q) + 1, g.n - 1)""")
 def resampled_series(load):
-    s = _series(load).withColumn("x", F.transform(S.indexes(F.col("v")), lambda i: i.cast("double")))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: k / 8.0 * (F.size("v") - 1))
-    s = s.withColumn("q", grid)
-    return s.select("user_id", F.explode(F.arrays_zip("q", S.interpolate(F.col("x"), F.col("v"), F.col("q")).alias("v"))).alias("e")).select("user_id", F.round("e.q", 6).alias("q"), F.round("e.v", 6).alias("v"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
+    e = _rows(load).select("user_id", "i", "v", F.lead("v").over(_window()).alias("next"), n.alias("n"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: k / 8.0 * (F.col("n") - 1))
+    e = e.withColumn("q", F.explode(F.filter(grid, lambda q: F.floor(q) == F.col("i"))))
+    value = F.when(F.col("next").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("q") - F.col("i")) * (F.col("next") - F.col("v")))
+    return e.select("user_id", F.round("q", 6).alias("q"), F.round(value, 6).alias("v"))
 
 
 @query("""
