@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailmark.functions import statistics
 from trailmark.operators import aggregates, joins, mining, rewards, scoring
 
 from .registry import query

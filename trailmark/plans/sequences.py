@@ -14,18 +14,6 @@ from trailmark.streaming import events as streams
 from .registry import query
 
 
-def _series(load, value="value", scale=1.0):
-    """One array per user, in event order."""
-    items = F.sort_array(F.collect_list(F.struct("ts", "event_id", (F.col(value) / scale).alias("v"))))
-    return load("events").groupBy("user_id").agg(items.alias("s")).select("user_id", F.transform("s", lambda x: x["v"]).alias("v"))
-
-
-def _long(df, **arrays):
-    """Arrays side by side, one row per position."""
-    zipped = F.arrays_zip(*[c.alias(n) for n, c in arrays.items()])
-    return df.select("user_id", F.posexplode(zipped).alias("i", "e")).select("user_id", "i", *[F.round(F.col(f"e.{n}"), 6).alias(n) for n in arrays])
-
-
 def _window():
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
