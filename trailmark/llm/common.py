@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -76,6 +77,12 @@ def each_slice(batches: Iterable, text: str = "text", limit: int = 4 << 20) -> I
         yield batch, texts.to_pylist()
 
 
+def cells_for(rows: int) -> int:
+    """Cells for a group of so many rows: the root of it, so that cells and rows in a cell
+    both stay few."""
+    return max(1, math.isqrt(rows))
+
+
 def gapless(df: DataFrame, group: list[str], order: list, out: str, cells, key=None) -> DataFrame:
     """Adds out: the row's position in its group, gapless from 0.
 

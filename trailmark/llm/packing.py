@@ -18,12 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_slices, gapless, gathered, stored
+from .common import arrow_slices, cells_for, gapless, gathered, stored
 
 LENGTH = 1024
 END_ID = 0
-#: Ranks of full pieces, any share of all, are counted in more cells than others.
-FULL_CELLS, CELLS = 1024, 8
 
 
 def pack_histogram(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -100,14 +98,17 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
 def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and
-    ids). An empty table gives none; repeated rows are packed each for itself."""
+    ids). An empty table gives none; repeated rows are packed each for itself, null and empty
+    texts as the end id alone, and a text of any length as its pieces. Pieces of one length
+    are ranked in as many cells as a cell has pieces, so neither the cells nor what one of
+    them holds grows as fast as the corpus."""
     cut = stored(pieces(df, tokenizer or tokens.default_path(), id_col, text_col, length, end_id, with_ids), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     plan = blocks(pack_histogram(counts, length))
     table = df.sparkSession.createDataFrame(plan, "length long, first long, last long, times long, sequence long, base long")
     if len(plan) <= 200_000:  # a matter of the sequence length, not of the corpus
         table = F.broadcast(table)
-    cells = F.when(F.col("length") == length, FULL_CELLS).otherwise(CELLS)
+    cells = F.get(F.array(*[F.lit(cells_for(counts.get(n, 0))) for n in range(length + 1)]), F.col("length").cast("int"))
     ranked = gapless(cut, ["length"], [F.col("id"), F.col("start"), F.col("ids_crc32")], "rank", cells, key=[F.col("id"), F.col("start")])
     placed = ranked.join(table, "length").where("rank between first and last")
     at = F.expr("rank - first")

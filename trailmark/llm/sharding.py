@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, text_or_empty
+from .common import cells_for, gapless, text_or_empty
 
-#: Rows of a shard are numbered by so many cells, whatever the table's size.
+#: Rows of a shard are numbered in so many cells at least; in a large table in more.
 CELLS = 512
 
 
@@ -58,12 +58,15 @@ def place(key: Column, leaves: list[Leaf], seed: str = "tree") -> Column:
     return F.element_at(F.split(path, "/"), 3).cast("int")
 
 
-def shard(df: DataFrame, leaves: list[Leaf], id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
+def shard(df: DataFrame, leaves: list[Leaf], id_col: str = "doc_id", text_col: str = "text", cells: int | None = None) -> DataFrame:
     """One row per row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``key``. Size is the text's UTF-8 bytes plus 8 (null text: 8, crc 0).
-    Slots are gapless from 0 in each shard; repeated rows get slots of their own.
+    Slots are gapless from 0 in each shard; repeated rows get slots of their own, and an
+    empty table gives none. Cells are by id: rows that share one id, null ids too, are
+    numbered in one task, which sorts ids and checksums only.
     """
+    cells = cells or max(CELLS, cells_for(df.count()))
     text, key = text_or_empty(f"`{text_col}`"), F.col(f"`{id_col}`")
     rows = df.select(
         key.alias(id_col),

@@ -4,7 +4,9 @@ A text is cut before every space that a non-space follows: a byte-level pre-toke
 always begins a piece there, so the cut-off units can be encoded on their own and the
 ids simply joined. Each different unit is encoded once per batch or taken from a bounded
 store that lasts as long as the Python worker.
-The vocabulary must be byte-level BPE, one character of a token for each byte.
+The vocabulary must be byte-level BPE, one character of a token for each byte. The library
+takes a vocabulary's added tokens (``<|endoftext|>``) out of a text before it cuts the rest,
+so the few texts that hold such a string are encoded whole.
 """
 
 from __future__ import annotations
@@ -59,15 +61,16 @@ def _begins_loose(array: pa.Array, words: list[str]) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts for one vocabulary file; no special tokens, and their strings in a
-    text are ordinary text."""
+    """Ids of texts for one vocabulary file, as the library's ``encode(text,
+    add_special_tokens=False)`` gives them: no tokens are put in, and the strings of added
+    tokens in a text are those tokens."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -113,8 +116,23 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow array of strings (null: none) one after another, and where
         each text's begin (one end more)."""
+        texts = pc.fill_null(texts, "")
+        marked = np.zeros(len(texts), bool)
+        for token in self.added:
+            marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._encode(texts)
+        ids, ends = self._encode(pc.if_else(pa.array(marked), "", texts))
+        parts = np.split(ids, ends[1:-1])
+        whole = self.tokenizer.encode_batch_fast(texts.filter(pa.array(marked)).to_pylist(), add_special_tokens=False)
+        for i, e in zip(np.flatnonzero(marked), whole):
+            parts[i] = np.array(e.ids, np.uint32)
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts that hold no added token."""
         held = len(self.slot)
-        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        lists = pc.split_pattern(texts, " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = lists.flatten().dictionary_encode()
