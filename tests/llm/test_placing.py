@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,17 +8,22 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from trailmark.llm import huffman, mixing, packing, sharding, tokens
 
 PATH = tokens.default_path()
 
 
-def brute_ids(texts):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    return Tokenizer.from_file(PATH)
+
+
+def brute_ids(texts):
+    t = tokenizer()
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -56,6 +62,40 @@ def test_weights_shape_shards_and_confine_movement(spark):
     assert {r.c for r in rows if r.c != r.a} == {8}
 
 
+def brute_place(key, leaves, seed="tree"):
+    import math
+
+    import xxhash
+
+    node = ""
+    for level in range(3):
+        weight = defaultdict(float)
+        for x in leaves:
+            parts = [str(x.region), str(x.rack), str(x.shard)]
+            if "/".join(parts[:level]) == node:
+                weight["/".join(parts[: level + 1])] += x.weight
+        best = None
+        for path, w in weight.items():
+            h = 42
+            for part in [] if key is None else [key.to_bytes(8, "little", signed=True)]:
+                h = xxhash.xxh64_intdigest(part, h)
+            for part in (path.encode(), seed.encode()):
+                h = xxhash.xxh64_intdigest(part, h)
+            draw = -math.log(((h >> 11) + 0.5) / 2**53) / w
+            best = min(best or (draw, path), (draw, path))
+        node = best[1]
+    return int(node.split("/")[2])
+
+
+def test_places_match_brute_force(spark, sf):
+    """The whole table, recomputed one key at a time."""
+    leaves = sharding.layout(2, 3, 4)
+    for r in sharding.shard(spark.read.parquet(f"{sf}/documents.parquet"), leaves).collect():
+        assert (r.shard, r.grown_shard) == (brute_place(r.doc_id, leaves), brute_place(r.doc_id, sharding.grown(leaves)))
+    (r,) = spark.range(1).select(sharding.place(F.lit(None).cast("long"), leaves).alias("s")).collect()
+    assert r.s == brute_place(None, leaves)
+
+
 def test_sharding_empty_and_clashing(empty, clashing):
     assert sharding.shard(empty, sharding.layout(2, 3, 4)).count() == 0
     assert sharding.shard(clashing, sharding.layout(2, 3, 4)).count() == clashing.count()
@@ -96,10 +136,9 @@ def test_targets_share_everything_below_the_cap(sources):
     assert not open_ or max(open_) == pytest.approx(min(open_))
 
 
-def test_schedule_interleaves_evenly(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "CHUNK", 64)
+def test_schedule_interleaves_evenly(spark):
     need = [300, 120, 5]
-    rows = sorted(mixing.schedule(spark, need).collect())
+    rows = sorted(mixing.schedule(spark, need, chunk_slots=64).collect())
     by = defaultdict(list)
     for r in rows:
         by[r.src].append((r.slot, r["rank"]))
@@ -110,6 +149,65 @@ def test_schedule_interleaves_evenly(spark, monkeypatch):
     assert abs(first[0] - 150) <= 4 and abs(first[1] - 60) <= 4
 
 
+def brute_slots(need):
+    """The schedule, slot by slot: (source, rank) of each."""
+    total, left, out = sum(need), [0] * len(need), []
+    ends = [sum(need[: k + 1]) / total for k in range(len(need))]
+    for t in range(total):
+        point = ((t + 1) * 0x9E3779B97F4A7C15 % 2**64) / 2**64
+        s = next((k for k, e in enumerate(ends) if point < e), len(ends) - 1)
+        if left[s] < need[s]:
+            out.append((t, s, left[s]))
+        left[s] += 1
+    return out + [(total + r, s, r) for s in range(len(need)) for r in range(min(left[s], need[s]), need[s])]
+
+
+def test_schedule_matches_brute_force(spark):
+    for need in ([30, 12, 5, 0, 1], [100], [7, 7, 7]):
+        assert sorted(tuple(r) for r in mixing.schedule(spark, need, chunk_slots=32).collect()) == sorted(brute_slots(need))
+
+
+def test_documents_follow_the_points(docs, clashing):
+    """Other points give another order and the same amounts."""
+    read = lambda points: {(r.doc_id, r["size"], r.taken): (r.slot, r.slot_offset) for r in mixing.mix(docs, block=64, points=points).collect()}
+    in_turn = lambda first, n: np.arange(first, first + n) % 997 / 997
+    golden = read(mixing.golden)
+    assert all((v[0] is None) == (k[2] == 0) for k, v in golden.items())
+    order = [(r.doc_id, r.text) for r in mixing.mixed(clashing, block=64).collect()]
+    other = read(in_turn)
+    assert golden.keys() == other.keys() and golden != other
+    again = [(r.doc_id, r.text) for r in mixing.mixed(clashing, block=64, points=in_turn).collect()]
+    assert Counter(order) == Counter(again) and order != again
+
+
+def test_mixed_corpus_lies_in_the_order_of_slots(docs, spark):
+    places = defaultdict(set)
+    for r in mixing.mix(docs, block=64).where("slot is not null").collect():
+        places[r.doc_id].add((r.slot, r.slot_offset))
+    first = {}
+    for i, r in enumerate(mixing.mixed(docs, block=64).collect()):
+        first.setdefault(r.doc_id, i)
+    once = [d for d in first if len(places[d]) == 1]
+    by_slot = sorted(once, key=lambda d: min(places[d]))
+    assert len(once) > 100 and by_slot == sorted(once, key=first.get)
+
+
+def test_repeated_rows_are_taken_each_for_itself(spark):
+    rows = [(1, "a b c d", "x", k) for k in range(9)] + [(2, "e f g h i", "y", 0), (None, "j k", None, 1), (None, None, "j k", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int")
+    taken = Counter()
+    for r in mixing.mix(df, block=4).collect():
+        taken[r.doc_id] += round(r.taken / r["size"]) if r["size"] else 0
+    out = mixing.mixed(df, block=4).collect()
+    assert Counter(r.doc_id for r in out) == +taken and {r.copy for r in out if r.doc_id == 1} <= set(range(9))
+
+
+def test_too_many_sources_are_refused(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(docs)
+
+
 def test_mixed_rows_and_empty(clashing, empty, spark):
     out = mixing.mixed(clashing, block=64)
     assert out.columns == clashing.columns and out.count() > 0
@@ -131,6 +229,13 @@ def test_units_encode_like_whole_texts(texts):
     assert all("".join(tokens.units(t)) == t for t in texts)
 
 
+def test_added_tokens_are_themselves():
+    import pyarrow as pa
+
+    ids, ends = tokens.encoder(PATH).encode(pa.array(["a b", "a <|endoftext|> b", None, "<|endoftext|>"]))
+    assert ends.tolist() == [0, 2, 6, 6, 7] and ids.tolist() == [64, 275, 64, 220, 50256, 275, 50256]
+
+
 def test_a_full_store_changes_nothing(monkeypatch):
     import pyarrow as pa
 

@@ -17,7 +17,7 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
