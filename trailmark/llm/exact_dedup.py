@@ -27,13 +27,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import each_slice, text_or_empty
 
 FANOUT_BITS = 4
 MEMORY = 96 << 20
 _MASK = (1 << 64) - 1
 
 
+def weight(value) -> int:
+    """About the bytes that a record's other columns take as Python objects."""
+    if value is None:
+        return 0
+    if isinstance(value, (str, bytes)):
+        return 80 + 2 * len(value)
+    if isinstance(value, dict):
+        return 200 + sum(80 + weight(v) for v in value.values())
+    if isinstance(value, (list, tuple)):
+        return 80 + sum(16 + weight(v) for v in value)
+    return 32
+
+
 class ContentTable:
     """Open addressing with linear probing; one entry per different content."""
 
@@ -53,12 +66,13 @@ class ContentTable:
                 if key == entry[2]:
                     entry[4] += n_keep
                 elif entry[2] is None or (key is not None and key > entry[2]):
+                    self.bytes += weight(rest) - weight(entry[5])
                     entry[2], entry[4], entry[5] = key, n_keep, rest
                 return
             at = at + 1 & mask
         self.slots[at] = len(self.entries)
         self.entries.append([fp, content, key, rows, n_keep, rest])
-        self.bytes += 2 * len(content) + 400
+        self.bytes += 2 * len(content) + 400 + weight(rest)
         if 2 * len(self.entries) > len(self.slots):
             self._grow()
 
@@ -138,15 +152,16 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     its columns; null text comes back as empty.
 
     Null ids rank below all others. Of repeated rows with the same id and text any one
-    stands for the rest. An empty table gives none.
+    stands for the rest. An empty table gives none. A text of any length is one record;
+    the memory budget counts the other columns too.
     """
     found, columns = _groups(df, id_col, text_col, memory)
     return found.select(*columns)
 
 
 def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        fps, texts, ids, ns, keeps = (batch.column(i).to_pylist() for i in range(5))
+    for batch, texts in each_slice(batches):
+        fps, ids, ns, keeps = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
         rest = batch.column(5)
         plain = rest.null_count == len(rest)
         for i, fp in enumerate(fps):
@@ -167,7 +182,7 @@ def _merged(batches, memory: int, final: bool):
     held, size = [], 0
     for e in entries:
         held.append(e)
-        size += len(e[1]) + 200
+        size += len(e[1]) + 200 + weight(e[5])
         if size > 4 << 20:
             yield _batch(held, schema, final)
             held, size = [], 0

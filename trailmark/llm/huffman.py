@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from . import tokens
 from .common import arrow_slices, gathered, scratch, stored
@@ -261,7 +263,9 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, id_col: str =
 
 
 def read(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """One row per document from the files: id, start, n_tokens, ids_crc32 (and ids)."""
+    """One row per document from the files: id, start, n_tokens, ids_crc32 (and ids).
+    id_type is the ids' Spark type."""
+    kind = to_arrow_type(_parse_datatype_string(id_type))
 
     def run(batches):
         for batch in batches:
@@ -274,18 +278,18 @@ def read(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc_id", w
                     rows.append((doc, start, n, crc, b"".join(p.astype("<u4").tobytes() for p in parts) if with_ids else None))
                     start, size = start + n, size + 4 * n
                     if size > 8 << 20:
-                        yield _rows(rows, id_type, with_ids)
+                        yield _rows(rows, kind, with_ids)
                         rows, size = [], 0
                 if rows:
-                    yield _rows(rows, id_type, with_ids)
+                    yield _rows(rows, kind, with_ids)
 
     # a number of its own, or adaptive execution would put all these short rows in one task
     files = manifest.select("file", "start").repartitionByRange(max(1, manifest.count()), "start")
     return files.mapInArrow(run, f"id {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids).withColumnRenamed("id", id_col)
 
 
-def _rows(rows: list[tuple], id_type: str, with_ids: bool) -> pa.RecordBatch:
-    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type], pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+def _rows(rows: list[tuple], id_type: pa.DataType, with_ids: bool) -> pa.RecordBatch:
+    kinds = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = ["id", "start", "n_tokens", "ids_crc32", "ids"]
     k = 4 + with_ids
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(k)], names[:k])
