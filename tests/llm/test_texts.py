@@ -216,6 +216,8 @@ def brute_quality(text):
     n, chars, symbols, dup, repeat = len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(cover)
     failed = n < 50 or 100 * repeat > 50 * n
     kept = not failed and 2 * n <= chars <= 20 * n and 100 * symbols <= 20 * n and 100 * dup <= 50 * len(lines)
+    kept = kept and 100 * len(re.findall("[0-9]", text)) <= 30 * chars and 100 * sum(not re.search(r"[A-Za-z]|[^\x00-\x7f]", w) for w in words) <= 30 * n
+    kept = kept and max(map(len, words)) <= 1000
     return n, chars, symbols, dup, repeat, failed, kept
 
 
@@ -226,6 +228,14 @@ def test_scores_match_brute_force(docs, corpus, spark, sf):
         assert Counter(tuple(r) for r in quality.score(df).collect()) == want
 
 
+def test_rules_of_their_own_see_survivors_only():
+    plain = "wonder over hills and far away "
+    texts = ["short text", plain * 12 + "x" * 1001, " ".join(f"w{i} {i}" for i in range(60)), " ".join(f"abcde{i}fgh" for i in range(60)), " ".join(f"{a}{b}" for a in "abcdefgh" for b in "qrstuvwxyz")]
+    f = quality.Features(texts)
+    assert quality.cascade(f, list(quality.RULES)).tolist() == [brute_quality(t)[-1] for t in texts] == [False, False, False, True, True]
+    assert not f.known["digits"][0] and f.known["digits"][3]
+
+
 def test_order_changes_no_verdict(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     orders = [quality.plan(df), list(quality.RULES), list(quality.RULES)[::-1]]
@@ -237,6 +247,7 @@ def test_order_changes_no_verdict(spark, sf):
 def test_cascade_stops_early():
     f = quality.Features(["short text", "word " * 60 + "other words " * 3])
     quality.cascade(f, ["few_words", "repeats", "symbols"])
+    assert "digits" not in f.known
     assert f.known["repeats"].tolist() == [False, True] and "symbols" not in f.known
 
 
@@ -289,6 +300,40 @@ def test_secret_scan_keeps_base_spans(spark, sf):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, *_ in base) for x in secrets.BASE)
 
 
+def test_owned_spans_match_brute_force(spark, sf):
+    """Every column of the whole table, with some planted candidates, from plain loops."""
+    import math
+
+    own = [(-1 - i, f"see {v} there", s, lang) for i, (v, s, lang) in enumerate([("gh9_Ab3dE6fG7hI8jK9lM0nOp", "p", "en"), ("gh9_Ab3dE6fG7hI8jK9lM0nOp", "p", "de"), ("sk-Example1234567890aBcDeF", "p", None), ("sk-Example1234567890aBcDeF", None, None), ("Zx" * 12, "q", "en")])]
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", "lang")
+    df = df.union(spark.createDataFrame(own, "doc_id long, text string, source string, lang string"))
+    rows, owners, places, held = df.collect(), {}, {}, {}
+    for r in rows:
+        text, spans = r.text or "", []
+        for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+            spans += [("assign", *m.span(), m[2])] if len(m[2]) >= 8 else []
+        spans += [("access", *m.span(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        spans += [("hex", *m.span(), m[0]) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+        base = list(spans)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            entropy = -sum(n / len(m[0]) * math.log2(n / len(m[0])) for n in Counter(m[0]).values())
+            mixed = re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])
+            if mixed and entropy >= 3.5 and not any(a < m.end() and m.start() < b for _, a, b, _ in base):
+                spans.append(("owned", *m.span(), m[0]))
+        held[r.doc_id] = spans
+        for *_, v in spans:
+            owners.setdefault(v, set()).add(r.source)
+            places.setdefault(v, set()).add((r.source, r.lang))
+    live = {v for v in owners if len(owners[v]) <= 1 and len(places[v]) <= 2}
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    assert len(got) == len(rows) and sum("owned" in r.spans for r in got.values()) >= 2
+    for i, spans in held.items():
+        spans.sort(key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+        shown = ",".join(f"{k}:{a}:{b}" for k, a, b, v in spans if k != "owned" or v in live)
+        want = (shown, sum(v in live for *_, v in spans), sum(v not in live for *_, v in spans), [len(owners[v]) for *_, v in spans], [len(places[v]) for *_, v in spans])
+        assert (got[i].spans, got[i].n_live, got[i].n_copied, got[i].owners, got[i].repositories) == want
+
+
 # ---- WARC
 
 

@@ -4,11 +4,13 @@ A sample tells what each rule costs and which texts it rejects; rules then run i
 order of rejection per cost among what the rules before them let through, and a text
 meets no further rule once one rejects it. The order changes the work only: a text is
 kept exactly if no rule rejects it. Features are computed when the first rule asks for
-them, and only for the texts that are still in.
+them, and only for the texts that are still in. ``score`` reports some features of every
+text; those of the rules in OWN are never computed for a text that is already out.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from collections import Counter
 from collections.abc import Callable
@@ -27,6 +29,11 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 20
 MAX_DUP_LINE_PERCENT = 50
 WORD_LENGTHS = (2, 20)
+MAX_DIGIT_PERCENT = 30
+MAX_BARE_WORD_PERCENT = 30
+LONGEST_WORD = 1000
+_CLASSES = bytes(32 if c in b" \t\n\x0b\x0c\r" else 97 if c >= 128 or chr(c).isalpha() else 46 for c in range(256))
+_BARE = re.compile(rb"(?<![^ ])\.+(?![^ ])")
 
 
 def word_features(data: bytes, text: str) -> tuple[int, int]:
@@ -58,6 +65,18 @@ def repeat_feature(data: bytes) -> int:
     return int(cover.sum())
 
 
+def bare_feature(data: bytes) -> int:
+    """Words without an ASCII letter or a character beyond ASCII."""
+    return len(_BARE.findall(data.translate(_CLASSES)))
+
+
+def longest_feature(data: bytes) -> int:
+    """Code points of the longest word, exact where it may exceed LONGEST_WORD."""
+    words = data.split()
+    most = max(map(len, words), default=0)
+    return most if most <= LONGEST_WORD else max(len(w.decode()) for w in words)
+
+
 class Features:
     """A slice's features, each computed once for the rows that are asked for."""
 
@@ -83,7 +102,12 @@ FEATURES: dict[str, tuple[int, Callable]] = {
     "symbols": (1, lambda data, text: symbol_feature(data)),
     "lines": (2, lambda data, text: line_features(data)),
     "repeats": (1, lambda data, text: repeat_feature(data)),
+    "digits": (1, lambda data, text: len(data) - len(data.translate(None, b"0123456789"))),
+    "bare": (1, lambda data, text: bare_feature(data)),
+    "longest": (1, lambda data, text: longest_feature(data)),
 }
+#: Those that ``score`` reports.
+REPORTED = ("words", "symbols", "lines", "repeats")
 
 
 def _few_words(f: Features, rows):
@@ -108,9 +132,32 @@ def _repeats(f: Features, rows):
     return 100 * f.get("repeats", rows)[:, 0] > MAX_REPEAT_PERCENT * f.get("words", rows)[:, 0]
 
 
+def _digits(f: Features, rows):
+    return 100 * f.get("digits", rows)[:, 0] > MAX_DIGIT_PERCENT * f.get("words", rows)[:, 1]
+
+
+def _bare_words(f: Features, rows):
+    return 100 * f.get("bare", rows)[:, 0] > MAX_BARE_WORD_PERCENT * f.get("words", rows)[:, 0]
+
+
+def _long_word(f: Features, rows):
+    return f.get("longest", rows)[:, 0] > LONGEST_WORD
+
+
 #: name -> rows that it rejects. The first two are the base rules.
-RULES: dict[str, Callable] = {"few_words": _few_words, "repeats": _repeats, "word_length": _word_length, "symbols": _symbols, "dup_lines": _dup_lines}
+RULES: dict[str, Callable] = {
+    "few_words": _few_words,
+    "repeats": _repeats,
+    "word_length": _word_length,
+    "symbols": _symbols,
+    "dup_lines": _dup_lines,
+    "digits": _digits,
+    "bare_words": _bare_words,
+    "long_word": _long_word,
+}
 BASE = ("few_words", "repeats")
+#: Rules whose features are computed for survivors alone.
+OWN = ("digits", "bare_words", "long_word")
 
 
 def cascade(f: Features, order: list[str]) -> np.ndarray:
@@ -156,13 +203,15 @@ def plan(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS)
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
     """One row per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept. Null and empty texts have no words and fail."""
+    base_failed, kept. Null and empty texts have no words and fail; repeated rows get the
+    same each, and an empty table none. A text of any length is read whole. Shares equal to
+    a limit pass."""
     order = order or plan(df, text_col)
 
     def run(batches):
         for batch, texts in each_slice(batches):
             f, rows = Features(texts), np.arange(len(texts))
-            words, symbols, lines, repeats = (f.get(n, rows) for n in FEATURES)
+            words, symbols, lines, repeats = (f.get(n, rows) for n in REPORTED)
             failed = np.zeros(len(texts), bool)
             for name in BASE:
                 failed |= RULES[name](f, rows)
@@ -177,7 +226,8 @@ OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 
 
 def keep(df: DataFrame, text_col: str = "text", order: list[str] | None = None) -> DataFrame:
-    """The rows of df that no rule rejects, with all their columns."""
+    """The rows of df that no rule rejects, with all their columns; null and empty texts
+    go, repeated rows stay or go together."""
     order = order or plan(df, text_col)
 
     def run(batches):

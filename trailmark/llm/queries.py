@@ -85,13 +85,15 @@ ORACLES = {
         ), counts AS (
             SELECT d.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
                    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-                   len(ls) AS n_lines, coalesce(n, 0) AS n_repeat_words
+                   len(ls) AS n_lines, coalesce(n, 0) AS n_repeat_words, len(regexp_extract_all(t, '[0-9]')) AS n_digits,
+                   len(list_filter(ws, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_bare, coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS longest
             FROM d LEFT JOIN repeated ON d.doc_id = repeated.doc_id
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-                    OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept
+                    OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines
+                    OR 100 * n_digits > 30 * word_chars OR 100 * n_bare > 30 * n_words OR longest > 1000) AS kept
         FROM counts
     """,
     "op8_grace_dedup": """

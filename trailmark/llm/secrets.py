@@ -3,8 +3,9 @@
 Every text is scanned for assignments, access key ids and hex strings, and for other
 credential-like candidates. Digests of all values are counted over the corpus by the
 repositories and owners that hold them: what several owners hold, or one owner in many
-repositories, is a copied example; what one owner alone holds in few of them looks live. Candidates that look live become spans of kind
-``owned``; spans of the three base kinds always stay.
+repositories, is a copied example; what one owner alone holds in few of them looks live.
+Candidates that look live become spans of kind ``owned``; spans of the three base kinds
+always stay.
 """
 
 from __future__ import annotations
@@ -91,7 +92,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     A value is live-looking if at most max_owners owners and max_repositories repositories
     hold it. owners and repositories are those of the row's values, in order of their
     places (of equal ones by kind), base values and candidates alike. Null texts are empty;
-    null owners count as one owner, null repositories as one repository each.
+    null owners count as one owner, null repositories as one repository each. Repeated rows
+    are rows of their own in one repository, an empty table has no rows, and a text of any
+    length is scanned whole.
     """
     repository = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in repository_cols])
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("\x1e")).alias("owner"), repository.alias("repository"), F.col(f"`{text_col}`").alias("text"))
