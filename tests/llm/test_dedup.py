@@ -93,6 +93,7 @@ def test_crowded_regions_are_searched_to_the_end(spark, monkeypatch):
     """Unlinked relatives of one text crowd every order; links hide among them."""
     monkeypatch.setattr(near_dedup, "WINDOW", 2)
     monkeypatch.setattr(near_dedup, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(near_dedup, "CROWD_LEAST", 8)
     monkeypatch.setattr(near_dedup, "CROWD_BLOCK", 16)
     monkeypatch.setattr(near_dedup, "CROWD_SHINGLES", 10_000)
     rng = np.random.default_rng(3)
@@ -111,7 +112,38 @@ def test_crowded_regions_are_searched_to_the_end(spark, monkeypatch):
     whole = near_dedup.crowd_links
     monkeypatch.setattr(near_dedup, "crowd_links", lambda *a: searched.append(1) or whole(*a))
     got = near_dedup.membership(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert searched and sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert len(searched) == len(near_dedup.Forest.of(85).levels()) and sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_depth_and_sketch_follow_the_threshold():
+    from math import comb
+
+    for percent in (80, 85, 90, 95):
+        f, p = near_dedup.Forest.of(percent), percent / 100
+        assert (1 - p**f.depth) ** near_dedup.TREES <= near_dedup.MISS_ORDERS or f.depth == 1
+        assert f.depth == near_dedup.VALUES or (1 - p ** (f.depth + 1)) ** near_dedup.TREES > near_dedup.MISS_ORDERS
+        q, n = p + (1 - p) / 4, near_dedup.TREES * near_dedup.VALUES
+        below = lambda k: sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k))  # noqa: E731, B023
+        assert below(f.least) <= near_dedup.MISS_SKETCH < below(f.least + 1)
+        assert f.levels()[0] == near_dedup.VALUES and f.levels()[-1] == f.depth
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_other_thresholds_match_brute_force(docs, corpus, percent):
+    got = near_dedup.membership(docs, percent=percent).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=key) == sorted(brute_near(corpus, percent), key=key)
+
+
+def test_deduplicate_tells_repeated_ids_apart(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(2, a, 1), (5, a, 2), (5, b, 3), (5, b + " x", 4), (5, b, 5), (7, None, 6), (7, None, 7), (7, "", 8), (None, a + " y", 9), (None, "one", 10)]
+    out = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "-", r.extra) for r in out)
+    assert [g[:3] for g in got if g[1] == 2] == [(False, 2, a)]
+    five = [g for g in got if g[1] == 5]
+    assert len(five) == 1 and five[0][2] in (b, b + " x")
+    assert [g[2] for g in got if g[1] == 7] == ["-", "-"] and [g[2] for g in got if g[0]] == ["one"]
 
 
 def test_near_deduplicate_and_empty(clashing, empty):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +29,19 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, before the driver ends."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            drop_scratch(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from . import tokens
-from .common import arrow_slices, gathered, scratch, stored
+from .common import arrow_slices, discard, gathered, scratch, stored
 from .files import opened, written
 
 MAGIC = b"TMHUF01\n"
@@ -258,6 +258,7 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, id_col: str =
     docs = coded.where("n is not null").select("id", "n", "ids")
     ordered = docs.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     manifest = stored(ordered.mapInArrow(save, "file string, part long, docs long, ids long"), "token-files").where("docs > 0")
+    discard(coded)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 

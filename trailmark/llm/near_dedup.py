@@ -1,46 +1,49 @@
 """Near-duplicates on word shingles by an LSH forest, each link confirmed on full sets.
 
 Documents with equal shingle sets form classes; one row per class goes on. Its MinHash
-signature gives TREES sort keys. Each sorted order is dealt by range, so that a region of
-any size is spread over tasks, and the rows that share DEPTH values or more with a row
-are its candidates, nearest in the order first: in a crowded region these are the ones
-with the longest common prefixes, which is how depth adapts to the region.
+signature gives TREES sort keys of VALUES values. Each sorted order is dealt by range, so
+that a region of any size is spread over tasks. Rows that share ``depth`` values in an
+order are candidates; depth follows from the similarity asked for, so that all orders miss
+a pair at the threshold about once in a million times.
 
-Candidates come in two rounds. The first takes only next neighbours in a few orders; its
+Candidates come in three rounds. The first takes only next neighbours in a few orders; its
 confirmed links already join most groups of copies. The second takes WINDOW neighbours in
-all orders, but only pairs that aren't connected yet, so a group of many copies costs a
-few comparisons a row and not the square of its size. A region with more rows than the
-window reaches, of which some still aren't connected, is finished in blocks of rows with
-their full sets: all rows outside its largest connected part are held against all others.
-So the window only says what is looked at first; no candidate is left out. Candidates must
-pass a length test that is exact and a sketch test some four deviations wide before full
-sets are compared.
+all orders, those with the longest common prefixes, but only pairs that aren't connected
+yet, so a group of many copies costs a few comparisons a row and not the square of its
+size. That searches every region of at most WINDOW + 1 rows to the end. The third adapts
+its depth to the regions that are more crowded: it descends to their parts that share all
+VALUES values, searches those that are still crowded and not connected in blocks of rows
+with their full sets, and comes up level by level to ``depth``. What deeper levels have
+joined needn't be compared again: all rows outside a region's largest connected part are
+held against all others. So no candidate is left out. Candidates must pass a length test
+that is exact and a sketch test that a pair at the threshold fails once in a million
+times before full sets are compared.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import each_slice, stored
+from .common import discard, each_slice, stored
 from .components import components
 
 SHINGLE = 5
 PERCENT = 85
 TREES, VALUES = 24, 8
-#: Values that candidates share in an order: at a similarity of .85 all 24 orders miss a
-#: pair with probability (1 - .85**5)**24, one in a million.
-DEPTH = 5
 FIRST_TREES, WINDOW = 8, 16
-#: A sketch has two bits per permutation; the estimate's deviation at .85 is .03.
-SKETCH = 0.73
+#: How often at most all orders may miss a pair at the threshold, and the sketch test.
+MISS_ORDERS, MISS_SKETCH = 5e-6, 1e-6
 ROWS_PER_TASK = 100_000
-#: Rows of a crowded region, and shingles in them, that are held against as many others
-#: in one task.
-CROWD_BLOCK, CROWD_SHINGLES = 2048, 2_000_000
+#: Rows of a crowded region, least and most, and shingles in them, that are held against
+#: as many others in one task.
+CROWD_LEAST, CROWD_BLOCK, CROWD_SHINGLES = 256, 2048, 2_000_000
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
 #: Ids (16 bytes each) that are sent to all executors at most, to filter the texts by.
@@ -52,6 +55,29 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = [pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(SHINGLE)]
 
 
+@dataclass(frozen=True)
+class Forest:
+    """What a similarity threshold in percent asks of the orders and sketches."""
+
+    percent: int
+    depth: int
+    least: int
+
+    @classmethod
+    def of(cls, percent: int) -> Forest:
+        p = percent / 100
+        depth = max(d for d in range(1, VALUES + 1) if d == 1 or (1 - p**d) ** TREES <= MISS_ORDERS)
+        # of the sketch's positions a pair shares each with chance q: two bits by accident too
+        q, below, least = p + (1 - p) / 4, 0.0, 0
+        while (below := below + math.comb(_HASHES, least) * q**least * (1 - q) ** (_HASHES - least)) <= MISS_SKETCH:
+            least += 1
+        return cls(percent, depth, least)
+
+    def levels(self) -> list[int]:
+        """Depths that a crowded region is searched at, deepest first."""
+        return sorted({VALUES, (VALUES + self.depth) // 2, self.depth}, reverse=True)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -133,29 +159,29 @@ def _features(batches):
         sets = shingler.sets(texts)
         hi, lo = set_keys(sets)
         values, sketch = signatures(sets)
-        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi), pa.array(lo), pa.array([v.tobytes() for v in values], pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "hi", "lo", "signature", "sketch"])
+        columns = [*(batch.column(c) for c in ("id", "key1", "key2")), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi), pa.array(lo), pa.array([v.tobytes() for v in values], pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "key1", "key2", "n", "hi", "lo", "signature", "sketch"])
 
 
 _ROW = "tree int, key binary, node long, part long, n long, sketch binary"
 _NEAR = f"a long, b long, boundary int, tail boolean, {_ROW}"
 
 
-def _close(tree, key, part, n, sketch, window: int, ratio: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _close(tree, key, part, n, sketch, window: int, forest: Forest) -> list[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, i + j), j up to window, that may be linked."""
-    region = np.cumsum(_starts(tree, key))
+    region = np.cumsum(_starts(tree, key, forest.depth))
     out = []
     for j in range(1, min(window, len(tree) - 1) + 1):
-        i = np.flatnonzero((region[j:] == region[:-j]) & (part[j:] != part[:-j]) & _like_sized(n[j:], n[:-j], ratio))
-        i = i[_alike(sketch[i], sketch[i + j])]
+        i = np.flatnonzero((region[j:] == region[:-j]) & (part[j:] != part[:-j]) & _like_sized(n[j:], n[:-j], forest.percent))
+        i = i[_alike(sketch[i], sketch[i + j], forest.least)]
         out.append((i, i + j))
     return out
 
 
-def _starts(tree, key) -> np.ndarray:
-    """Where rows begin that share a tree and DEPTH values with the row before no more."""
+def _starts(tree, key, depth: int) -> np.ndarray:
+    """Where rows begin that share a tree and depth values with the row before no more."""
     first = np.zeros(len(tree), bool)
-    first[1:] = (tree[1:] != tree[:-1]) | (key[1:, : 2 * DEPTH] != key[:-1, : 2 * DEPTH]).any(1)
+    first[1:] = (tree[1:] != tree[:-1]) | (key[1:, : 2 * depth] != key[:-1, : 2 * depth]).any(1)
     return first
 
 
@@ -163,10 +189,9 @@ def _like_sized(n, m, ratio: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= ratio * np.maximum(n, m)
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _alike(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
     z = x ^ y
-    differ = np.bitwise_count((z | z >> 1) & 0x55).sum(1, dtype=np.int64)
-    return 1 - differ / _HASHES * 4 / 3 >= SKETCH
+    return _HASHES - np.bitwise_count((z | z >> 1) & 0x55).sum(1, dtype=np.int64) >= least
 
 
 def _arrays(batch: pa.RecordBatch):
@@ -175,13 +200,13 @@ def _arrays(batch: pa.RecordBatch):
     return batch.column("tree").to_numpy(), blob("key", 2 * VALUES), batch.column("part").to_numpy(), batch.column("n").to_numpy(), blob("sketch", _HASHES // 4)
 
 
-def _neighbours(window: int, ratio: int):
+def _neighbours(window: int, forest: Forest):
     """Candidates within a task's stretch of the orders, and its first and last rows for
     the stretches before and after."""
 
     def pairs(batch: pa.RecordBatch, fresh: int):
         node = batch.column("node").to_numpy()
-        found = [(node[i], node[j]) for i, j in ((i[j >= fresh], j[j >= fresh]) for i, j in _close(*_arrays(batch), window, ratio))]
+        found = [(node[i], node[j]) for i, j in ((i[j >= fresh], j[j >= fresh]) for i, j in _close(*_arrays(batch), window, forest))]
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         a, b = np.minimum(a, b), np.maximum(a, b)
         ab = np.unique(np.stack([a, b], 1), axis=0)
@@ -191,12 +216,12 @@ def _neighbours(window: int, ratio: int):
         """Rows and least and largest part of each region that the window doesn't span,
         or of which the batch may hold only a part."""
         tree, key, part, _, _ = _arrays(batch)
-        at = np.concatenate([[0], np.flatnonzero(_starts(tree, key))])
+        at = np.concatenate([[0], np.flatnonzero(_starts(tree, key, forest.depth))])
         size = np.diff(at, append=len(tree))
         least, most = np.minimum.reduceat(part, at), np.maximum.reduceat(part, at)
         show = (size > window + 1) & (least != most)
         show[[0, -1]] = True
-        keys = pa.array([k[: 2 * DEPTH].tobytes() for k in key[at[show]]], pa.binary())
+        keys = pa.array([k[: 2 * forest.depth].tobytes() for k in key[at[show]]], pa.binary())
         return pa.table({"a": least[show], "b": most[show], "tree": pa.array(tree[at[show]], pa.int32()), "key": keys, "n": pa.array(size[show], pa.int64())})
 
     def edge(rows: pa.Table, boundary: int, tail: bool):
@@ -233,13 +258,13 @@ def _neighbours(window: int, ratio: int):
     return run
 
 
-def _across(window: int, ratio: int):
+def _across(window: int, forest: Forest):
     """Candidates between the end of one stretch and the start of the next."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("tail", "descending"), ("tree", "ascending"), ("key", "ascending"), ("node", "ascending")])
         node, tails = t.column("node").to_numpy(), int(np.sum(t.column("tail").to_numpy(zero_copy_only=False)))
-        found = _close(*_arrays(t.combine_chunks().to_batches()[0]), window, ratio) if len(t) else []
+        found = _close(*_arrays(t.combine_chunks().to_batches()[0]), window, forest) if len(t) else []
         ab = [(min(node[x], node[y]), max(node[x], node[y])) for i, j in found for x, y in zip(i, j) if x < tails <= y]
         return pa.table({"a": pa.array([x for x, _ in ab], pa.int64()), "b": pa.array([y for _, y in ab], pa.int64())})
 
@@ -251,21 +276,22 @@ def _orders(classes: DataFrame, trees: int, values: int, columns: list[str]) ->
     return wide.select("tree", F.expr(f"substring(signature, tree * {2 * VALUES} + 1, {2 * values})").alias("key"), *columns)
 
 
-def candidates(classes: DataFrame, trees: int, window: int, ratio: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame, trees: int, window: int, forest: Forest) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distinct pairs (a, b), a < b, of classes (node, part, n, signature, sketch) that
-    lie near each other in one of the first trees orders and not in one part; and the
-    regions (tree, key) of more rows than the window reaches that aren't all one part."""
+    lie near each other in one of the first trees orders and not in one part; the regions
+    (tree, key) of more rows than the window reaches that aren't all one part; and the
+    stored table that both read."""
     rows = _orders(classes, trees, VALUES, ["node", "part", "n", "sketch"])
     tasks = max(1, -(-classes.count() * trees // ROWS_PER_TASK))
     order = rows.repartitionByRange(tasks, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    near = stored(order.mapInArrow(_neighbours(window, ratio), _NEAR), "forest")
+    near = stored(order.mapInArrow(_neighbours(window, forest), _NEAR), "forest")
     inside = near.where("a is not null and tree is null").select("a", "b")
     runs = near.where("a is not null and tree is not null").groupBy("tree", "key")
     runs = runs.agg(F.sum("n").alias("n"), F.min("a").alias("least"), F.max("b").alias("most"))
     crowded = runs.where(f"n > {window + 1} and least <> most").select("tree", "key")
     edges = near.where("a is null").select("boundary", "tail", "tree", "key", "node", "part", "n", "sketch")
-    across = edges.groupBy("boundary").applyInArrow(_across(window, ratio), "a long, b long")
-    return inside.union(across).distinct(), crowded
+    across = edges.groupBy("boundary").applyInArrow(_across(window, forest), "a long, b long")
+    return inside.union(across).distinct(), crowded, near
 
 
 def shingle_sets(ends: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -285,20 +311,24 @@ def shingle_sets(ends: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
             ends = pa.array(np.cumsum([0] + [len(sets[i]) for i in right]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), pa.ListArray.from_arrays(ends, values)], ["node", "shingles"])
 
-    return stored(texts.mapInArrow(shingle, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    out = stored(texts.mapInArrow(shingle, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    discard(wanted)
+    return out
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough: (a, b)."""
+    """The pairs whose full shingle sets are similar enough: (a, b), stored."""
     pairs = stored(pairs, "pairs")
     sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs)
     left = pairs.join(sets.withColumnRenamed("node", "a"), "a").withColumnRenamed("shingles", "x")
     both = left.join(sets.withColumnRenamed("node", "b"), "b").withColumnRenamed("shingles", "y")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b")
+    out = stored(both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b"), "confirmed")
+    discard(pairs, sets)
+    return out
 
 
-def _blockwise(percent: int):
+def _blockwise(forest: Forest, depth: int):
     """The links between two blocks of a crowded region, or within one."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -306,7 +336,7 @@ def _blockwise(percent: int):
         tree, _, kind, x, y = (k.as_py() for k in key)
         node, part, n, main, block = (t.column(c).to_numpy() for c in ("node", "part", "n", "is_main", "block"))
         blob = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(len(t), -1)
-        sketch, before = blob("sketch"), blob("signature").reshape(len(t), TREES, -1)[:, :tree, : 2 * DEPTH]
+        sketch, before = blob("sketch"), blob("signature").reshape(len(t), TREES, -1)[:, :tree, : 2 * depth]
         sets = t.column("shingles").chunk(0)
         at, values = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
         left = np.flatnonzero(~main & (block == x))
@@ -314,8 +344,8 @@ def _blockwise(percent: int):
         a, b = [], []
         for k, i in enumerate(left):
             j = right[k + 1 :] if kind and x == y else right
-            j = j[(part[j] != part[i]) & _like_sized(n[j], n[i], percent)]
-            j = j[_alike(sketch[j], sketch[i])]
+            j = j[(part[j] != part[i]) & _like_sized(n[j], n[i], forest.percent)]
+            j = j[_alike(sketch[j], sketch[i], forest.least)]
             j = j[~(before[j] == before[i]).all(2).any(1)]  # else an earlier order has the pair
             if not len(j):
                 continue
@@ -323,7 +353,7 @@ def _blockwise(percent: int):
             theirs = values[np.arange(ends[-1]) + np.repeat(at[j] - ends + n[j], n[j])]
             spot = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
             common = np.add.reduceat((own[spot] == theirs).astype(np.int64), ends - n[j])
-            linked = j[100 * common >= percent * (n[i] + n[j] - common)]
+            linked = j[100 * common >= forest.percent * (n[i] + n[j] - common)]
             a += [node[i]] * len(linked)
             b += node[linked].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -331,22 +361,26 @@ def _blockwise(percent: int):
     return run
 
 
-def crowd_links(classes: DataFrame, regions: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between classes of different parts that share one of regions (tree, key).
+def crowd_links(rows: DataFrame, classes: DataFrame, docs: DataFrame, forest: Forest, depth: int) -> DataFrame | None:
+    """Links (a, b), stored, between classes of different parts among rows (tree, key, node,
+    n) of crowded regions that share depth values; None where no region is open there.
 
     A region's largest part needn't be compared with itself, so a group of copies costs
     its size times the few rows beside it. A task holds two blocks, whatever the region's
     size, and only links leave it.
     """
-    regions = F.broadcast(regions) if regions.count() <= MAX_BROADCAST else regions
-    rows = stored(_orders(classes, TREES, DEPTH, ["node", "part", "n"]).join(regions, ["tree", "key"]), "crowds")
+    rows = rows.withColumn("key", F.expr(f"substring(key, 1, {2 * depth})")).join(classes.select("node", "part"), "node")
     sizes = rows.groupBy("tree", "key", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
     sizes = sizes.groupBy("tree", "key").agg(F.max(F.struct("rows", "part", "n")).alias("main"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
-    blocks = lambda rows, n: F.greatest(F.ceil(rows / CROWD_BLOCK), F.ceil(n / CROWD_SHINGLES)).cast("int")
+    block = lambda rows: F.least(F.lit(CROWD_BLOCK), F.greatest(F.lit(CROWD_LEAST), 8 * F.sqrt(rows)))
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / block(rows)), F.ceil(n / CROWD_SHINGLES)).cast("int")
     mains, others = blocks(F.col("main.rows"), F.col("main.n")), blocks(F.col("rows") - F.col("main.rows"), F.col("n") - F.col("main.n"))
-    sizes = sizes.where("rows > main.rows").select("tree", "key", F.col("main.part").alias("main"), mains.alias("mains"), others.alias("others"))
+    sizes = sizes.where(f"rows > {WINDOW + 1} and rows > main.rows").select("tree", "key", F.col("main.part").alias("main"), mains.alias("mains"), others.alias("others"))
     dealt = rows.select("tree", "key", "node", "part").join(sizes, ["tree", "key"]).withColumn("is_main", F.expr("part = main"))
     dealt = stored(dealt.withColumn("block", F.expr("cast(pmod(xxhash64(node), if(is_main, mains, others)) as int)")), "dealt")
+    if dealt.isEmpty():
+        discard(dealt)
+        return None
     sets = shingle_sets(dealt.select("node").distinct(), classes, docs)
     met = F.expr("""if(is_main, transform(sequence(0, others - 1), k -> struct(0 as kind, k as x, block as y)),
         concat(transform(sequence(0, mains - 1), k -> struct(0 as kind, block as x, k as y)),
@@ -354,46 +388,97 @@ def crowd_links(classes: DataFrame, regions: DataFrame, docs: DataFrame, percent
     held = ["node", "part", "is_main", "block"]
     sent = dealt.select("tree", "key", F.explode(met).alias("t"), *held).select("tree", "key", "t.*", *held)
     sent = sent.join(classes.select("node", "n", "sketch", "signature"), "node").join(sets, "node")
-    return sent.groupBy("tree", "key", "kind", "x", "y").applyInArrow(_blockwise(percent), "a long, b long")
+    links = stored(sent.groupBy("tree", "key", "kind", "x", "y").applyInArrow(_blockwise(forest, depth), "a long, b long"), "crowd-links")
+    discard(dealt, sets)
+    return links
+
+
+def _uncrowded(classes: DataFrame, regions: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """classes with the parts joined that links within crowded regions connect, searched
+    from the deepest level up."""
+    regions = F.broadcast(regions) if regions.count() <= MAX_BROADCAST else regions
+    orders = _orders(classes, TREES, VALUES, ["node", "n"]).withColumnRenamed("key", "whole")
+    rows = orders.withColumn("key", F.expr(f"substring(whole, 1, {2 * forest.depth})")).join(regions, ["tree", "key"])
+    rows = stored(rows.select("tree", F.col("whole").alias("key"), "node", "n"), "crowds")
+    for depth in forest.levels():
+        links = crowd_links(rows, classes, docs, forest, depth)
+        if links is not None:
+            classes = _joined(classes, links)
+    discard(rows)
+    return classes
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     """classes with the parts that links (a, b) between their nodes join made one."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
     between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
-    roots = components(stored(between.distinct(), "links")).select(F.col("node").alias("part"), "root")
+    between = stored(between.distinct(), "links")
+    roots = components(between).select(F.col("node").alias("part"), "root")
     new = classes.join(roots, "part", "left").withColumn("part", F.coalesce("root", "part")).select(*classes.columns)
-    return stored(new, "parts")
-
+    out = stored(new, "parts")
+    discard(between, links, classes)
+    return out
 
-def membership(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per row: id, n_shingles, component_id, kept.
 
-    Texts without words, null ones too, are linked with nothing. Of repeated rows with
-    one id all get the same answer. Null ids rank above all others: a component of null
-    ids alone has a null component_id and keeps its rows.
-    """
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def _members(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """One row per row: id, key1, key2 (two hashes of the text, null apart from empty), n,
+    part (null where n is 0) and component_id."""
+    forest, text = Forest.of(percent), F.col(f"`{text_col}`")
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    made = stored(docs.mapInArrow(_features, f"id {kind}, n long, hi long, lo long, signature binary, sketch binary"), "signatures")
+    keyed = docs.select("id", "text", *_text_keys(F.col("text")))
+    made = stored(keyed.mapInArrow(_features, f"id {kind}, key1 long, key2 long, n long, hi long, lo long, signature binary, sketch binary"), "signatures")
     sets = made.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("id").alias("first"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
-    classes = stored(sets.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = stored(sets.withColumn("node", F.monotonically_increasing_id()).withColumn("part", F.col("node")), "classes")
 
-    pairs, _ = candidates(classes.withColumn("part", F.col("node")), FIRST_TREES, 1, percent)
-    joined = _joined(classes.withColumn("part", F.col("node")), confirmed(pairs, classes, docs, percent))
-    pairs, crowded = candidates(joined, TREES, WINDOW, percent)
-    joined = _joined(joined, confirmed(pairs, classes, docs, percent))
+    pairs, _, near = candidates(classes, FIRST_TREES, 1, forest)
+    links = confirmed(pairs, classes, docs, percent)
+    discard(near)
+    joined = _joined(classes, links)
+    pairs, crowded, near = candidates(joined, TREES, WINDOW, forest)
     crowded = stored(crowded, "crowded")
+    links = confirmed(pairs, joined, docs, percent)
+    discard(near)
+    joined = _joined(joined, links)
     if not crowded.isEmpty():
-        joined = _joined(joined, crowd_links(joined, crowded, docs, percent))
+        joined = _uncrowded(joined, crowded, docs, forest)
+    discard(crowded)
     least = joined.groupBy("part").agg(F.min("first").alias("component_id"))
-    named = joined.join(least, "part").select("n", "hi", "lo", "component_id")
-    out = made.select("id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
-    found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"))
+    named = joined.join(least, "part").select("n", "hi", "lo", "part", "component_id")
+    out = made.select("id", "key1", "key2", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
+    return out.select("id", "key1", "key2", "n", "part", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _text_keys(text) -> list:
+    return [F.xxhash64(F.lit(k), text.isNull(), text).alias(f"key{k}") for k in (1, 2)]
+
+
+def membership(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per row: id, n_shingles, component_id, kept.
+
+    Texts without words, null ones too, are linked with nothing. Of repeated rows with
+    one id all get the same answer. Null ids rank above all others: a component of null
+    ids alone has a null component_id and keeps its rows. A text of any length is read
+    whole, and an empty table gives none.
+    """
+    out = _members(df, id_col, text_col, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """df with one row of each component, that with the smallest id. Ids must differ."""
-    kept = membership(df, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """df with one row of each component, that with the smallest id (of rows with that id,
+    one by the hash of its text). Rows without words all stay. Of rows that repeat both
+    id and text any one stands for the rest. Null ids rank above all others.
+    """
+    rows = stored(_members(df, id_col, text_col, percent).drop("component_id"), "members")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key1", "key2")
+    best = rows.where("n > 0").groupBy("part").agg(F.min(rank).alias("best")).select("best.*")
+    kept = best.unionByName(rows.where("n = 0").select(F.col("id").isNull().alias("none"), "id", "key1", "key2")).drop("none")
+    kept = kept.distinct().select(F.col("id").alias("_id"), F.col("key1").alias("_key1"), F.col("key2").alias("_key2"))
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_own"), *_text_keys(F.col(f"`{text_col}`")))
+    same = keyed["_own"].eqNullSafe(kept["_id"]) & (keyed["key1"] == kept["_key1"]) & (keyed["key2"] == kept["_key2"])
+    out = keyed.join(kept, same, "left_semi")
+    if not rows.groupBy("id", "key1", "key2").count().where("count > 1").isEmpty():
+        first = Window.partitionBy("_own", "key1", "key2").orderBy(F.lit(1))
+        out = out.withColumn("_copy", F.row_number().over(first)).where("_copy = 1")
+    return out.select("_row.*").select(*[F.col(f"`{c}`") for c in df.columns])
