@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.llm import exact_dedup, mixing, near_dedup, packing, quality
-from trailmark.llm.common import stored, table
+from trailmark.llm.common import discard, stored, table
 from trailmark.session import prepare
 
 
@@ -26,14 +26,18 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.deduplicate(docs)
 
 
+#: Percent of shared five-word shingles from which two documents are near-duplicates.
+NEAR_PERCENT = 80
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
     prepare(spark)
-    return near_dedup.deduplicate(docs)
+    return near_dedup.deduplicate(docs, percent=NEAR_PERCENT)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole."""
+    """Documents as often as the mix takes them, whole, in the order of its slots."""
     prepare(spark)
     return mixing.mixed(docs)
 
@@ -60,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

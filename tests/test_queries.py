@@ -71,3 +71,32 @@ def test_blocks_hold_every_pair_once(spark):
 
     out = joins.all_pairs(spark.range(57).toDF("a"), spark.range(23).toDF("b"), 5)
     assert out.count() == out.distinct().count() == 57 * 23
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """A copy without the subpackage, its tests and the pipeline imports and keeps its queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "trailmark", tmp_path / "trailmark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    say = "import __spark_entry__ as e; print(sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+    out = subprocess.run([sys.executable, "-c", say], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=True)
+    assert out.stdout.strip() == str(sorted(registry.QUERIES))
+
+
+def test_a_broken_operator_is_not_taken_for_a_removed_one(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "trailmark", tmp_path / "trailmark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_nowhere\n")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=False)
+    assert out.returncode and "a_module_that_is_nowhere" in out.stderr
