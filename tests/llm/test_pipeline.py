@@ -28,7 +28,7 @@ def test_stages_match_brute_force(spark, sf):
     docs = stages["exact_dedup"](spark, docs, sf)
     assert docs.columns == columns and Counter(map(tuple, docs.collect())) == Counter(rows)
 
-    rows = [r for r, (i, _, c) in zip(rows, brute_near(rows)) if i == c]
+    rows = [r for r, (i, _, c) in zip(rows, brute_near(rows, corpus_pipeline.NEAR_PERCENT)) if i == c]
     docs = stages["near_dedup"](spark, docs, sf)
     assert docs.columns == columns and Counter(map(tuple, docs.collect())) == Counter(rows)
 
