@@ -76,3 +76,49 @@ def boxes_touch(a: dict[str, Column], b: dict[str, Column]) -> Column:
             reach = reach + F.abs(F.cos(box["yaw"]) * ux + F.sin(box["yaw"]) * uy) * box["length"] / 2 + F.abs(-F.sin(box["yaw"]) * ux + F.cos(box["yaw"]) * uy) * box["width"] / 2
         parted = parted | (F.abs(dx * ux + dy * uy) > reach)
     return ~parted
+
+
+def fisheye_pixel(point: tuple[Column, ...], lens: tuple[float, ...], centre: tuple[float, float], size: tuple[int, int]) -> tuple[Column, Column, Column]:
+    """(u, v, valid) of a point in the camera's frame: the lens polynomial gives the radius
+    for the angle from the axis; valid are points before the camera and on the image."""
+    x, y, z = point
+    off = norm2(x, y)
+    angle = F.atan2(off, z)
+    radius = sum((F.lit(c) * F.pow(angle, F.lit(i)) for i, c in enumerate(lens)), F.lit(0.0))
+    u, v = (F.lit(c) + p * radius / (off + 1e-8) for c, p in zip(centre, (x, y)))
+    inside = lambda w, n: (w >= 0) & (w < n) & ~F.isnan(w)
+    return u, v, (z > 0) & inside(u, size[0]) & inside(v, size[1])
+
+
+def to_camera(point: tuple[Column, ...], rotation: tuple[Column, ...], position: tuple[Column, ...]) -> tuple[Column, ...]:
+    """A point in the frame of a camera with this pose (quaternion x, y, z, w of any length)."""
+    n = F.sqrt(sum(q * q for q in rotation))
+    return quaternion_rotate(tuple(q / n for q in rotation), tuple(p - t for p, t in zip(point, position)), inverse=True)
+
+
+def unicycle_path(accelerations: Column, curvatures: Column, speed: Column, dt: float) -> Column:
+    """Where accelerations and curvatures lead from the origin: (x, y, heading, speed) after
+    each step, positions by the trapezoid rule."""
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("heading"), speed.cast("double").alias("speed"))
+    start = F.struct(zero.alias("now"), F.array().cast("array<struct<x:double,y:double,heading:double,speed:double>>").alias("out"))
+
+    def go(s: Column, c: Column) -> Column:
+        now, a, k = s["now"], c["a"], c["k"]
+        v = now["speed"] + a * dt
+        heading = now["heading"] + k * now["speed"] * dt + k * a * (0.5 * dt * dt)
+        x = now["x"] + (now["speed"] * F.cos(now["heading"]) + v * F.cos(heading)) * (0.5 * dt)
+        y = now["y"] + (now["speed"] * F.sin(now["heading"]) + v * F.sin(heading)) * (0.5 * dt)
+        new = F.struct(x.alias("x"), y.alias("y"), heading.alias("heading"), v.alias("speed"))
+        return F.struct(new.alias("now"), F.concat(s["out"], F.array(new)).alias("out"))
+
+    steps = F.zip_with(accelerations, curvatures, lambda a, k: F.struct(a.cast("double").alias("a"), k.cast("double").alias("k")))
+    return F.aggregate(steps, start, go, lambda s: s["out"])
+
+
+def local_frame(points: Column, origin: Column, yaw: Column) -> Column:
+    """Planar points as seen from origin with this heading: moved, then turned back."""
+    def turned(p: Column) -> Column:
+        dx, dy = p[0] - origin[0], p[1] - origin[1]
+        return F.array(F.cos(yaw) * dx + F.sin(yaw) * dy, F.cos(yaw) * dy - F.sin(yaw) * dx)
+
+    return F.transform(points, turned)

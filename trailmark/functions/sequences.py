@@ -50,6 +50,32 @@ def running_sum(x: Column) -> Column:
     return F.aggregate(x, start, lambda a, v: F.struct((a["t"] + v).alias("t"), F.concat(a["out"], F.array(a["t"] + v)).alias("out")), lambda a: a["out"])
 
 
+def half_turn_unwrap(x: Column) -> Column:
+    """Angles less a whole turn for each jump of more than half of one, halves to even."""
+    turns = running_sum(F.transform(differences(x), lambda d: F.bround(d / (2 * math.pi)).cast("double")))
+    return F.transform(indexes(x), lambda i: at(x, i) - F.when(i > 0, at(turns, i - 1)).otherwise(F.lit(0.0)) * (2 * math.pi))
+
+
+def time_slice(x: Column, first: float, last: float, step: float) -> Column:
+    """Samples from int(first / step) to the one at or after last."""
+    start = int(first / step)
+    return F.slice(x, start + 1, max(0, math.ceil(last / step) + 1 - start))
+
+
+def assembled(start: int, said: Column, middle: list[int], moves: Column, end: int, offset: int) -> Column:
+    """A completion's token ids: start, what was said, middle, moves shifted by offset, end."""
+    fixed = lambda ids: F.array(*[F.lit(i).cast("long") for i in ids])
+    return F.concat(fixed([start]), said.cast("array<long>"), fixed(middle), F.transform(moves, lambda t: t.cast("long") + offset), fixed([end]))
+
+
+def tokens_before(ids: Column, end: int, offset: int, size: int) -> tuple[Column, Column]:
+    """How many ids of [offset, offset + size) come before the first end, and whether there
+    is one."""
+    at_end = F.array_position(ids, F.lit(end).cast("long"))
+    head = F.when(at_end > 0, F.slice(ids, 1, F.greatest(at_end - 1, F.lit(0)).cast("int"))).otherwise(ids)
+    return F.size(F.filter(head, lambda t: (t >= offset) & (t < offset + size))), at_end > 0
+
+
 def turn_step(d: Column) -> Column:
     """A difference of angles brought into [-pi, pi), half-turns keep sign."""
     turn = 2 * math.pi

@@ -47,3 +47,28 @@ def outside_bounds(x: Column, low: float | None, high: float | None) -> Column:
 
 def close_to(a: Column, b: float, relative: float = 1e-9) -> Column:
     return F.abs(a - b) <= F.lit(relative) * F.greatest(F.abs(a), F.lit(abs(b)))
+
+
+def softmax(logits: Column) -> Column:
+    top = F.array_max(logits)
+    raised = F.transform(logits, lambda x: F.exp(x.cast("double") - top))
+    total = F.aggregate(raised, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(raised, lambda x: x / total)
+
+
+def entropy(shares: Column, least: float = 1e-12) -> Column:
+    """In nats; shares below least count as that in the logarithm."""
+    return -F.aggregate(shares, F.lit(0.0), lambda s, p: s + p * F.log(F.greatest(p, F.lit(least))))
+
+
+def largest(values: Column, k: int) -> Column:
+    """The k largest as structs (value, position from 0), the first of equal ones first."""
+    marked = F.transform(values, lambda v, i: F.struct(v.alias("value"), (-i).alias("back")))
+    return F.transform(F.slice(F.reverse(F.array_sort(marked)), 1, k), lambda x: F.struct(x["value"].alias("value"), (-x["back"]).alias("position")))
+
+
+def negative_log_likelihood(logits: Column, target: Column) -> Column:
+    """Of the element at target, from 0; null outside the array."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
+    return F.log(total) + top - F.get(logits, target).cast("double")

@@ -85,8 +85,22 @@ def inverse_frequency(df: DataFrame, bins: Column, n_bins: int) -> DataFrame:
     return counts.join(F.broadcast(total)).withColumn("weight", F.col("total") / (n_bins * F.col("n"))).drop("total")
 
 
-def smoothed(df: DataFrame, group: list[str], order: list[str], value: str, alpha: float, start: float, low: float, high: float) -> DataFrame:
-    """Exponential moving average in order, clamped at each step; one row per group."""
-    items = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
-    step = lambda a, x: F.greatest(F.lit(low), F.least(F.lit(high), a * (1 - alpha) + x["_v"] * alpha))
-    return df.groupBy(*group).agg(items.alias("_items")).select(*group, F.aggregate("_items", F.lit(start), step).alias("ema"))
+def smoothed(df: DataFrame, group: list[str], order: list[str], value: str, alpha: float, start: float, low: float, high: float, chunk: int = 1000) -> DataFrame:
+    """Exponential moving average in order, clamped at each step; one row per group.
+
+    A run of such steps is itself one clamped linear step, so each chunk of a group's rows
+    becomes one such step and only these meet.
+    """
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    rows = df.select(*group, *order, F.col(value).cast("double").alias("_v")).withColumn("_i", at)
+    clamp = lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x))
+    step = lambda slope, shift, least, most: F.struct(slope.alias("slope"), shift.alias("shift"), least.alias("least"), most.alias("most"))
+    none = step(F.lit(1.0), F.lit(0.0), F.lit(float("-inf")), F.lit(float("inf")))
+    move = lambda x, v: x * (1 - alpha) + v * alpha
+    grown = lambda s, r: step(s["slope"] * (1 - alpha), move(s["shift"], r["_v"]), clamp(move(s["least"], r["_v"])), clamp(move(s["most"], r["_v"])))
+    parts = rows.groupBy(*group, F.floor(F.col("_i") / chunk).alias("_c")).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_items"))
+    parts = parts.select(*group, F.struct("_c", F.aggregate("_items", none, grown).alias("s")).alias("_part"))
+    apply = lambda a, p: F.greatest(p["s"]["least"], F.least(p["s"]["most"], p["s"]["slope"] * a + p["s"]["shift"]))
+    return parts.groupBy(*group).agg(F.sort_array(F.collect_list("_part")).alias("_parts")).select(*group, F.aggregate("_parts", F.lit(start), apply).alias("ema"))

@@ -63,3 +63,32 @@ def cosine(a: Column, b: Column) -> Column:
 
 def margin_loss(anchor_positive: Column, anchor_negative: Column, margin: float) -> Column:
     return F.greatest(F.lit(0.0), margin - anchor_positive + anchor_negative)
+
+
+# Width of the band of failed rewards, softness of the two gates.
+FAILURE_BAND, REASONING_SOFTNESS, DISTANCE_SOFTNESS = 0.5, 0.05, 0.15
+
+
+def covered(reward: Column, decided: Column, unparsed: Column, prior: Column, penalty: float = 0.1) -> Column:
+    """Reasoning score in [-1, 0]: the reward as far as claims were decided, the prior for
+    the rest; where none was, the prior less the penalty for unparsed text."""
+    undecided = F.greatest(F.lit(0.0), prior - penalty * unparsed)
+    return F.when(reward.isNull(), undecided).otherwise(decided * reward + (1 - decided) * prior) - 1
+
+
+def failure_reward(distance: Column, reasoning: Column, most_distance: float, least_reasoning: float, said: Column) -> Column:
+    """A failed rollout's place in the band from -1, by how near it came on both counts; -1
+    where nothing was said."""
+    near = F.when(distance > 0, F.least(F.lit(1.0), most_distance / distance)).otherwise(F.lit(1.0))
+    reasoned = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (reasoning + 1) / (least_reasoning + 1)))
+    return F.when(said, -1 + FAILURE_BAND * 0.5 * (near + reasoned)).otherwise(F.lit(-1.0))
+
+
+def mixed_reward(distance: Column, comfort: Column, reasoning: Column, said: Column, most_distance: float, least_reasoning: float, weights: tuple[float, float, float]) -> Column:
+    """Passing and failing reward, blended by the product of two soft gates. weights are
+    those of distance, comfort and reasoning."""
+    far, smooth, sound = weights
+    passing = -far * (distance / most_distance) + smooth * comfort + sound * (1 - reasoning / least_reasoning)
+    failing = failure_reward(distance, reasoning, most_distance, least_reasoning, F.lit(True))
+    share = sigmoid((reasoning - least_reasoning) / REASONING_SOFTNESS) * sigmoid(-(distance - most_distance) / DISTANCE_SOFTNESS)
+    return F.when(said, share * passing + (1 - share) * failing).otherwise(F.lit(-1.0))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.hashing import sample_order
+from trailmark.session import scratch
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -59,20 +64,31 @@ def ends(df: DataFrame, order: list[str], k: int) -> DataFrame:
     return low.unionByName(df.orderBy(*[F.desc(c) for c in order]).limit(k).withColumn("end", F.lit("high")))
 
 
-def global_rank(df: DataFrame, order: str, cells: int = 64) -> DataFrame:
-    """df with n, its position from 0 by a numeric column without repeats.
+#: Rows that a task of global_rank numbers.
+ROWS_PER_TASK = 1_000_000
+
+
+def global_rank(df: DataFrame, order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """df with n, its position from 0 by a column without repeats.
 
-    Rows are numbered inside cells between approximate quantiles and each cell starts
-    after those before it, so no task sees more than a cell.
+    Rows are dealt by ranges into as many tasks as they need, numbered inside each by their
+    place in it, and each range starts after those before it. The dealt rows are written to
+    the shared folder, so that both passes see the same ranges.
     """
-    bounds = sorted(set(df.approxQuantile(order, [k / cells for k in range(1, cells)], 0.001)))
-    edges = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
-    dealt = df.withColumn("_cell", F.size(F.filter(edges, lambda b: b < F.col(order))))
+    tasks = max(1, -(-df.count() // rows_per_task))
+    dealt = df.repartitionByRange(tasks, order).sortWithinPartitions(order)
+    place = F.monotonically_increasing_id()  # the partition's number, then 33 bits of place
+    dealt = _kept(dealt.withColumn("_cell", F.shiftright(place, 33)).withColumn("n", place.bitwiseAND(F.lit((1 << 33) - 1))), "rank")
     counts = dealt.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row per cell
+    before = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
     starts = counts.select("_cell", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(order)) - 1
-    return dealt.withColumn("n", inside).join(F.broadcast(starts), "_cell").withColumn("n", F.col("n") + F.col("_start")).drop("_cell", "_start")
+    return dealt.join(F.broadcast(starts), "_cell").withColumn("n", F.col("n") + F.col("_start")).drop("_cell", "_start")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stride(df: DataFrame, order: str, rank: int, world: int) -> DataFrame:
@@ -80,11 +96,46 @@ def stride(df: DataFrame, order: str, rank: int, world: int) -> DataFrame:
     return global_rank(df, order).where(F.col("n") % world == rank).drop("n")
 
 
-def keep_apart(df: DataFrame, group: list[str], order: list[str], x: list[str], distance: float) -> DataFrame:
+#: As many undecided rows as keep_apart leaves to one task per group.
+FEW = 100_000
+
+
+def keep_apart(df: DataFrame, group: list[str], order: list[str], x: list[str], distance: float, few: int = FEW) -> DataFrame:
     """Rows in order, less those within distance of an earlier kept row in every listed
-    coordinate pair. The order decides, so each group (a town's routes) is worked off as a
-    whole; kept rows lie in a grid, and each row meets only the nine cells around it.
+    coordinate pair; order columns tell a group's rows apart.
+
+    While more than ``few`` rows are undecided, rounds over grid cells decide them: the
+    earliest row of its own and the neighbouring cells stays, and what lies within distance
+    of a new stayer goes. No cell sends more than its earliest row to its neighbours. What
+    is left is settled in order, each group's rest by one task.
     """
+    cell = F.array(*[F.floor(F.col(c) / distance) for c in x])
+    rest = df.select(*df.columns, cell.alias("_cell"), F.struct(*order).alias("_at"))
+    kept = None
+    while True:
+        rest = _kept(rest, "apart")
+        if rest.count() <= few:
+            break
+        least = rest.groupBy(*group, "_cell").agg(F.min("_at").alias("_at"))
+        near = _neighbours(least, len(x)).groupBy(*group, "_near").agg(F.min("_at").alias("_first"))
+        best = least.join(near.withColumnRenamed("_near", "_cell"), [*group, "_cell"]).where("_at = _first").select(*group, "_cell", "_at")
+        stay = _kept(rest.join(best, [*group, "_cell", "_at"], "left_semi"), "apart")
+        kept = stay if kept is None else kept.unionByName(stay)
+        mark = _neighbours(stay.select(*group, "_cell", "_at", *[F.col(c).alias(f"_{c}") for c in x]), len(x)).drop("_cell").withColumnRenamed("_at", "_by").withColumnRenamed("_near", "_cell")
+        close = [F.sqrt((F.col(a) - F.col(f"_{a}")) ** 2 + (F.col(b) - F.col(f"_{b}")) ** 2) <= distance for a, b in zip(x[::2], x[1::2])]
+        gone = rest.join(mark, [*group, "_cell"]).where(reduce(and_, close)).select(*group, "_at").distinct()
+        rest = rest.join(gone, [*group, "_at"], "left_anti").select(*df.columns, "_cell", "_at")
+    done = _in_order(rest.select(*df.columns), group, order, x, distance)
+    return done if kept is None else done.unionByName(kept.select(*df.columns))
+
+
+def _neighbours(cells: DataFrame, dimensions: int) -> DataFrame:
+    """cells with _near: each cell itself and those around it."""
+    shifts = F.array(*[F.array(*[F.lit(d).cast("long") for d in s]) for s in itertools.product((-1, 0, 1), repeat=dimensions)])
+    return cells.withColumn("_near", F.explode(F.transform(shifts, lambda s: F.zip_with(F.col("_cell"), s, lambda a, b: a + b))))
+
+
+def _in_order(df: DataFrame, group: list[str], order: list[str], x: list[str], distance: float) -> DataFrame:
     import numpy as np
     import pandas as pd
 
@@ -104,3 +155,29 @@ def keep_apart(df: DataFrame, group: list[str], order: list[str], x: list[str],
         return pdf.iloc[kept]
 
     return df.groupBy(*group).applyInPandas(run, schema)
+
+
+def rebalanced(df: DataFrame, key: str, label: str, draws: int, most: int, thinned: dict[str, float] | None = None, seed: str = "balance") -> DataFrame:
+    """df's keys and labels with times: about draws rows of each label by repeating its rows
+    evenly, none more than most times; of the labels in thinned only that share is there
+    to be drawn from. Only one count per label is shared."""
+    thinned = thinned or {}
+    share = F.lit(1.0)
+    for name, part in thinned.items():
+        share = F.when(F.col(label) == name, part).otherwise(share)
+    pool = df.select(key, label).where(unit(F.col(key), f"{seed}-thin") < share)
+    sizes = pool.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    expected = F.lit(float(draws)) / F.col("_n")
+    times = F.floor(expected) + (unit(F.col(key), seed) < expected - F.floor(expected)).cast("long")
+    return pool.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, label).select(key, label, F.least(F.lit(most), times).cast("long").alias("times")).where("times > 0")
+
+
+def spread(df: DataFrame, key: str, value: str, order: str, n: int) -> DataFrame:
+    """The n - 2 rows of the largest values, the middle row and the last one, with their
+    rank; just the n first for n of at most 2. Of equal values the least order comes first;
+    of a key's rows the first one stays."""
+    ranked = global_rank(df.withColumn("_by", F.struct((-F.col(value)).alias("v"), F.col(order).alias("o"))), "_by").drop("_by").withColumnRenamed("n", "rank")
+    total = df.count()
+    picks = range(n) if n <= 2 else [*range(n - 2), total // 2, total - 1]
+    place = F.row_number().over(Window.partitionBy(key).orderBy("rank"))
+    return ranked.where(F.col("rank").isin(*picks)).withColumn("_k", place).where("_k = 1").drop("_k")

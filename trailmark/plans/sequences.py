@@ -161,11 +161,10 @@ def _states(load):
     return load("orders").groupBy(F.col("o_custkey").alias("actor"), (F.col("o_orderkey") % 50).alias("frame")).agg(F.max(price).alias("x"), F.max(price % 7).alias("y"), (F.max(price % 31) - 15).alias("z"))
 
 
-@query(f"WITH {_STATES}, a AS (SELECT DISTINCT actor FROM st WHERE actor % 10 = 1), d AS (SELECT actor, unnest(range(10, 15)) AS frame FROM a) SELECT d.actor, d.frame, round(x, 4) AS x FROM d LEFT JOIN st ON st.actor = d.actor AND st.frame = d.frame")
+@query(f"WITH {_STATES}, d AS (SELECT actor, unnest(range(20, 30)) AS frame FROM (SELECT DISTINCT actor FROM st)) SELECT d.actor, d.frame, round(x, 4) AS x FROM d LEFT JOIN st ON st.actor = d.actor AND st.frame = d.frame")
 def states_over_frames(load):
     st = _states(load)
-    a = st.where("actor % 10 = 1").select("actor").distinct()
-    return simlog.states_between(a, st, 10, 14, ["x"]).select("actor", F.col("frame").cast("long").alias("frame"), F.round("x", 4).alias("x"))
+    return simlog.states_between(st.select("actor").distinct(), st, 20, 29, ["x"]).select("actor", F.col("frame").cast("long").alias("frame"), F.round("x", 4).alias("x"))
 
 
 @query(f"WITH {_STATES}, d AS (SELECT actor, unnest(range(10, 15)) AS frame FROM (SELECT DISTINCT actor FROM st)) SELECT d.actor, d.frame, round(x, 4) AS x FROM d LEFT JOIN st ON st.actor = d.actor AND st.frame = d.frame")
