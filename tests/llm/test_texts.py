@@ -377,6 +377,23 @@ def test_reader_pushes_filters_and_skips_payloads(spark, pages, tmp_path, monkey
     assert "BatchScan" in plan
 
 
+def test_gzip_members(spark, pages, tmp_path):
+    """Archives of one member a record, as crawlers write them, and of one a file."""
+    import gzip
+    from pathlib import Path
+
+    warc.archive(pages, f"file://{tmp_path}/plain")
+    warc.archive(pages, f"file://{tmp_path}/whole", gzip=True)
+    Path(tmp_path / "members").mkdir()
+    for k, part in enumerate(sorted(Path(tmp_path / "plain").glob("*.txt"))):
+        records = re.split(rb"(?=WARC/1\.1\r\nWARC-Type)", part.read_bytes())
+        (tmp_path / "members" / f"{k}.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records if r))
+    rows = {n: sorted((r.record_type, r.record_id, bytes(r.payload or b"")) for r in warc.read(spark, f"file://{tmp_path}/{n}").collect()) for n in ("plain", "whole", "members")}
+    assert len(rows["plain"]) == 11 and rows["plain"] == rows["whole"] == rows["members"]
+    some = warc.read(spark, f"file://{tmp_path}/members", payload=False).where("record_type = 'revisit'")
+    assert {r.record_id for r in some.collect()} == {"5", "9", "8"}
+
+
 def test_warc_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(none).count() == 0

@@ -1,7 +1,9 @@
 """WARC archives: a writer on Spark's text sink, and a Python data source that reads them.
 
 The source plans file partitions, takes over filters on record type and headers, parses
-headers first and seeks past the payloads of records that it doesn't want.
+headers first and seeks past the payloads of records that it doesn't want. Archives of
+gzip members are read as they stream by: unwanted payloads are unzipped in pieces, but
+neither kept nor decoded.
 """
 
 from __future__ import annotations
@@ -43,13 +45,14 @@ SCHEMA = "record_type string, record_id string, target_uri string, date string,
 # ---- writing
 
 
-def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES) -> None:
+def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES, gzip: bool = False) -> None:
     """Writes one record per row. Of equal payloads of at least ``least`` bytes the one
     with the smallest id is a response and the others revisit it; null html is empty.
 
     Only digests that occur twice or more are joined: sent to all executors while they
     are few, else in a shuffled join whose hot digests adaptive execution splits. Repeated
-    rows with the smallest id are all responses.
+    rows with the smallest id are all responses. An empty table gives an archive without
+    records; a page of any length is one record. gzip compresses each file.
     """
     payload, url = text_or_empty(f"`{html_col}`"), F.coalesce(F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"[\r\n]+", " "), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{id_col}`").alias("key"), url.alias("url"), payload.alias("payload"))
@@ -74,7 +77,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         F.lit(eol + eol),
         F.when(F.col("refers").isNull(), F.col("payload")).otherwise(""),
     )
-    writer = marked.select(head.alias("value")).write.option("lineSep", eol + eol).option("maxRecordsPerFile", RECORDS_PER_FILE)
+    writer = marked.select(head.alias("value")).write.option("lineSep", eol + eol).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip" if gzip else "none")
     writer.mode("overwrite").text(path)
 
 
@@ -122,7 +125,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         groups: list[list[str]] = [[]]
         size = 0
-        for uri, n in listing(self.path, (".txt", ".warc")):
+        for uri, n in listing(self.path, (".txt", ".warc", ".txt.gz", ".warc.gz")):
             if groups[-1] and size + n > self.partition_bytes:
                 groups.append([])
                 size = 0
@@ -144,7 +147,7 @@ class WarcReader(DataSourceReader):
 
     def _records(self, uri: str) -> Iterator[tuple]:
         with opened(uri) as raw:
-            scan = _Scan(raw)
+            scan = _Scan(_Unzipped(raw) if uri.endswith(".gz") else raw)
             while (headers := scan.headers()) is not None:
                 length = int(headers.get("content-length", 0))
                 fields = {c: _bare(c, headers.get(h)) for c, h in HEADERS.items()}
@@ -171,6 +174,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
 
 
+class _Unzipped:
+    """A file of gzip members, read as one stream; seeking ahead reads on in pieces."""
+
+    PIECE = 1 << 20
+
+    def __init__(self, raw):
+        self.stream = pa.CompressedInputStream(raw, "gzip")
+
+    def read(self, n: int) -> bytes:
+        return self.stream.read(n)
+
+    def seek(self, n: int, whence: int) -> None:
+        while n and (got := len(self.stream.read(min(n, self.PIECE)))):
+            n -= got
+
+
 class _Scan:
     """Buffered header scanner over a seekable file; skipped payloads aren't read."""
 
