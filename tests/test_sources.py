@@ -138,3 +138,13 @@ def test_streamed_once_leaves_no_rows_on_the_driver(spark, sf, monkeypatch):
 
     monkeypatch.delattr(events, "to_end")
     assert registry.QUERIES["streamed_once"](spark, sf).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from trailmark.session import ARROW_BYTES
+
+    df = spark.range(0, 60, 1, 1).selectExpr("id", "repeat('x', 1000000) as text")
+    sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["id"]) for b in batches), "id long").collect()
+    assert len(sizes) > 5 and max(r.id for r in sizes) < 2 * ARROW_BYTES

@@ -27,8 +27,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "trai
     )
 
 
-#: Rows per Arrow batch: rows hold whole documents, and a batch is held on both sides.
-ARROW_ROWS = 500
+#: Rows and bytes per Arrow batch at most: rows hold whole documents, and a batch is held on
+#: both sides. A single longer row is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 500, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -36,6 +37,7 @@ def prepare(spark: SparkSession) -> None:
     Python workers' path (same machine only; on a cluster ship the package with
     ``--py-files``)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
