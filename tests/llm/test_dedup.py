@@ -93,7 +93,6 @@ def test_crowded_regions_are_searched_to_the_end(spark, monkeypatch):
     """Unlinked relatives of one text crowd every order; links hide among them."""
     monkeypatch.setattr(near_dedup, "WINDOW", 2)
     monkeypatch.setattr(near_dedup, "ROWS_PER_TASK", 500)
-    monkeypatch.setattr(near_dedup, "CROWD_LEAST", 8)
     monkeypatch.setattr(near_dedup, "CROWD_BLOCK", 16)
     monkeypatch.setattr(near_dedup, "CROWD_SHINGLES", 10_000)
     rng = np.random.default_rng(3)

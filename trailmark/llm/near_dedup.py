@@ -10,12 +10,11 @@ Candidates come in three rounds. The first takes only next neighbours in a few o
 confirmed links already join most groups of copies. The second takes WINDOW neighbours in
 all orders, those with the longest common prefixes, but only pairs that aren't connected
 yet, so a group of many copies costs a few comparisons a row and not the square of its
-size. That searches every region of at most WINDOW + 1 rows to the end. The third adapts
-its depth to the regions that are more crowded: it descends to their parts that share all
-VALUES values, searches those that are still crowded and not connected in blocks of rows
-with their full sets, and comes up level by level to ``depth``. What deeper levels have
-joined needn't be compared again: all rows outside a region's largest connected part are
-held against all others. So no candidate is left out. Candidates must pass a length test
+size. That searches every region of at most WINDOW + 1 rows to the end. The third finishes
+more crowded regions in blocks of rows with their full sets, and adapts its depth to them:
+in a region of more rows than a block it descends to the parts that share all VALUES
+values and comes up level by level to ``depth``. What has been joined needn't be compared
+again: all rows outside a region's largest connected part are held against all others. So no candidate is left out. Candidates must pass a length test
 that is exact and a sketch test that a pair at the threshold fails once in a million
 times before full sets are compared.
 """
@@ -41,9 +40,10 @@ FIRST_TREES, WINDOW = 8, 16
 #: How often at most all orders may miss a pair at the threshold, and the sketch test.
 MISS_ORDERS, MISS_SKETCH = 5e-6, 1e-6
 ROWS_PER_TASK = 100_000
-#: Rows of a crowded region, least and most, and shingles in them, that are held against
-#: as many others in one task.
-CROWD_LEAST, CROWD_BLOCK, CROWD_SHINGLES = 256, 2048, 2_000_000
+#: Rows of a crowded region, and shingles in them, that are held against as many others
+#: in one task. Only regions of more rows than one task takes descend to deeper levels.
+CROWD_BLOCK, CROWD_SHINGLES = 2048, 2_000_000
+CROWD_ROWS_PER_FILE = 500_000
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
 #: Ids (16 bytes each) that are sent to all executors at most, to filter the texts by.
@@ -316,16 +316,15 @@ def shingle_sets(ends: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     return out
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough: (a, b), stored."""
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, list[DataFrame]]:
+    """The pairs whose full shingle sets are similar enough: (a, b); and the stored tables
+    that they are read from."""
     pairs = stored(pairs, "pairs")
     sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs)
     left = pairs.join(sets.withColumnRenamed("node", "a"), "a").withColumnRenamed("shingles", "x")
     both = left.join(sets.withColumnRenamed("node", "b"), "b").withColumnRenamed("shingles", "y")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    out = stored(both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b"), "confirmed")
-    discard(pairs, sets)
-    return out
+    return both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b"), [pairs, sets]
 
 
 def _blockwise(forest: Forest, depth: int):
@@ -361,62 +360,73 @@ def _blockwise(forest: Forest, depth: int):
     return run
 
 
-def crowd_links(rows: DataFrame, classes: DataFrame, docs: DataFrame, forest: Forest, depth: int) -> DataFrame | None:
-    """Links (a, b), stored, between classes of different parts among rows (tree, key, node,
-    n) of crowded regions that share depth values; None where no region is open there.
+def crowd_links(rows: DataFrame, sets: DataFrame, classes: DataFrame, forest: Forest, depth: int) -> tuple[DataFrame, list[DataFrame]] | None:
+    """Links (a, b) between classes of different parts among rows (tree, key, node, n) of
+    crowded regions that share depth values, and the stored table that they are read from;
+    None where no region is open there. sets holds the rows' shingles.
 
     A region's largest part needn't be compared with itself, so a group of copies costs
     its size times the few rows beside it. A task holds two blocks, whatever the region's
     size, and only links leave it.
     """
+    files = 1 + rows.count() // CROWD_ROWS_PER_FILE
     rows = rows.withColumn("key", F.expr(f"substring(key, 1, {2 * depth})")).join(classes.select("node", "part"), "node")
     sizes = rows.groupBy("tree", "key", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
     sizes = sizes.groupBy("tree", "key").agg(F.max(F.struct("rows", "part", "n")).alias("main"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
-    block = lambda rows: F.least(F.lit(CROWD_BLOCK), F.greatest(F.lit(CROWD_LEAST), 8 * F.sqrt(rows)))
-    blocks = lambda rows, n: F.greatest(F.ceil(rows / block(rows)), F.ceil(n / CROWD_SHINGLES)).cast("int")
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / CROWD_BLOCK), F.ceil(n / CROWD_SHINGLES)).cast("int")
     mains, others = blocks(F.col("main.rows"), F.col("main.n")), blocks(F.col("rows") - F.col("main.rows"), F.col("n") - F.col("main.n"))
     sizes = sizes.where(f"rows > {WINDOW + 1} and rows > main.rows").select("tree", "key", F.col("main.part").alias("main"), mains.alias("mains"), others.alias("others"))
     dealt = rows.select("tree", "key", "node", "part").join(sizes, ["tree", "key"]).withColumn("is_main", F.expr("part = main"))
-    dealt = stored(dealt.withColumn("block", F.expr("cast(pmod(xxhash64(node), if(is_main, mains, others)) as int)")), "dealt")
+    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(node), if(is_main, mains, others)) as int)"))
+    dealt = stored(dealt.coalesce(files), "dealt")
     if dealt.isEmpty():
         discard(dealt)
         return None
-    sets = shingle_sets(dealt.select("node").distinct(), classes, docs)
     met = F.expr("""if(is_main, transform(sequence(0, others - 1), k -> struct(0 as kind, k as x, block as y)),
         concat(transform(sequence(0, mains - 1), k -> struct(0 as kind, block as x, k as y)),
                transform(sequence(0, others - 1), k -> struct(1 as kind, least(block, k) as x, greatest(block, k) as y))))""")
     held = ["node", "part", "is_main", "block"]
     sent = dealt.select("tree", "key", F.explode(met).alias("t"), *held).select("tree", "key", "t.*", *held)
     sent = sent.join(classes.select("node", "n", "sketch", "signature"), "node").join(sets, "node")
-    links = stored(sent.groupBy("tree", "key", "kind", "x", "y").applyInArrow(_blockwise(forest, depth), "a long, b long"), "crowd-links")
-    discard(dealt, sets)
-    return links
+    return sent.groupBy("tree", "key", "kind", "x", "y").applyInArrow(_blockwise(forest, depth), "a long, b long"), [dealt]
 
 
 def _uncrowded(classes: DataFrame, regions: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     """classes with the parts joined that links within crowded regions connect, searched
-    from the deepest level up."""
+    from the deepest level up. The rows' shingles are made once for all levels."""
     regions = F.broadcast(regions) if regions.count() <= MAX_BROADCAST else regions
-    orders = _orders(classes, TREES, VALUES, ["node", "n"]).withColumnRenamed("key", "whole")
+    orders = _orders(classes, TREES, VALUES, ["node", "n", "part"]).withColumnRenamed("key", "whole")
     rows = orders.withColumn("key", F.expr(f"substring(whole, 1, {2 * forest.depth})")).join(regions, ["tree", "key"])
-    rows = stored(rows.select("tree", F.col("whole").alias("key"), "node", "n"), "crowds")
-    for depth in forest.levels():
-        links = crowd_links(rows, classes, docs, forest, depth)
-        if links is not None:
-            classes = _joined(classes, links)
-    discard(rows)
+    still = rows.groupBy("tree", "key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("rows"))
+    still = still.where("least <> most").select("tree", "key", F.expr(f"rows > {CROWD_BLOCK}").alias("large"))
+    rows = stored(rows.join(still, ["tree", "key"]).select("tree", F.col("whole").alias("key"), "node", "n", "large"), "crowds")
+    if rows.isEmpty():
+        discard(rows)
+        return classes
+    sets = shingle_sets(rows.select("node").distinct(), classes, docs)
+    large = rows.where("large")
+    for depth in forest.levels() if not large.isEmpty() else [forest.depth]:
+        found = crowd_links(rows if depth == forest.depth else large, sets, classes, forest, depth)
+        if found:
+            classes = _joined(classes, *found)
+    discard(rows, sets)
     return classes
 
 
-def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes with the parts that links (a, b) between their nodes join made one."""
+def _joined(classes: DataFrame, links: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """classes with the parts that links (a, b) between their nodes join made one; spent
+    tables have then been read for the last time."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
     between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
     between = stored(between.distinct(), "links")
+    discard(*spent)
+    if between.isEmpty():
+        discard(between)
+        return classes
     roots = components(between).select(F.col("node").alias("part"), "root")
     new = classes.join(roots, "part", "left").withColumn("part", F.coalesce("root", "part")).select(*classes.columns)
     out = stored(new, "parts")
-    discard(between, links, classes)
+    discard(between, classes)
     return out
 
 
@@ -432,14 +442,12 @@ def _members(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     classes = stored(sets.withColumn("node", F.monotonically_increasing_id()).withColumn("part", F.col("node")), "classes")
 
     pairs, _, near = candidates(classes, FIRST_TREES, 1, forest)
-    links = confirmed(pairs, classes, docs, percent)
-    discard(near)
-    joined = _joined(classes, links)
+    links, spent = confirmed(pairs, classes, docs, percent)
+    joined = _joined(classes, links, [*spent, near])
     pairs, crowded, near = candidates(joined, TREES, WINDOW, forest)
     crowded = stored(crowded, "crowded")
-    links = confirmed(pairs, joined, docs, percent)
-    discard(near)
-    joined = _joined(joined, links)
+    links, spent = confirmed(pairs, joined, docs, percent)
+    joined = _joined(joined, links, [*spent, near])
     if not crowded.isEmpty():
         joined = _uncrowded(joined, crowded, docs, forest)
     discard(crowded)
