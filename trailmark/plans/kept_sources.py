@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.session import scratch
-from trailmark.sources import archives, tables
+from trailmark.sources import archives, recorder, tables
 
 from .registry import query
 
@@ -107,3 +107,41 @@ def csv_round_trip(load):
     path = scratch(p.sparkSession, "csv")
     p.write.option("header", True).option("escape", '"').csv(path)
     return p.sparkSession.read.option("header", True).option("escape", '"').schema(p.schema).csv(path)
+
+
+def _recorder_log(load):
+    """Customers' orders as a recorder log per remainder of the customer's key: a frame an
+    order, its customer an actor that moves."""
+    o = load("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    path = scratch(o.sparkSession, "recorder")
+    text = lambda c: F.col(c).cast("string")
+    place = F.concat(F.lit("("), text("o_orderkey"), F.lit(", "), text("o_custkey"), F.lit(", 0) Rotation (0, 0, "), (F.col("o_custkey") % 360).cast("string"), F.lit(")"))
+    frame = F.concat(
+        F.lit("Frame "), text("o_orderkey"), F.lit(" at "), (F.col("o_orderkey") / 10).cast("decimal(18,1)").cast("string"), F.lit(" seconds\n"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" Create "), text("o_orderkey"), F.lit(": vehicle.kind"), (F.col("o_orderkey") % 3).cast("string"), F.lit(" (1) at (100, 200, 300)\n  role_name = hero\n  color = 1,2,3\n"))).otherwise(""),
+        F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit(" Collision id 1 between "), text("o_custkey"), F.lit(" with "), text("o_orderkey"), F.lit("\n"))).otherwise(""),
+        F.lit(" Positions: 1\n  Id: "), text("o_custkey"), F.lit(" Location: "), place,
+        F.lit("\n Vehicle animations: 1\n  Id: "), text("o_custkey"), F.lit(" Steering: 0.5 Throttle: 0.25 Brake: 0 Handbrake: 0 Gear: "), (F.col("o_custkey") % 5).cast("string"),
+        F.lit("\n Current platform time: 1.5\n"),
+    )
+    o.select(frame.alias("value")).write.text(path)
+    return o.sparkSession, path
+
+
+@query("SELECT o_orderkey AS frame, o_custkey AS actor, round(o_orderkey / 100, 6) AS x, round(o_custkey / 100, 6) AS y, (o_custkey % 360)::DOUBLE AS yaw, 0.25 AS throttle, (o_custkey % 5)::DOUBLE AS gear FROM orders")
+def recorder_states(load):
+    """Poses and controls from a recorder log."""
+    told = recorder.lines(recorder.records(*_recorder_log(load)))
+    return recorder.states(told).select("frame", "actor", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "yaw", "throttle", "gear")
+
+
+@query("SELECT o_orderkey AS actor, 'vehicle.kind' || (o_orderkey % 3) AS type_id, o_orderkey AS created, 'hero' AS role, '1,2,3' AS color FROM orders WHERE o_orderkey % 5 = 0")
+def recorder_actors(load):
+    told = recorder.lines(recorder.records(*_recorder_log(load)))
+    own = F.col("attributes")
+    return recorder.actors(told).select("actor", "type_id", "created", own["role_name"].alias("role"), own["color"].alias("color"))
+
+
+@query("SELECT o_orderkey AS frame, o_custkey AS actor, o_orderkey AS other FROM orders WHERE o_orderkey % 7 = 0")
+def recorder_collisions(load):
+    return recorder.collisions(recorder.lines(recorder.records(*_recorder_log(load)))).select("frame", "actor", "other")
