@@ -4,14 +4,14 @@ from collections import Counter
 
 import corpus_pipeline
 from test_dedup import brute_near
-from test_placing import brute_ids, crc
+from test_placing import brute_ids, brute_mix, crc
 from test_texts import brute_quality
 
 from trailmark.llm import mixing
 
 
 def test_stages_match_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 150")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     rows = [tuple(r) for r in docs.collect()]
     stages = dict(corpus_pipeline.STAGES)
@@ -32,7 +32,8 @@ def test_stages_match_brute_force(spark, sf):
     docs = stages["near_dedup"](spark, docs, sf)
     assert docs.columns == columns and Counter(map(tuple, docs.collect())) == Counter(rows)
 
-    times = {r.doc_id: round(r.taken / r["size"]) for r in mixing.mix(docs).collect()}
+    at = [docs.columns.index(c) for c in ("doc_id", "source", "text")]
+    times = {i: round(taken / size) if size else 0 for i, size, *_, taken, _, _ in brute_mix([tuple(r[k] for k in at) for r in rows], mixing.BLOCK)}
     rows = [r for r in rows for _ in range(times[r[0]])]
     docs = stages["source_mix"](spark, docs, sf)
     assert docs.columns == columns and Counter(map(tuple, docs.collect())) == Counter(rows)

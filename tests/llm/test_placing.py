@@ -162,6 +162,64 @@ def brute_slots(need):
     return out + [(total + r, s, r) for s in range(len(need)) for r in range(min(left[s], need[s]), need[s])]
 
 
+class Long(int):
+    """An integer that Spark hashes as eight bytes; others are hashed as four."""
+
+
+def brute_mix(rows, block):
+    """(id, size, source size, target, taken, slot, offset) of (id, source, text) rows, from
+    plain loops: targets by repeated sharing, streams by hash, slots one by one."""
+    import xxhash
+
+    def hashed(*values):
+        h = 42
+        for v in values:
+            if v is not None:
+                data = v.encode() if isinstance(v, str) else v.to_bytes(8 if isinstance(v, Long) else 4, "little", signed=True)
+                h = xxhash.xxh64_intdigest(data, h)
+        return h - (1 << 64) if h >> 63 else h
+
+    docs = defaultdict(list)
+    for i, source, text in rows:
+        own = None if i is None else Long(i)
+        keys = [hashed(k, i is None, source is None, text is None, own, source, text) for k in (1, 2)]
+        order = hashed(Long(keys[0]), "mix")
+        docs[source].append((order % 2**64 >> 32, order, *keys, i, len((text or "").encode().split())))
+    names = sorted(docs, key=lambda s: (s is None, s or ""))
+    sizes = [sum(d[-1] for d in docs[n]) for n in names]
+    weights, full = [(5, 2, 1)[k % 3] for k in range(len(names))], {}
+    while True:
+        left = sum(sizes) - sum(full.values())
+        share = {k: left * weights[k] / sum(w for j, w in enumerate(weights) if j not in full) for k in range(len(names)) if k not in full}
+        above = [k for k, x in share.items() if x > 3 * sizes[k]]
+        if not above:
+            break
+        full |= {k: 3.0 * sizes[k] for k in above}
+    aims = full | share
+    words = [min(round(aims[k]), 3 * n) for k, n in enumerate(sizes)]
+    blocks = [-(-n // block) for n in sizes]
+    need = [w // n * b + -(-(w % n) // block) if n else 0 for w, n, b in zip(words, sizes, blocks)]
+    slot_of = {(s, r): t for t, s, r in brute_slots(need)} if sum(need) else {}
+    out = []
+    for k, name in enumerate(names):
+        start, n = 0, sizes[k]
+        for *_, i, size in sorted(docs[name]):
+            taken = words[k] // n * size + max(0, min(size, words[k] % n - start)) if size else 0
+            out.append((i, size, n, round(aims[k], 6), taken, slot_of[k, start // block] if taken else None, start % block if taken else None))
+            start += size
+    return out
+
+
+@pytest.mark.parametrize("block", [16, 64, mixing.BLOCK])
+def test_mix_matches_brute_force(docs, corpus, spark, sf, block):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for df in (docs, table) if block == 64 else (docs,):
+        rows = [(r.doc_id, r.source, r.text) for r in df.select("doc_id", "source", "text").collect()]
+        got = [(r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken, r.slot, r.slot_offset) for r in mixing.mix(df, block=block).collect()]
+        key = lambda r: tuple((x is None, x or 0) for x in r)
+        assert sorted(got, key=key) == sorted(brute_mix(rows, block), key=key)
+
+
 def test_schedule_matches_brute_force(spark):
     for need in ([30, 12, 5, 0, 1], [100], [7, 7, 7]):
         assert sorted(tuple(r) for r in mixing.schedule(spark, need, chunk_slots=32).collect()) == sorted(brute_slots(need))
