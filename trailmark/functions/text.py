@@ -66,3 +66,45 @@ def log_time(text: Column, zone: Column) -> Column:
     # Hours west of UTC.
     hours = F.when(zone == "PDT", 7).when(zone == "PST", 8).when(zone == "UTC", 0)
     return F.to_timestamp(text) + F.make_dt_interval(F.lit(0), hours)
+
+
+def with_placeholders(text: Column, values: list[tuple[str, str]], patterns: list[tuple[str, str]] = ()) -> Column:
+    """Concrete values replaced by their placeholders in turn, then patterns: a template."""
+    for value, placeholder in values:
+        text = F.replace(text, F.lit(value), F.lit(placeholder))
+    for pattern, placeholder in patterns:
+        text = F.regexp_replace(text, pattern, placeholder)
+    return text
+
+
+# Fixed value: a term of a printed polynomial.
+TERM = r"([+-]?)\s*(?:\(([\d.eE+-]+)\)|([\d.]+))(?:\s*·\s*[a-z]+(²|³|⁴)?)?"
+
+
+def polynomial(text: Column, symbol: str) -> Column:
+    """Coefficients, of power 0 first, of a printed polynomial of degree 4 at most; of terms
+    that share a power the last one counts."""
+    text = F.replace(text, F.lit("\n"), F.lit(" "))
+    part = lambda k: F.regexp_extract_all(text, F.lit(TERM), F.lit(k))
+    terms = F.arrays_zip(part(0).alias("all"), part(1).alias("sign"), part(2).alias("small"), part(3).alias("plain"), part(4).alias("power"))
+    powers = {"": 1, "²": 2, "³": 3, "⁴": 4}
+    power = lambda t: F.when(t["all"].contains(symbol), F.element_at(F.create_map(*[F.lit(x) for kv in powers.items() for x in kv]), t["power"])).otherwise(F.lit(0))
+    value = lambda t: F.when(t["sign"] == "-", -1.0).otherwise(1.0) * F.coalesce(F.nullif(t["small"], F.lit("")), t["plain"]).try_cast("double")
+    of = lambda p: F.coalesce(F.try_element_at(F.transform(F.filter(terms, lambda t: power(t) == p), value), F.lit(-1)), F.lit(0.0))
+    return F.array(*[of(p) for p in range(5)])
+
+
+def rephrased(text: Column, phrases: dict[str, list[str]], draw: Column) -> Column:
+    """Each phrase, in turn, replaced by one of its variants that draw (a text) picks; where
+    only its lower case occurs, that by the variant in lower case."""
+    for phrase, variants in phrases.items():
+        pick = F.conv(F.substring(F.md5(F.concat_ws(":", draw, F.lit(phrase))), 1, 8), 16, 10).cast("long") % len(variants)
+        chosen = F.get(F.array(*[F.lit(v) for v in variants]), pick.cast("int"))
+        low = F.when(text.contains(phrase.lower()), F.replace(text, F.lit(phrase.lower()), F.lower(chosen))).otherwise(text)
+        text = F.when(text.contains(phrase), F.replace(text, F.lit(phrase), chosen)).otherwise(low)
+    return text
+
+
+def blank(text: Column) -> Column:
+    """Whether a forced text came to nothing; null did not."""
+    return F.coalesce(F.regexp_replace(text, r"\s+", "") == "", F.lit(False))
