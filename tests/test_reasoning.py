@@ -172,3 +172,12 @@ def test_rebalanced(spark):
     out = sampling.rebalanced(spark.createDataFrame(rows, "k long, c string"), "k", "c", 1000, 5, {"thin": 0.05}).collect()
     total = {c: sum(r.times for r in out if r.c == c) for c in ("rare", "common", "thin")}
     assert total["rare"] == 50 and abs(total["common"] - 1000) < 80 and abs(total["thin"] - 1000) < 120 and max(r.times for r in out) <= 5
+
+
+def test_polynomials_and_phrases(spark):
+    from trailmark.functions import text
+
+    df = spark.createDataFrame([("0.0 + 931.87·th + 28.17·th² - 66.33·th³ +\n20.03·th⁴", "Stop here", None), ("- (3.90e-08)·th² + 1.5", "stop here", " "), (None, None, "x")], "p string, said string, cot string")
+    rows = df.select(text.polynomial(F.col("p"), "th").alias("p"), text.rephrased(F.col("said"), {"Stop": ["Halt"]}, F.lit("1")).alias("s"), text.blank(F.col("cot")).alias("b")).collect()
+    assert rows[0].p == [0.0, 931.87, 28.17, -66.33, 20.03] and rows[1].p == [1.5, 0.0, -3.9e-08, 0.0, 0.0]
+    assert [r.s for r in rows] == ["Halt here", "halt here", None] and [r.b for r in rows] == [False, True, False]

@@ -148,3 +148,58 @@ def test_arrow_batches_are_bounded_by_bytes(spark):
     df = spark.range(0, 60, 1, 1).selectExpr("id", "repeat('x', 1000000) as text")
     sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["id"]) for b in batches), "id long").collect()
     assert len(sizes) > 5 and max(r.id for r in sizes) < 2 * ARROW_BYTES
+
+
+LOG = """Version: 1
+Map: Town04
+Date: 07/01/20 10:00:00
+
+Frame 1 at 0 seconds
+ Create 25: vehicle.tesla.model3 (1) at (100, -200, 50)
+  role_name = hero
+  number_of_wheels = 4
+ Create 26: walker.pedestrian.0001 (2) at (0, 0, 0)
+ Parenting 26 with 25 (parent)
+ Positions: 2
+  Id: 25 Location: (100.5, -200, 50) Rotation (1, 2, 90)
+  Id: 26 Location: (0, 0, 0) Rotation (0, 0, 0)
+ Vehicle animations: 1
+  Id: 25 Steering: -0.5 Throttle: 0.75 Brake: 0 Handbrake: 0 Gear: 2
+ Dynamic actors: 1
+  Id: 25 Velocity: (1, 2.5, 0) Angular: (0, 0, 1)
+ Current platform time: 12.5
+
+Frame 2 at 0.05 seconds
+ Destroy 26
+ Collision id 1 between 25 (hero) with 30
+ Positions: 1
+  Id: 25 Location: (200, -200, 50) Rotation (1, 2, 91)
+
+Frames: 2
+Duration: 0.05 seconds
+"""
+
+
+def test_recorder_log(spark, tmp_path):
+    from trailmark.sources import recorder
+
+    (tmp_path / "a.log").write_text(LOG)
+    logs = recorder.records(spark, str(tmp_path))
+    told = recorder.lines(logs).cache()
+    head = recorder.simulation(logs).first()
+    assert (head.map, head.date, head.total_frames, head.duration) == ("Town04", "07/01/20 10:00:00", 2, 0.05)
+    assert [(r.frame, r.elapsed, r.delta, r.platform_time) for r in recorder.frames(told).orderBy("frame").collect()] == [(1, 0.0, 0.0, 12.5), (2, 0.05, 0.05, None)]
+    a = {r.actor: r for r in recorder.actors(told).collect()}
+    assert (a[25].type_id, a[25].created, a[25].destroyed, a[25].attributes) == ("vehicle.tesla.model3", 1, None, {"role_name": "hero", "number_of_wheels": "4"})
+    assert (a[26].destroyed, a[26].parent, a[26].attributes) == (2, 25, {})
+    s = {(r.frame, r.actor): r for r in recorder.states(told).collect()}
+    assert len(s) == 3 and (s[1, 25].x, s[1, 25].yaw, s[1, 25].steer, s[1, 25].throttle, s[1, 25].gear, s[1, 25].velocity_y) == (1.005, 90.0, -0.5, 0.75, 2.0, 2.5)
+    assert (s[2, 25].x, s[2, 25].throttle) == (2.0, None)
+    assert [(r.frame, r.actor, r.other) for r in recorder.collisions(told).collect()] == [(2, 25, 30)]
+
+
+def test_criteria(spark):
+    from trailmark.sources import recorder
+
+    df = spark.createDataFrame([(1, {"speed": ("OK", 3.0, 4.0, "x")})], "route int, c map<string, struct<test_status: string, actual_value: double, success_value: double, name: string>>")
+    assert [tuple(r) for r in recorder.criteria(df, "c").collect()] == [(1, "speed", "OK", 3.0, 4.0)]

@@ -22,7 +22,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 def simulation(logs: DataFrame) -> DataFrame:
     """log, map, date, total_frames, duration: from a log's first and last records."""
     pick = lambda pattern: F.max(F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")))
-    out = logs.groupBy("log").agg(pick(r"(?m)^Map: (.*)$").alias("map"), pick(r"(?m)^Date: (.*)$").alias("date"), pick(r"^s: ([0-9]+)\n").alias("total_frames"), pick(r"(?m)^Duration: ([0-9.]+) seconds").alias("duration"))
+    out = logs.groupBy("log").agg(pick(r"(?m)^Map: (.*)$").alias("map"), pick(r"(?m)^Date: (.*)$").alias("date"), pick(r"(?m)^Frames: ([0-9]+)").alias("total_frames"), pick(r"(?m)^Duration: ([0-9.]+) seconds").alias("duration"))
     return out.withColumn("total_frames", F.col("total_frames").cast("long")).withColumn("duration", F.col("duration").cast("double"))
 
 
@@ -73,12 +73,12 @@ def states(told: DataFrame) -> DataFrame:
     """log, frame, actor: pose (metres and degrees), control and velocity, each null where a
     frame doesn't tell."""
     places = {
-        "Positions": {"x": (3, 0.01), "y": (4, 0.01), "z": (5, 0.01), "roll": (7, 1.0), "pitch": (8, 1.0), "yaw": (9, 1.0)},
+        "Positions": {"x": (3, 100.0), "y": (4, 100.0), "z": (5, 100.0), "roll": (7, 1.0), "pitch": (8, 1.0), "yaw": (9, 1.0)},
         "Vehicle animations": {"steer": (3, 1.0), "throttle": (5, 1.0), "brake": (7, 1.0), "gear": (11, 1.0)},
         "Dynamic actors": {"velocity_x": (3, 1.0), "velocity_y": (4, 1.0), "velocity_z": (5, 1.0)},
     }
     inside = told.where(F.col("line").startswith("  ") & F.col("section").rlike("^(" + "|".join(places) + ")"))
-    fields = [F.max(F.when(F.col("section").startswith(s), _number(2, k) * scale)).alias(n) for s, cs in places.items() for n, (k, scale) in cs.items()]
+    fields = [F.max(F.when(F.col("section").startswith(s), _number(2, k) / scale)).alias(n) for s, cs in places.items() for n, (k, scale) in cs.items()]
     return inside.groupBy("log", "frame", _word(2, 1).try_cast("long").alias("actor")).agg(*fields)
 
 
