@@ -121,7 +121,7 @@ def test_depth_and_sketch_follow_the_threshold():
         f, p = near_dedup.Forest.of(percent), percent / 100
         assert (1 - p**f.depth) ** near_dedup.TREES <= near_dedup.MISS_ORDERS or f.depth == 1
         assert f.depth == near_dedup.VALUES or (1 - p ** (f.depth + 1)) ** near_dedup.TREES > near_dedup.MISS_ORDERS
-        q, n = p + (1 - p) / 4, near_dedup.TREES * near_dedup.VALUES
+        q, n = p + (1 - p) / 2**near_dedup.BITS, near_dedup.TREES * near_dedup.VALUES
         below = lambda k: sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k))  # noqa: E731, B023
         assert below(f.least) <= near_dedup.MISS_SKETCH < below(f.least + 1)
         assert f.levels()[0] == near_dedup.VALUES and f.levels()[-1] == f.depth
@@ -161,7 +161,7 @@ def test_signatures_estimate_similarity():
             n = 1500
             common = int(2 * n * share / (1 + share))
             a, b = np.sort(whole[:n]), np.sort(np.concatenate([whole[:common], whole[n : 2 * n - common]]))
-            values, _ = near_dedup.signatures([a, b])
+            values, sketch = near_dedup.signatures([a, b])
             errors.append((values[0] == values[1]).mean() - common / (2 * n - common))
             rng.shuffle(whole)
         assert abs(np.mean(errors)) < 0.03

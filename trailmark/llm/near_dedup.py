@@ -15,8 +15,8 @@ more crowded regions in blocks of rows with their full sets, and adapts its dept
 in a region of more rows than a block it descends to the parts that share all VALUES
 values and comes up level by level to ``depth``. What has been joined needn't be compared
 again: all rows outside a region's largest connected part are held against all others. So no candidate is left out. Candidates must pass a length test
-that is exact and a sketch test that a pair at the threshold fails once in a million
-times before full sets are compared.
+that is exact and a sketch test that a pair at the threshold fails once in a hundred
+thousand times before full sets are compared.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ PERCENT = 85
 TREES, VALUES = 24, 8
 FIRST_TREES, WINDOW = 8, 16
 #: How often at most all orders may miss a pair at the threshold, and the sketch test.
-MISS_ORDERS, MISS_SKETCH = 5e-6, 1e-6
+MISS_ORDERS, MISS_SKETCH = 5e-6, 1e-5
+#: Bits of a MinHash value in the sketch: with fewer, unlike values often look alike.
+BITS = 4
 ROWS_PER_TASK = 100_000
 #: Rows of a crowded region, and shingles in them, that are held against as many others
 #: in one task. Only regions of more rows than one task takes descend to deeper levels.
@@ -67,8 +69,8 @@ class Forest:
     def of(cls, percent: int) -> Forest:
         p = percent / 100
         depth = max(d for d in range(1, VALUES + 1) if d == 1 or (1 - p**d) ** TREES <= MISS_ORDERS)
-        # of the sketch's positions a pair shares each with chance q: two bits by accident too
-        q, below, least = p + (1 - p) / 4, 0.0, 0
+        # of the sketch's positions a pair shares each with chance q, by accident too
+        q, below, least = p + (1 - p) / (1 << BITS), 0.0, 0
         while (below := below + math.comb(_HASHES, least) * q**least * (1 - q) ** (_HASHES - least)) <= MISS_SKETCH:
             least += 1
         return cls(percent, depth, least)
@@ -132,22 +134,22 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """16 bits of each MinHash value (big-endian), and a packed sketch of two bits of each.
+    """16 bits of each MinHash value (big-endian), and a packed sketch of BITS more of each.
     Empty sets get zeros."""
     rng = np.random.default_rng(20)
     flips = rng.integers(0, 1 << 32, _HASHES, np.uint32)
     odds = rng.integers(0, 1 << 32, _HASHES, np.uint32) | np.uint32(1)
     full = [i for i, s in enumerate(sets) if len(s)]
     values = np.zeros((len(sets), _HASHES), ">u2")
-    bits = np.zeros((len(sets), _HASHES, 2), bool)
+    nibbles = np.zeros((len(sets), _HASHES), np.uint8)
     if full:
         x = (np.concatenate([sets[i] for i in full]) >> _U(32)).astype(np.uint32)
         at = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
         for k in range(_HASHES):
             low = np.minimum.reduceat((x ^ flips[k]) * odds[k], at) * np.uint32(0x9E3779B1)
             values[full, k] = low >> np.uint32(16)
-            bits[full, k, 0], bits[full, k, 1] = low >> np.uint32(15) & np.uint32(1), low >> np.uint32(14) & np.uint32(1)
-    return values, np.packbits(bits.reshape(len(sets), -1), axis=1)
+            nibbles[full, k] = low >> np.uint32(16 - BITS) & np.uint32((1 << BITS) - 1)
+    return values, nibbles[:, ::2] << BITS | nibbles[:, 1::2]
 
 
 # ---- stages
@@ -191,13 +193,14 @@ def _like_sized(n, m, ratio: int) -> np.ndarray:
 
 def _alike(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
     z = x ^ y
-    return _HASHES - np.bitwise_count((z | z >> 1) & 0x55).sum(1, dtype=np.int64) >= least
+    z |= z >> 2
+    return _HASHES - np.bitwise_count((z | z >> 1) & 0x11).sum(1, dtype=np.int64) >= least
 
 
 def _arrays(batch: pa.RecordBatch):
     m = len(batch)
     blob = lambda name, w: np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(m, w)
-    return batch.column("tree").to_numpy(), blob("key", 2 * VALUES), batch.column("part").to_numpy(), batch.column("n").to_numpy(), blob("sketch", _HASHES // 4)
+    return batch.column("tree").to_numpy(), blob("key", 2 * VALUES), batch.column("part").to_numpy(), batch.column("n").to_numpy(), blob("sketch", _HASHES * BITS // 8)
 
 
 def _neighbours(window: int, forest: Forest):
