@@ -27,7 +27,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 #: Percent of shared five-word shingles from which two documents are near-duplicates.
-NEAR_PERCENT = 80
+NEAR_PERCENT = 85
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
