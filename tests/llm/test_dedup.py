@@ -94,6 +94,7 @@ def test_crowded_regions_are_searched_to_the_end(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "WINDOW", 2)
     monkeypatch.setattr(near_dedup, "ROWS_PER_TASK", 500)
     monkeypatch.setattr(near_dedup, "CROWD_BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "DESCEND", 1)
     monkeypatch.setattr(near_dedup, "CROWD_SHINGLES", 10_000)
     rng = np.random.default_rng(3)
     base, rows = [f"w{i}" for i in range(300)], []

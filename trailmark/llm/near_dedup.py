@@ -12,8 +12,8 @@ all orders, those with the longest common prefixes, but only pairs that aren't c
 yet, so a group of many copies costs a few comparisons a row and not the square of its
 size. That searches every region of at most WINDOW + 1 rows to the end. The third finishes
 more crowded regions in blocks of rows with their full sets, and adapts its depth to them:
-in a region of more rows than a block it descends to the parts that share all VALUES
-values and comes up level by level to ``depth``. What has been joined needn't be compared
+in a region of many blocks it descends to the parts that share all VALUES values and comes
+up level by level to ``depth``. What has been joined needn't be compared
 again: all rows outside a region's largest connected part are held against all others. So no candidate is left out. Candidates must pass a length test
 that is exact and a sketch test that a pair at the threshold fails once in a hundred
 thousand times before full sets are compared.
@@ -36,15 +36,16 @@ from .components import components
 SHINGLE = 5
 PERCENT = 85
 TREES, VALUES = 24, 8
-FIRST_TREES, WINDOW = 8, 16
+FIRST_TREES, WINDOW, NEAREST = 8, 16, 4
 #: How often at most all orders may miss a pair at the threshold, and the sketch test.
 MISS_ORDERS, MISS_SKETCH = 5e-6, 1e-5
 #: Bits of a MinHash value in the sketch: with fewer, unlike values often look alike.
 BITS = 4
 ROWS_PER_TASK = 100_000
 #: Rows of a crowded region, and shingles in them, that are held against as many others
-#: in one task. Only regions of more rows than one task takes descend to deeper levels.
-CROWD_BLOCK, CROWD_SHINGLES = 2048, 2_000_000
+#: in one task. Deeper levels send each row once or twice more, which pays in regions of
+#: more than DESCEND blocks.
+CROWD_BLOCK, CROWD_SHINGLES, DESCEND = 2048, 2_000_000, 8
 CROWD_ROWS_PER_FILE = 500_000
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
@@ -170,11 +171,14 @@ _NEAR = f"a long, b long, boundary int, tail boolean, {_ROW}"
 
 
 def _close(tree, key, part, n, sketch, window: int, forest: Forest) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, i + j), j up to window, that may be linked."""
+    """Index pairs (i, i + j), j up to window, that may be linked; in crowded regions, which
+    the third round finishes, j up to NEAREST."""
     region = np.cumsum(_starts(tree, key, forest.depth))
+    crowded = np.bincount(region)[region] > window + 1 if len(region) else np.zeros(0, bool)
     out = []
     for j in range(1, min(window, len(tree) - 1) + 1):
-        i = np.flatnonzero((region[j:] == region[:-j]) & (part[j:] != part[:-j]) & _like_sized(n[j:], n[:-j], forest.percent))
+        near = (region[j:] == region[:-j]) & (part[j:] != part[:-j]) & _like_sized(n[j:], n[:-j], forest.percent)
+        i = np.flatnonzero(near & ~crowded[j:]) if j > NEAREST else np.flatnonzero(near)
         i = i[_alike(sketch[i], sketch[i + j], forest.least)]
         out.append((i, i + j))
     return out
@@ -401,7 +405,7 @@ def _uncrowded(classes: DataFrame, regions: DataFrame, docs: DataFrame, forest:
     orders = _orders(classes, TREES, VALUES, ["node", "n", "part"]).withColumnRenamed("key", "whole")
     rows = orders.withColumn("key", F.expr(f"substring(whole, 1, {2 * forest.depth})")).join(regions, ["tree", "key"])
     still = rows.groupBy("tree", "key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("rows"))
-    still = still.where("least <> most").select("tree", "key", F.expr(f"rows > {CROWD_BLOCK}").alias("large"))
+    still = still.where("least <> most").select("tree", "key", F.expr(f"rows > {DESCEND * CROWD_BLOCK}").alias("large"))
     rows = stored(rows.join(still, ["tree", "key"]).select("tree", F.col("whole").alias("key"), "node", "n", "large"), "crowds")
     if rows.isEmpty():
         discard(rows)
