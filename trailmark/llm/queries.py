@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, huffman, mixing, near_dedup, packing, pii, quality, secrets, sharding, warc
+from . import alignment, exact_dedup, huffman, mixing, near_dedup, packing, pii, quality, resampling, secrets, sharding, va_search, warc
 from .common import table
 
 
@@ -48,6 +48,18 @@ def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents")).drop("n_best_b")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_va_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
     "op3_warc_round_trip": op3_warc_round_trip,
@@ -59,6 +71,9 @@ QUERIES = {
     "op8_grace_dedup": op8_grace_dedup,
     "op9_lsh_forest": op9_lsh_forest,
     "op10_owned_secrets": op10_owned_secrets,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_va_file_search": op13_va_file_search,
 }
 
 ORACLES = {
@@ -121,4 +136,43 @@ ORACLES = {
         SELECT w.doc_id, coalesce(n, 0) AS n_shingles, min(b) AS component_id, w.doc_id = min(b) AS kept
         FROM w JOIN reach ON w.doc_id = reach.a LEFT JOIN sizes ON w.doc_id = sizes.doc_id GROUP BY w.doc_id, n
     """,
+    "op12_importance_resampling": r"""
+        WITH steps AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS tab
+        ), raw AS (
+            SELECT 'd' AS side, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark
+        ), texts AS (
+            SELECT side, t, count(*) AS n, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM raw GROUP BY side, t
+        ), grams AS (
+            SELECT side, t, n, array_to_string(ws[i:i + k - 1], ' ') AS g
+            FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM texts), (VALUES (1), (2), (3)) AS v(k) WHERE i + k - 1 <= len(ws)
+        ), counted AS (SELECT side, t, any_value(n) AS n, g, count(*) AS c FROM grams GROUP BY side, t, g),
+        spelt AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM counted)),
+        hashed AS (
+            SELECT g, xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT),
+                          lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+            FROM spelt, steps
+        ), sums AS (
+            SELECT bucket, coalesce(sum(n * c) FILTER (side = 'd'), 0) AS s, coalesce(sum(n * c) FILTER (side = 'b'), 0) AS t FROM counted JOIN hashed USING (g) GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM sums
+        ), weights AS (
+            SELECT t, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM counted JOIN hashed USING (g) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY t
+        ), scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+            FROM documents LEFT JOIN weights ON coalesce(text, '') = weights.t
+        ), placed AS (SELECT *, n_features >= 57 AS enough, row_number() OVER (PARTITION BY n_features >= 57 ORDER BY score DESC, doc_id) AS r FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= 5 * (SELECT count(*) FROM placed WHERE enough) // 100 THEN r END AS rank FROM placed
+    """,
+    "op13_va_file_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        scored AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * v.v[i]))::BIGINT AS score
+            FROM v AS q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+        )
+        SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM scored
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
+    """,
 }
