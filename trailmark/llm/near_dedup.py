@@ -302,23 +302,23 @@ def candidates(classes: DataFrame, trees: int, window: int, forest: Forest) -> t
 
 
 def shingle_sets(ends: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of the classes whose nodes are in ends, made again from a text."""
-    wanted = stored(classes.join(ends, "node", "left_semi").select("node", "first", "n", "hi", "lo"), "wanted")
+    """(node, shingles) of the classes whose nodes are in ends, made again from a text. A row
+    of docs (id, key1, key2, text) meets the one class of its text at most, however many rows
+    share its id, and of rows alike one is worked on."""
+    wanted = stored(classes.join(ends, "node", "left_semi").select("node", "first", "key1", "key2"), "wanted")
     small = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
-    texts = docs.join(small, docs["id"].eqNullSafe(wanted["first"])).select("node", "n", "hi", "lo", "text")
+    same = (docs["key1"] == wanted["key1"]) & (docs["key2"] == wanted["key2"]) & docs["id"].eqNullSafe(wanted["first"])
+    texts = docs.join(small, same).select("node", "text").dropDuplicates(["node"])
 
     def shingle(batches):
         shingler = Shingler()
         for batch, own in each_slice(batches, limit=SLICE):
             sets = shingler.sets(own)
-            hi, lo = set_keys(sets)
-            # an id may be repeated with other texts: only the class's own set counts
-            right = [i for i, s in enumerate(sets) if (len(s), hi[i], lo[i]) == tuple(batch.column(k)[i].as_py() for k in (1, 2, 3))]
-            values = pa.array(np.concatenate([sets[i] for i in right]).view(np.int64) if right else np.zeros(0, np.int64))
-            ends = pa.array(np.cumsum([0] + [len(sets[i]) for i in right]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), pa.ListArray.from_arrays(ends, values)], ["node", "shingles"])
-
-    out = stored(texts.mapInArrow(shingle, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+            values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, values)], ["node", "shingles"])
+
+    out = stored(texts.mapInArrow(shingle, "node long, shingles array<long>"), "shingles")
     discard(wanted)
     return out
 
@@ -445,18 +445,19 @@ def _members(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     kind = docs.schema["id"].dataType.simpleString()
     keyed = docs.select("id", "text", *_text_keys(F.col("text")))
     made = stored(keyed.mapInArrow(_features, f"id {kind}, key1 long, key2 long, n long, hi long, lo long, signature binary, sketch binary"), "signatures")
-    sets = made.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("id").alias("first"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+    sets = made.where("n > 0").groupBy("n", "hi", "lo").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key1", "key2")).alias("first"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+    sets = sets.select("n", "hi", "lo", F.col("first.id").alias("first"), "first.key1", "first.key2", "signature", "sketch")
     classes = stored(sets.withColumn("node", F.monotonically_increasing_id()).withColumn("part", F.col("node")), "classes")
 
     pairs, _, near = candidates(classes, FIRST_TREES, 1, forest)
-    links, spent = confirmed(pairs, classes, docs, percent)
+    links, spent = confirmed(pairs, classes, keyed, percent)
     joined = _joined(classes, links, [*spent, near])
     pairs, crowded, near = candidates(joined, TREES, WINDOW, forest)
     crowded = stored(crowded, "crowded")
-    links, spent = confirmed(pairs, joined, docs, percent)
+    links, spent = confirmed(pairs, joined, keyed, percent)
     joined = _joined(joined, links, [*spent, near])
     if not crowded.isEmpty():
-        joined = _uncrowded(joined, crowded, docs, forest)
+        joined = _uncrowded(joined, crowded, keyed, forest)
     discard(crowded)
     least = joined.groupBy("part").agg(F.min("first").alias("component_id"))
     named = joined.join(least, "part").select("n", "hi", "lo", "part", "component_id")
