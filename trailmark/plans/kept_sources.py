@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.session import scratch
-from trailmark.sources import archives, recorder, tables
+from trailmark.sources import archives, recorder, tables, versions, zips
 
 from .registry import query
 
@@ -145,3 +145,42 @@ def recorder_actors(load):
 @query("SELECT o_orderkey AS frame, o_custkey AS actor, o_orderkey AS other FROM orders WHERE o_orderkey % 7 = 0")
 def recorder_collisions(load):
     return recorder.collisions(recorder.lines(recorder.records(*_recorder_log(load)))).select("frame", "actor", "other")
+
+
+@query("SELECT c_custkey::VARCHAR AS clip, c_name AS data, c_custkey // 3 AS tag FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey::VARCHAR, c_name, -1 FROM customer WHERE c_custkey % 21 = 0")
+def tar_point_lookup(load):
+    """Clips read by seeking to where an index of headers says they begin; some are asked for
+    twice and some aren't there."""
+    c = load("customer")
+    path = scratch(c.sparkSession, "shards")
+    members = c.select(F.lit("train").alias("split"), F.col("c_custkey").cast("string").alias("clip"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("extension"), F.encode("c_name", "utf-8").alias("data"))
+    archives.write_tar(members, path)
+    wanted = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("clip"), F.floor(F.col("c_custkey") / 3).alias("tag"))
+    more = c.where("c_custkey % 21 = 0").select(F.col("c_custkey").cast("string").alias("clip"), F.lit(-1).cast("long").alias("tag"))
+    missing = c.select(F.concat(F.lit("no"), F.col("c_custkey")).alias("clip"), F.lit(0).cast("long").alias("tag"))
+    found = archives.lookup(wanted.union(more).union(missing), archives.clip_index(c.sparkSession, path))
+    return found.where("extension = 'b'").select("clip", F.col("data").cast("string").alias("data"), "tag")
+
+
+@query("SELECT c_custkey || '/name.txt' AS member, c_name AS data, strlen(c_name)::BIGINT AS bytes FROM customer WHERE starts_with(c_custkey::VARCHAR, '1')")
+def zip_members_by_prefix(load):
+    """Customers as two members each in zip archives by nation; of an archive only its directory
+    and the wanted members are read."""
+    c = load("customer")
+    path = scratch(c.sparkSession, "zips")
+    text = F.explode(F.map_from_arrays(F.array(F.lit("/name.txt"), F.lit("/rest.bin")), F.array(F.col("c_name"), F.repeat("c_name", F.lit(50)))))
+    members = c.select(F.concat(F.lit("nation"), "c_nationkey").alias("archive"), "c_custkey", text.alias("kind", "text"))
+    zips.write_zip(members.select("archive", F.concat("c_custkey", "kind").alias("member"), F.encode("text", "utf-8").alias("data")), path)
+    found = zips.read_zip(c.sparkSession, path).where(F.col("member").startswith("1") & F.col("member").endswith("/name.txt"))
+    return found.select("member", F.col("data").cast("string").alias("data"), "bytes")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def replaced_manifest(load):
+    """A manifest that was written before is replaced in one step."""
+    o = load("orders")
+    path = scratch(o.sparkSession, "manifest")
+    per = o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    versions.overwrite(per.where("status = 'F'"), path)
+    versions.overwrite(per, path)
+    return versions.read(o.sparkSession, path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import geometry, statistics
 from trailmark.functions import sequences as S
-from trailmark.operators import sampling
+from trailmark.operators import pursuit, sampling
 
 from .registry import query
 
@@ -140,3 +140,26 @@ def threshold_sensitivity(load):
     m = load("orders").select("o_orderstatus", v.alias("v"), grid)
     passes = F.col("v") >= F.col("least")
     return m.groupBy(F.round("least", 3).alias("least"), "o_orderstatus").agg(F.count_if(passes).alias("passing"), F.round(F.avg(passes.cast("int")), 9).alias("share"))
+
+
+@query("""
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    a AS (SELECT vec_id AS atom, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM e WHERE vec_id % 20 = 0),
+    s AS (SELECT e.vec_id, atom, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * u[i])) AS c, list_sum(list_transform(v, lambda x: x * x)) AS square FROM e, a)
+    SELECT vec_id, atom, round(c, 6) AS coefficient, round(c * c / square, 6) AS explained FROM s
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, atom) = 1""")
+def pursuit_first_atoms(load):
+    """Every embedding on its best atom, the atoms being the rows with vec_id % 20 = 0."""
+    e = load("embeddings")
+    atoms = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("atom"), "embedding")
+    found = pursuit.gradient_pursuit(e, atoms, 1, "vec_id", "embedding", "atom")
+    return found.select("vec_id", F.get("atoms", F.lit(0)).alias("atom"), F.round(F.get("coefficients", F.lit(0)), 6).alias("coefficient"), F.round("explained", 6).alias("explained"))
+
+
+@query()
+def gradient_pursuit(load):
+    """Every embedding as a non-negative sum of at most four atoms; held against a plain loop
+    in tests."""
+    e = load("embeddings")
+    atoms = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("atom"), "embedding")
+    return pursuit.gradient_pursuit(e, atoms, 4, "vec_id", "embedding", "atom")

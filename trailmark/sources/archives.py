@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-SCHEMA = "shard string, clip string, extension string, offset long, bytes long, data binary"
+SCHEMA = "shard string, clip string, extension string, offset long, bytes long, data binary, uri string"
 
 
 def _at(uri: str):
@@ -77,7 +77,7 @@ class TarReader(DataSourceReader):
                 if not m.isfile() or any(v not in w for v, w in ((clip, self.wanted.get("clip")), (extension, self.wanted.get("extension"))) if w is not None):
                     continue
                 data = tar.extractfile(m).read() if self.data else None
-                rows.append((path.rpartition("/")[2], clip, extension, m.offset, m.size, data))
+                rows.append((path.rpartition("/")[2], clip, extension, m.offset, m.size, data, uri))
                 size += m.size if self.data else 200
                 if size > 8 << 20:
                     yield _batch(rows)
@@ -87,7 +87,7 @@ class TarReader(DataSourceReader):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
@@ -98,8 +98,65 @@ def read_tar(spark: SparkSession, path: str, data: bool = True) -> DataFrame:
 
 
 def clip_index(spark: SparkSession, path: str) -> DataFrame:
-    """Where each clip begins: shard, clip, its first member's offset, members and bytes."""
-    return read_tar(spark, path, data=False).groupBy("shard", "clip").agg(F.min("offset").alias("offset"), F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"))
+    """Where each clip begins: uri, shard, clip, its first member's offset, members and bytes."""
+    return read_tar(spark, path, data=False).groupBy("uri", "shard", "clip").agg(F.min("offset").alias("offset"), F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"))
+
+
+def opened(uri: str):
+    """A seekable file."""
+    system, path = _at(uri)
+    return system.open_input_file(path)
+
+
+def clip_members(file, offset: int, members: int) -> Iterator[tuple[str, bytes]]:
+    """(extension, data) of a clip's members, which follow each other from offset on."""
+    file.seek(offset)
+    with tarfile.open(fileobj=file, mode="r:") as tar:  # begins where the file stands
+        for _ in range(members):
+            m = tar.next()
+            yield m.name.rpartition("/")[2].partition(".")[2], tar.extractfile(m).read()
+
+
+def lookup(requests: DataFrame, index: DataFrame) -> DataFrame:
+    """The members of wanted clips: requests' columns, extension, data. requests has ``clip``
+    (and any other columns but uri, offset, members, extension, data); index is
+    ``clip_index``, perhaps stored. Requests of clips that aren't there give no row, repeated ones
+    a row each time.
+
+    A shard's requests are sorted by offset and read by as many tasks as they are dealt to,
+    one seek a clip; nothing else of a shard is read.
+    """
+    kept = [c for c in requests.columns if c not in ("uri", "offset", "members", "extension", "data")]
+    found = requests.select(*kept).join(index.select("clip", "uri", "offset", "members"), "clip")
+    placed = found.repartitionByRange("uri", "offset").sortWithinPartitions("uri", "offset")
+
+    def fetch(batches):
+        file, name = None, None
+        for batch in batches:
+            rows, extensions, data, size = [], [], [], 0
+            for i, (uri, offset, members) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("uri", "offset", "members")))):
+                if uri != name:
+                    if file:
+                        file.close()
+                    file, name = opened(uri), uri
+                for extension, own in clip_members(file, offset, members):
+                    rows.append(i), extensions.append(extension), data.append(own)
+                    size += len(own)
+                if size > 8 << 20:
+                    yield _fetched(batch, kept, rows, extensions, data)
+                    rows, extensions, data, size = [], [], [], 0
+            if rows:
+                yield _fetched(batch, kept, rows, extensions, data)
+        if file:
+            file.close()
+
+    kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in kept)
+    return placed.mapInArrow(fetch, f"{kinds}, extension string, data binary")
+
+
+def _fetched(batch, kept: list[str], rows: list[int], extensions: list[str], data: list[bytes]) -> pa.RecordBatch:
+    own = batch.take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([*(own.column(c) for c in kept), pa.array(extensions, pa.string()), pa.array(data, pa.binary())], [*kept, "extension", "data"])
 
 
 def write_tar(members: DataFrame, path: str, per_shard: int = 50, cells: int = 16) -> DataFrame:
