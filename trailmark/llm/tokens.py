@@ -18,8 +18,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units that a worker remembers; further ones are encoded batch by batch.
-STORE_UNITS = 400_000
+#: Units and ids (four bytes each) that a worker remembers; further ones are encoded batch
+#: by batch.
+STORE_UNITS, STORE_IDS = 400_000, 4 << 20
+#: Bytes of a unit at most: texts with a longer one, as scripts without spaces have, are
+#: encoded whole and none of their units is remembered.
+LONGEST = 2048
 #: So many new units are encoded as one text.
 JOIN = 64
 
@@ -120,8 +124,10 @@ class Encoder:
         marked = np.zeros(len(texts), bool)
         for token in self.added:
             marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        if not marked.any():
-            return self._encode(texts)
+        return self._apart(texts, marked) if marked.any() else self._encode(texts)
+
+    def _apart(self, texts: pa.Array, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same where marked texts are encoded whole."""
         ids, ends = self._encode(pc.if_else(pa.array(marked), "", texts))
         parts = np.split(ids, ends[1:-1])
         whole = self.tokenizer.encode_batch_fast(texts.filter(pa.array(marked)).to_pylist(), add_special_tokens=False)
@@ -136,7 +142,13 @@ class Encoder:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = lists.flatten().dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        code = coded.indices.to_numpy()
+        long = np.flatnonzero(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > LONGEST)
+        if len(long):
+            marked = np.zeros(len(texts), bool)
+            marked[np.searchsorted(bounds, np.flatnonzero(np.isin(code, long)), side="right") - 1] = True
+            return self._apart(texts, marked)
+        words = coded.dictionary.to_pylist()
         # a part that is empty or begins with white space belongs to the unit before it
         loose = _begins_loose(coded.dictionary, words)
         first = np.zeros(len(code), bool)
@@ -144,7 +156,10 @@ class Encoder:
         odd = np.zeros(len(texts), bool)
         if loose.any():
             odd[np.searchsorted(bounds, np.flatnonzero(loose[code] & ~first), side="right") - 1] = True
-        keep = ~loose
+        # a text's first word is a unit of its own; elsewhere it may not occur
+        keep = np.zeros(len(words), bool)
+        keep[code[~first]] = True
+        keep &= ~loose
         at, new = np.zeros(len(words), np.int64), []
         at[keep], new = self._slots([w for w, k in zip(words, keep) if k])
         at = at[code]
@@ -171,7 +186,7 @@ class Encoder:
         size = self.ends[at + 1] - self.ends[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.ends[at] - ends[:-1], size) + np.arange(ends[-1])]
-        if held > STORE_UNITS:  # full: this batch's new units are forgotten again
+        if held > STORE_UNITS or self.ends[held] > STORE_IDS:  # full: this batch's new units are forgotten again
             for w in new:
                 del self.slot[w]
         return ids, ends[bounds]
