@@ -147,7 +147,9 @@ def features(df: DataFrame, text_col: str = "text", n_buckets: int = BUCKETS, lo
 
 
 def totals(featured: DataFrame, n_buckets: int = BUCKETS) -> np.ndarray:
-    """How often each bucket occurs, multiplicities counted: one number per bucket."""
+    """How often each bucket occurs, multiplicities counted: one number per bucket. A task
+    gives a row for each bucket, so there are only about as many tasks as keep all cores
+    busy, or as read 64 of the table's partitions each."""
     kind = np.uint16 if n_buckets <= 1 << 16 else np.uint32
 
     def add(batches):
@@ -159,7 +161,8 @@ def totals(featured: DataFrame, n_buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], ["bucket", "total"])
 
     out = np.zeros(n_buckets, np.int64)
-    for r in featured.select("n", "features").mapInArrow(add, "bucket int, total long").groupBy("bucket").agg(F.sum("total").alias("total")).collect():
+    tasks = max(3 * featured.sparkSession.sparkContext.defaultParallelism, featured.rdd.getNumPartitions() // 64)
+    for r in featured.select("n", "features").coalesce(tasks).mapInArrow(add, "bucket int, total long").groupBy("bucket").agg(F.sum("total").alias("total")).collect():
         out[r["bucket"]] = r["total"]
     return out
 
