@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Bytes of text worked on at a time, and bytes of units that a worker remembers, about.
-SLICE, STORE = 6 << 20, 96 << 20
+SLICE, STORE = 2 << 20, 48 << 20
 #: Bytes that a remembered unit takes besides its text, per unit and per token; longer units
 #: than this aren't remembered.
 UNIT_BYTES, TOKEN_BYTES, LONGEST = 400, 40, 512
