@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators import scans
+
 
 def value_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """group, value, n and its fraction of the group."""
@@ -91,10 +93,8 @@ def smoothed(df: DataFrame, group: list[str], order: list[str], value: str, alph
     A run of such steps is itself one clamped linear step, so each chunk of a group's rows
     becomes one such step and only these meet.
     """
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    rows = df.select(*group, *order, F.col(value).cast("double").alias("_v")).withColumn("_i", at)
+    rows = df.select(*group, *order, F.col(value).cast("double").alias("_v"))
+    rows = scans.running(rows, group, [F.col(c) for c in order], {"_i": scans.place()})
     clamp = lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x))
     step = lambda slope, shift, least, most: F.struct(slope.alias("slope"), shift.alias("shift"), least.alias("least"), most.alias("most"))
     none = step(F.lit(1.0), F.lit(0.0), F.lit(float("-inf")), F.lit(float("inf")))
@@ -104,3 +104,21 @@ def smoothed(df: DataFrame, group: list[str], order: list[str], value: str, alph
     parts = parts.select(*group, F.struct("_c", F.aggregate("_items", none, grown).alias("s")).alias("_part"))
     apply = lambda a, p: F.greatest(p["s"]["least"], F.least(p["s"]["most"], p["s"]["slope"] * a + p["s"]["shift"]))
     return parts.groupBy(*group).agg(F.sort_array(F.collect_list("_part")).alias("_parts")).select(*group, F.aggregate("_parts", F.lit(start), apply).alias("ema"))
+
+
+def percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float], kind: str = "linear", rows: int = scans.ROWS) -> DataFrame:
+    """Each group's exact percentiles by name, nulls left out; null where no value is left.
+
+    Rows are numbered in the order of value, large groups range by range (see scans), and
+    the wanted positions picked: no task holds a group. ``kind`` is linear (between the two
+    nearest positions), nearest (halves to the even one) or floor.
+    """
+    at = {name: F.lit(share) * (F.col("_n") - 1) for name, share in shares.items()}
+    placed = scans.running(df.select(*group, F.col(value).alias("_v")), group, [F.col("_v").asc_nulls_last()], {"_i": scans.place()}, {"_n": F.count("_v")}, rows)
+    pick = lambda position: F.max(F.when((F.col("_i") == position) & (F.col("_i") < F.col("_n")), F.col("_v")))
+    if kind != "linear":
+        whole = {"nearest": F.bround, "floor": F.floor}[kind]
+        return placed.groupBy(*group).agg(*[pick(whole(a)).alias(name) for name, a in at.items()])
+    ends = placed.groupBy(*group).agg(F.max("_n").alias("_n"), *[pick(f(a)).alias(f"_{side}_{name}") for name, a in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    between = lambda name: F.col(f"_lo_{name}") + (at[name] - F.floor(at[name])) * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
+    return ends.select(*group, *[between(name).alias(name) for name in shares])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.hashing import sample_order
-from trailmark.session import scratch
+from trailmark.session import kept as _kept
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -85,12 +85,6 @@ def global_rank(df: DataFrame, order: str, rows_per_task: int = ROWS_PER_TASK) -
     return dealt.join(F.broadcast(starts), "_cell").withColumn("n", F.col("n") + F.col("_start")).drop("_cell", "_start")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def stride(df: DataFrame, order: str, rank: int, world: int) -> DataFrame:
     """Every world-th row of the order, from rank on."""
     return global_rank(df, order).where(F.col("n") % world == rank).drop("n")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import sequences as S
+from trailmark.operators import scans
 
 
 @dataclass(frozen=True)
@@ -103,12 +104,8 @@ def well_driven(track: Column, hz: float, most_speed: float = 45.0, most_change:
 
 def chunks(df: DataFrame, group: list[str], order: str, size: int) -> DataFrame:
     """Rows numbered by whole chunks of size in order; a short tail is dropped."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*group)
-    n = F.row_number().over(w.orderBy(order)) - 1
-    total = F.count(F.lit(1)).over(w)
-    return df.withColumn("chunk", F.floor(n / size)).withColumn("_whole", F.floor(total / size)).where("chunk < _whole").drop("_whole")
+    placed = scans.running(df, group, [F.col(order).asc()], {"_i": scans.place()}, {"_n": F.count(F.lit(1))})
+    return placed.withColumn("chunk", F.floor(F.col("_i") / size)).where(F.col("chunk") < F.floor(F.col("_n") / size)).drop("_i", "_n")
 
 
 def clamp_time(t0: Column, first: Column, last: Column, history: float, future: float) -> Column:

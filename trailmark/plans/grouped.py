@@ -49,18 +49,16 @@ def elementwise_over_arrays(load):
     SELECT event_type, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(m, 0.9), 6) AS p90, round(max(m), 6) AS most FROM c GROUP BY 1""")
 def two_level_percentiles(load):
     c = load("events").groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
-    return c.groupBy("event_type").agg(F.round(F.percentile("m", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("m", F.lit(0.9)), 6).alias("p90"), F.round(F.max("m"), 6).alias("most"))
+    p = aggregates.percentiles(c, ["event_type"], "m", {"median": 0.5, "p90": 0.9, "most": 1.0})
+    return p.select("event_type", *[F.round(n, 6).alias(n) for n in ("median", "p90", "most")])
 
 
 @query("""
     WITH s AS (SELECT user_id, list(value ORDER BY value) AS v FROM events GROUP BY 1)
     SELECT user_id, v[round_even(0.9 * (len(v) - 1), 0)::INT + 1] AS nearest, v[floor(0.9 * (len(v) - 1))::INT + 1] AS floored FROM s""")
 def rank_percentiles(load):
-    w = Window.partitionBy("user_id")
-    last = F.count(F.lit(1)).over(w) - 1
-    e = load("events").select("user_id", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), (0.9 * last).alias("at"))
-    pick = lambda rank: F.max(F.when(F.col("i") == rank, F.col("value")))
-    return e.groupBy("user_id").agg(pick(F.bround("at")).alias("nearest"), pick(F.floor("at")).alias("floored"))
+    picked = [aggregates.percentiles(load("events"), ["user_id"], "value", {kind: 0.9}, how) for kind, how in (("nearest", "nearest"), ("floored", "floor"))]
+    return picked[0].join(picked[1], "user_id")
 
 
 @query("""
@@ -169,8 +167,6 @@ def infractions_per_km(load):
     SELECT o_custkey, o_orderkey, round(avg(o_totalprice) OVER w, 4) AS running_mean, round(sum(o_totalprice) OVER w, 2) AS running_total FROM orders
     WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""")
 def running_means(load):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     return load("orders").select("o_custkey", "o_orderkey", F.round(F.avg("o_totalprice").over(w), 4).alias("running_mean"), F.round(F.sum("o_totalprice").over(w), 2).alias("running_total"))
 

@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import sequences as S
 from trailmark.functions.times import micros
-from trailmark.operators import simlog, trajectories
+from trailmark.operators import scans, simlog, trajectories
 from trailmark.session import scratch
 from trailmark.streaming import events as streams
 
 from .registry import query
 
 
-def _window():
-    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+def _order():
+    return [F.col("ts").asc(), F.col("event_id").asc()]
 
 
-def _so_far():
-    return _window().rowsBetween(Window.unboundedPreceding, 0)
+def _rows(load, scale=1.0, **more):
+    """user_id, ts, event_id, v, i (its place) and n (its user's rows), and more scans."""
+    e = load("events").select("user_id", "ts", "event_id", (F.col("value") / scale).alias("v"))
+    return scans.running(e, ["user_id"], _order(), {"i": scans.place(), **more}, {"n": F.count(F.lit(1))})
 
 
-def _rows(load, scale=1.0):
-    """user_id, ts, event_id, i and v: windows over these spill, an array of a user can't."""
-    return load("events").select("user_id", "ts", "event_id", (F.row_number().over(_window()) - 1).alias("i"), (F.col("value") / scale).alias("v"))
+def _near(w, k):
+    """The row k places on, in a struct v; null where the user has none."""
+    boxed = F.struct("v")
+    return boxed if k == 0 else F.lead(boxed, k).over(w) if k > 0 else F.lag(boxed, -k).over(w)
 
 
 _S = "WITH s AS (SELECT user_id, value AS v, (row_number() OVER w - 1)::INT AS i, (count(*) OVER (PARTITION BY user_id))::INT AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
@@ -34,59 +36,57 @@ _S = "WITH s AS (SELECT user_id, value AS v, (row_number() OVER w - 1)::INT AS i
     SELECT user_id, i, round(CASE WHEN n = 1 THEN 0 WHEN i = 0 THEN lead(v) OVER w - v WHEN i = n - 1 THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END / 0.1, 6) AS slope
     FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)""")
 def central_differences(load):
-    has = [F.coalesce(f(F.lit(1)).over(_window()), F.lit(0)) for f in (F.lag, F.lead)]
-    lo, hi = (F.when(h == 1, f("v").over(_window())).otherwise(F.col("v")) for h, f in zip(has, (F.lag, F.lead), strict=True))
+    e = _rows(load, prev=scans.previous(F.col("v")), next=scans.following(F.col("v")))
+    has = [F.col(c).isNotNull().cast("int") for c in ("prev", "next")]
+    lo, hi = (F.when(h == 1, F.col(c)["v"]).otherwise(F.col("v")) for h, c in zip(has, ("prev", "next"), strict=True))
     slope = F.when(has[0] + has[1] > 0, (hi - lo) / ((has[0] + has[1]) * F.lit(0.1))).otherwise(F.lit(0.0))
-    return _rows(load).select("user_id", "i", F.round(slope, 6).alias("slope"))
+    return e.select("user_id", "i", F.round(slope, 6).alias("slope"))
 
 
 @query(f"""{_S}
     SELECT a.user_id, a.i, round(avg(b.v), 6) AS smooth FROM s a, (VALUES (-2), (-1), (0), (1), (2)) k(d), s b
     WHERE b.user_id = a.user_id AND b.i = greatest(0, least(a.n - 1, a.i + d)) GROUP BY 1, 2""")
 def edge_repeating_average(load):
-    whole = _window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last, n = F.first("v").over(whole), F.last("v").over(whole), F.count(F.lit(1)).over(whole)
-    at = [F.when(F.col("i") + k < 0, first).when(F.col("i") + k >= n, last).otherwise(F.lead("v", k).over(_window()) if k >= 0 else F.lag("v", -k).over(_window())) for k in range(-2, 3)]
-    return _rows(load).select("user_id", "i", F.round(sum(at, F.lit(0.0)) / 5, 6).alias("smooth"))
+    edge = lambda w, k: F.coalesce(*[_near(w, j) for j in range(k, 0, -1 if k > 0 else 1)], _near(w, 0))["v"]
+    smooth = lambda w: sum((edge(w, k) for k in range(-2, 3)), F.lit(0.0)) / 5
+    return scans.framed(_rows(load), ["user_id"], "i", 2, 2, {"smooth": smooth}).select("user_id", "i", F.round("smooth", 6).alias("smooth"))
 
 
 @query(f"""{_S}, r AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM s WHERE v < 40),
     k AS (SELECT user_id, max(c) AS best FROM (SELECT user_id, g, count(*) AS c FROM r GROUP BY 1, 2) GROUP BY 1)
     SELECT DISTINCT s.user_id, coalesce(best, 0)::INT AS longest FROM s LEFT JOIN k ON s.user_id = k.user_id""")
 def longest_runs(load):
-    breaks = F.sum(F.when(F.col("v") < 40, 0).otherwise(1)).over(_so_far())
-    runs = _rows(load).withColumn("run", breaks).groupBy("user_id", "run").agg(F.count_if(F.col("v") < 40).alias("n"))
+    runs = _rows(load, run=scans.total(F.when(F.col("v") < 40, 0).otherwise(1))).groupBy("user_id", "run").agg(F.count_if(F.col("v") < 40).alias("n"))
     return runs.groupBy("user_id").agg(F.max("n").cast("int").alias("longest"))
 
 
 @query(f"{_S} SELECT user_id, i, round(sum(v) OVER (PARTITION BY user_id ORDER BY i), 6) AS total FROM s")
 def running_sums(load):
-    return _rows(load).select("user_id", "i", F.round(F.sum("v").over(_so_far()), 6).alias("total"))
+    return _rows(load, total=scans.total(F.col("v"))).select("user_id", "i", F.round("total", 6).alias("total"))
 
 
 @query(f"""{_S}, d AS (SELECT user_id, i, v / 20 AS a, v / 20 - lag(v / 20) OVER (PARTITION BY user_id ORDER BY i) AS d FROM s)
     SELECT user_id, i, round(first_value(a) OVER w + coalesce(sum(CASE WHEN abs(d) < pi() THEN d ELSE d - 2 * pi() * floor((d + pi()) / (2 * pi())) END) OVER w, 0), 6) AS angle
     FROM d WINDOW w AS (PARTITION BY user_id ORDER BY i)""")
 def unwrapped_angles(load):
-    steps = _rows(load, scale=20).withColumn("step", S.turn_step(F.col("v") - F.lag("v").over(_window())))
-    angle = F.first("v").over(_so_far()) + F.coalesce(F.sum("step").over(_so_far()), F.lit(0.0))
-    return steps.select("user_id", "i", F.round(angle, 6).alias("angle"))
+    e = _rows(load, scale=20, prev=scans.previous(F.col("v"))).withColumn("step", S.turn_step(F.col("v") - F.col("prev")["v"]))
+    turned = scans.running(e, ["user_id"], _order(), {"start": scans.first(F.col("v")), "turned": scans.total(F.col("step"))})
+    return turned.select("user_id", "i", F.round(F.col("start") + F.coalesce("turned", F.lit(0.0)), 6).alias("angle"))
 
 
 @query(f"""{_S}, m AS (SELECT user_id, i, v, v - min(v) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS drop, n FROM s)
     SELECT user_id, i AS start, round(drop, 6) AS drop FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY drop DESC, i) AS k FROM m WHERE i + 8 <= n) WHERE k = 1""")
 def sharpest_window(load):
     """The window of eight samples with the largest fall from its first, the earliest such."""
-    drop = F.col("v") - F.min("v").over(_window().rowsBetween(0, 7))
-    starts = _rows(load).select("user_id", drop.alias("drop"), (-F.col("i")).alias("neg"), F.lead("i", 7).over(_window()).alias("end")).where("end is not null")
-    best = starts.groupBy("user_id").agg(F.max(F.struct("drop", "neg")).alias("b"))
+    drop = lambda w: F.col("v") - F.min("v").over(w.rowsBetween(0, 7))
+    starts = scans.framed(_rows(load), ["user_id"], "i", 0, 7, {"drop": drop}).where("i + 8 <= n")
+    best = starts.groupBy("user_id").agg(F.max(F.struct("drop", (-F.col("i")).alias("neg"))).alias("b"))
     return best.select("user_id", (-F.col("b.neg")).alias("start"), F.round("b.drop", 6).alias("drop"))
 
 
 @query(f"""{_S} SELECT user_id, (i // 20)::BIGINT AS chunk, count(*) AS n, round(avg(v), 6) AS mean FROM s WHERE i // 20 < n // 20 GROUP BY 1, 2""")
 def whole_chunks(load):
-    e = load("events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return trajectories.chunks(e, ["user_id"], "i", 20).groupBy("user_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return trajectories.chunks(_rows(load), ["user_id"], "i", 20).groupBy("user_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
 @query(f"""{_S}, w(j, k, c) AS (VALUES {", ".join(f"({j}, {k}, {c!r}::DOUBLE)" for j, row in enumerate(S.savgol_weights(7, 2, 1, 0.1)) for k, c in enumerate(row))}),
@@ -94,9 +94,8 @@ def whole_chunks(load):
     SELECT p.user_id, p.i, round(sum(c * s.v), 7) AS rate FROM p JOIN w ON w.j = p.i - a JOIN s ON s.user_id = p.user_id AND s.i = a + k GROUP BY 1, 2""")
 def polynomial_rates(load):
     """Savitzky-Golay first derivative, window 7, order 2."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    near = F.array(*[F.lag("v", 6 - k).over(_window()) if k < 6 else F.lead("v", k - 6).over(_window()) for k in range(13)])
-    e = _rows(load).select("user_id", "i", n.alias("n"), near.alias("near")).where("n >= 7")
+    near = lambda w: F.array(*[_near(w, k)["v"] for k in range(-6, 7)])
+    e = scans.framed(_rows(load).where("n >= 7"), ["user_id"], "i", 6, 6, {"near": near})
     j = (F.col("i") - F.greatest(F.lit(0), F.least(F.col("i") - 3, F.col("n") - 7))).cast("int")
     weights = F.get(F.array(*[F.array(*[F.lit(w) for w in row]) for row in S.savgol_weights(7, 2, 1, 0.1)]), j)
     rate = F.aggregate(F.zip_with(F.slice("near", 7 - j, 7), weights, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
@@ -116,11 +115,10 @@ def dip_and_recover(load):
 @query(f"""{_S}, g AS (SELECT DISTINCT user_id, n, unnest(range(0, 9)) / 8.0 * (n - 1) AS q FROM s)
     SELECT g.user_id, round(q, 6) AS q, round(a.v + (q - a.i) * (b.v - a.v), 6) AS v FROM g JOIN s a ON a.user_id = g.user_id AND a.i = floor(q) JOIN s b ON b.user_id = g.user_id AND b.i = least(floor(q) + 1, g.n - 1)""")
 def resampled_series(load):
-    n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    e = _rows(load).select("user_id", "i", "v", F.lead("v").over(_window()).alias("next"), n.alias("n"))
+    e = _rows(load, next=scans.following(F.col("v")))
     grid = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: k / 8.0 * (F.col("n") - 1))
     e = e.withColumn("q", F.explode(F.filter(grid, lambda q: F.floor(q) == F.col("i"))))
-    value = F.when(F.col("next").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("q") - F.col("i")) * (F.col("next") - F.col("v")))
+    value = F.when(F.col("next").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("q") - F.col("i")) * (F.col("next")["v"] - F.col("v")))
     return e.select("user_id", F.round("q", 6).alias("q"), F.round(value, 6).alias("v"))
 
 
