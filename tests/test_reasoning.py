@@ -23,10 +23,24 @@ def test_beats_need_space_before_then():
     assert len(claims.beats("stop-then go")) == 1
 
 
-def test_cause_first():
-    assert claims.cause_first("Nudge left due to cones blocking the lane, then accelerate") == ("Due to cones blocking the lane, nudge left, then accelerate", 1)
-    assert claims.cause_first("stop because, after a while, it rains; GO since open") == ("because after a while, it rains, stop;Since open, GO", 2)
-    assert claims.cause_first("no cause") == ("no cause", 0) and claims.cause_first(None) == ("", 0)
+def test_cause_first(spark):
+    want = {
+        "Nudge left due to cones blocking the lane, then accelerate": ("Due to cones blocking the lane, nudge left, then accelerate", 1),
+        "stop because, after a while, it rains; GO since open": ("because after a while, it rains, stop;Since open, GO", 2),
+        "no cause": ("no cause", 0),
+        None: ("", 0),
+        "": ("", 0),
+        "Halt after \U0001f6a6 turns red. Wait , because of it": ("After \U0001f6a6 turns red, halt. Because of it, wait ", 2),
+        "\U0001f6a6 stop as needed": ("\U0001f6a6 stop as needed", 0),
+        "; Since it rains; then for": ("; Since it rains; then for".replace(" Since it rains", "Since it rains, ").replace(" for", "for , "), 2),
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    for r in df.select("t", claims.cause_first(F.col("t")).alias("c")).collect():
+        assert tuple(r.c) == want[r.t], r
+
+
+def test_words_keep_their_case():
+    assert [perturbations.recased("right", w) for w in ("left", "Left", "LEFT", "LeFt", "lEFT")] == ["right", "Right", "RIGHT", "Right", "right"]
 
 
 def test_rule_changes():

@@ -77,20 +77,24 @@ def with_placeholders(text: Column, values: list[tuple[str, str]], patterns: lis
     return text
 
 
-# Fixed value: a term of a printed polynomial.
-TERM = r"([+-]?)\s*(?:\(([\d.eE+-]+)\)|([\d.]+))(?:\s*·\s*[a-z]+(²|³|⁴)?)?"
+# How powers are printed.
+POWERS = {"": 1, "²": 2, "³": 3, "⁴": 4}
 
 
 def polynomial(text: Column, symbol: str) -> Column:
     """Coefficients, of power 0 first, of a printed polynomial of degree 4 at most; of terms
-    that share a power the last one counts."""
-    text = F.replace(text, F.lit("\n"), F.lit(" "))
-    part = lambda k: F.regexp_extract_all(text, F.lit(TERM), F.lit(k))
-    terms = F.arrays_zip(part(0).alias("all"), part(1).alias("sign"), part(2).alias("small"), part(3).alias("plain"), part(4).alias("power"))
-    powers = {"": 1, "²": 2, "³": 3, "⁴": 4}
-    power = lambda t: F.when(t["all"].contains(symbol), F.element_at(F.create_map(*[F.lit(x) for kv in powers.items() for x in kv]), t["power"])).otherwise(F.lit(0))
-    value = lambda t: F.when(t["sign"] == "-", -1.0).otherwise(1.0) * F.coalesce(F.nullif(t["small"], F.lit("")), t["plain"]).try_cast("double")
-    of = lambda p: F.coalesce(F.try_element_at(F.transform(F.filter(terms, lambda t: power(t) == p), value), F.lit(-1)), F.lit(0.0))
+    that share a power the last one counts, and one that is no such term is left out.
+
+    Terms are parted by a sign between white space, a term's coefficient (in parentheses
+    where it has an exponent) and its power of the symbol by a dot.
+    """
+    terms = F.split(F.regexp_replace(F.trim(text), r"\s+([+-])\s*", "\n$1"), "\n")
+    halves = F.transform(terms, lambda t: F.split(t, "·"))
+    table = F.create_map(*[F.lit(x) for sign, power in POWERS.items() for x in (symbol + sign, power)])
+    power = lambda h: F.when(F.size(h) == 1, F.lit(0)).otherwise(F.try_element_at(table, F.trim(h[1])))
+    value = lambda h: F.regexp_replace(h[0], r"[()\s]", "").try_cast("double")
+    read = F.filter(F.transform(halves, lambda h: F.struct(power(h).alias("power"), value(h).alias("value"))), lambda t: t["value"].isNotNull())
+    of = lambda p: F.coalesce(F.try_element_at(F.filter(read, lambda t: t["power"] == p), F.lit(-1))["value"], F.lit(0.0))
     return F.array(*[of(p) for p in range(5)])
 
 

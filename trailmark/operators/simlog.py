@@ -3,16 +3,17 @@ states (actor, frame, ...)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.text import glob
+from trailmark.operators import scans
 
 
 def delta_times(frames: DataFrame, group: list[str], order: str, time: str) -> DataFrame:
     """Seconds since the frame before, to six digits; 0 for the first."""
-    w = Window.partitionBy(*group).orderBy(order)
-    return frames.withColumn("delta", F.coalesce(F.bround(F.col(time) - F.lag(time).over(w), 6), F.lit(0.0)))
+    out = scans.running(frames, group, [F.col(order).asc()], {"_last": scans.previous(F.col(time))})
+    return out.withColumn("delta", F.coalesce(F.bround(F.col(time) - F.col("_last")["v"], 6), F.lit(0.0))).drop("_last")
 
 
 def actors_like(actors: DataFrame, pattern: str | None = None, role: str | None = None) -> DataFrame:
@@ -33,8 +34,7 @@ def states_between(actors: DataFrame, states: DataFrame, first: int, last: int,
 
 def last_known(states: DataFrame, column: str) -> DataFrame:
     """states with the last known value of column at or before each frame."""
-    w = Window.partitionBy("actor").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return states.withColumn(f"last_{column}", F.last(column, True).over(w))
+    return scans.running(states, ["actor"], [F.col("frame").asc()], {f"last_{column}": scans.last(F.col(column))})
 
 
 def distances(states: DataFrame, pairs: DataFrame, floor: float = -10.0) -> DataFrame:

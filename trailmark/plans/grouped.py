@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailmark.operators import aggregates, joins, mining, rewards, scoring
+from trailmark.operators import aggregates, joins, mining, rewards, scans, scoring
 
 from .registry import query
 
@@ -167,8 +166,11 @@ def infractions_per_km(load):
     SELECT o_custkey, o_orderkey, round(avg(o_totalprice) OVER w, 4) AS running_mean, round(sum(o_totalprice) OVER w, 2) AS running_total FROM orders
     WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""")
 def running_means(load):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return load("orders").select("o_custkey", "o_orderkey", F.round(F.avg("o_totalprice").over(w), 4).alias("running_mean"), F.round(F.sum("o_totalprice").over(w), 2).alias("running_total"))
+    price = F.col("o_totalprice")
+    order = [F.col(c).asc() for c in ("o_orderdate", "o_orderkey")]
+    o = load("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    o = scans.running(o, ["o_custkey"], order, {"sum": scans.total(price), "n": scans.total(F.when(price.isNotNull(), 1))})
+    return o.select("o_custkey", "o_orderkey", F.round(F.col("sum") / F.col("n"), 4).alias("running_mean"), F.round("sum", 2).alias("running_total"))
 
 
 @query("""

@@ -51,7 +51,7 @@ def unparsed_shares(load):
 
 @query(f"""WITH {_SAID} SELECT o_orderkey, upper(link[1]) || link[2:] || ' the ' || thing || ' is ' || state || extra || ', ' || lower(move[1]) || move[2:] || CASE WHEN side = '' THEN '' ELSE ' ' || side END AS text, 1 AS turned FROM said""")
 def causes_first(load):
-    return _said(load).select("o_orderkey", claims.reversed_causes("text").alias("r")).select("o_orderkey", "r.text", "r.turned")
+    return _said(load).select("o_orderkey", claims.cause_first(F.col("text")).alias("r")).select("o_orderkey", "r.text", "r.turned")
 
 
 @query(f"""WITH {_SAID}, c AS (
