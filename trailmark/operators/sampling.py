@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.hashing import sample_order
+from trailmark.operators import scans
 from trailmark.session import kept as _kept
 
 
@@ -27,6 +29,34 @@ def shortfalls(df: DataFrame, stratum: str, n: int) -> DataFrame:
     return df.groupBy(stratum).agg(F.count(F.lit(1)).alias("available")).where(F.col("available") < n).withColumn("short", n - F.col("available"))
 
 
+def redrawn(df: DataFrame, stratum: list[str], key: str, n: int, accept: Callable[[DataFrame], DataFrame], seed: str = "redraw") -> DataFrame:
+    """df's first n accepted rows of each stratum in a seeded order, with their rank.
+
+    ``accept`` (which may be costly) gets candidates with all columns and returns those that
+    stand, judging each by itself. Where some fall, the stratum's next candidates are tried, twice as many
+    each round, until it has n or its pool is spent; full strata try no more. Keys tell rows
+    apart; null strata are one.
+    """
+    ordered = df.withColumn("_order", sample_order(F.col(key), seed))
+    pool = _kept(scans.running(ordered, stratum, [F.col("_order").asc(), F.col(key).asc()], {"_i": scans.place()}), "pool")
+    low, high, rest, taken = 0, n, pool, None
+    while not rest.isEmpty():
+        got = _kept(accept(rest.where(F.col("_i") < high)), "redraw")
+        taken = got if taken is None else taken.unionByName(got)
+        full = taken.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select(*stratum)
+        low, high = high, 3 * high
+        rest = scans.by_keys(pool.where(F.col("_i") >= low), full, stratum, "left_anti")
+    if taken is None:
+        return df.limit(0).withColumn("rank", F.lit(1))
+    return top_per_group(taken, stratum, [F.col("_i").asc()], n).select(*df.columns, "rank")
+
+
+def unmet(df: DataFrame, drawn: DataFrame, stratum: list[str], n: int) -> DataFrame:
+    """Strata of df of which fewer than n rows were drawn, none included: drawn and short."""
+    marks = df.select(*stratum, F.lit(0).alias("_n")).unionByName(drawn.select(*stratum, F.lit(1).alias("_n")))
+    return marks.groupBy(*stratum).agg(F.sum("_n").alias("drawn")).where(F.col("drawn") < n).withColumn("short", n - F.col("drawn"))
+
+
 def uniform(df: DataFrame, key: str, n: int, seed: str = "uniform") -> DataFrame:
     """n rows without replacement, the same ones on any cluster."""
     return df.orderBy(sample_order(F.col(key), seed), key).limit(n)

@@ -100,8 +100,8 @@ def running(df: DataFrame, keys: list[str], order: list[Column], scans: dict[str
     if count is None:
         return _plain(df, keys, order, scans, whole)
     named = hot.select(*keys)
-    out = _plain(_by_keys(df, named, keys, "left_anti"), keys, order, scans, whole)
-    return out.unionByName(_ranged(_by_keys(df, named, keys, "left_semi"), keys, order, scans, whole, -(-count // rows)))
+    out = _plain(by_keys(df, named, keys, "left_anti"), keys, order, scans, whole)
+    return out.unionByName(_ranged(by_keys(df, named, keys, "left_semi"), keys, order, scans, whole, -(-count // rows)))
 
 
 def _plain(df: DataFrame, keys: list[str], order: list[Column], scans: dict[str, Scan], whole: dict[str, Column]) -> DataFrame:
@@ -120,14 +120,14 @@ def _ranged(df: DataFrame, keys: list[str], order: list[Column], scans: dict[str
     carried = states.select(*keys, "_cell", *[s.carry(F.col(f"_{n}")).over(after if s.ahead else before).alias(f"_{n}") for n, s in scans.items()])
     here = Window.partitionBy("_cell", *keys).orderBy("_place")
     out = dealt.select("*", *[s.here(here).alias(n) for n, s in scans.items()])
-    out = _by_keys(out, carried, [*keys, "_cell"], "inner")
+    out = by_keys(out, carried, [*keys, "_cell"], "inner")
     out = out.withColumns({n: s.both(F.col(n), F.col(f"_{n}")) for n, s in scans.items()})
     if whole:
-        out = _by_keys(out, dealt.groupBy(*keys).agg(*[a.alias(n) for n, a in whole.items()]), keys, "inner")
+        out = by_keys(out, dealt.groupBy(*keys).agg(*[a.alias(n) for n, a in whole.items()]), keys, "inner")
     return out.select(*df.columns, *scans, *whole)
 
 
-def _by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+def by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """A join in which null equals null."""
     names = {k: f"_key{i}" for i, k in enumerate(keys)}
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])

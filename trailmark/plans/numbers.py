@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import geometry, statistics
 from trailmark.functions import sequences as S
-from trailmark.operators import pursuit, sampling
+from trailmark.operators import boxes, pursuit, sampling
 
 from .registry import query
 
@@ -163,3 +163,41 @@ def gradient_pursuit(load):
     e = load("embeddings")
     atoms = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("atom"), "embedding")
     return pursuit.gradient_pursuit(e, atoms, 4, "vec_id", "embedding", "atom")
+
+
+_RETURNED = "p AS (SELECT o.* FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R'))"
+
+
+def _redrawn(load, stratum, n):
+    returned = load("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sampling.redrawn(load("orders").select("o_orderkey", stratum), [stratum], "o_orderkey", n, lambda c: c.join(returned, "o_orderkey", "left_semi"))
+
+
+@query(f"""WITH {_RETURNED} SELECT o_orderkey, o_orderpriority, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('redraw:' || o_orderkey), o_orderkey) AS rank FROM p) WHERE rank <= 50""")
+def redrawn_quota(load):
+    """Fifty orders with a returned line of each priority; others are drawn again."""
+    return _redrawn(load, "o_orderpriority", 50)
+
+
+@query(f"""WITH {_RETURNED}, d AS (SELECT o_custkey, count(*) AS n FROM p GROUP BY 1)
+    SELECT o_custkey, coalesce(d.n, 0)::BIGINT AS drawn, (4 - coalesce(d.n, 0))::BIGINT AS short FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN d USING (o_custkey) WHERE coalesce(d.n, 0) < 4""")
+def redraw_shortfalls(load):
+    """Customers of whom four such orders can't be drawn."""
+    return sampling.unmet(load("orders"), _redrawn(load, "o_custkey", 4), ["o_custkey"], 4)
+
+
+_REACH = " + ".join(f"abs(cos({b}.yaw - t) * {b}.length / 2) + abs(sin({b}.yaw - t) * {b}.width / 2)" for b in "pq")
+
+
+@query(f"""WITH b AS (SELECT l_suppkey % 20 AS scene, l_orderkey * 8 + l_linenumber AS box, l_partkey % 97 * 2.5 AS x, l_extendedprice % 89 * 2.5 AS y, l_quantity % 3 AS z, 2 + l_quantity / 8 AS length, 1 + l_discount * 20 AS width, 1.5 AS height, l_orderkey % 7 * 0.9 AS yaw FROM lineitem WHERE l_returnflag = 'R'),
+    pairs AS (SELECT scene, p, q FROM (SELECT scene, b AS p FROM b) JOIN (SELECT scene, b AS q FROM b) USING (scene) WHERE p.box < q.box AND abs(p.z - q.z) <= 1.5 AND abs(p.x - q.x) < 12 AND abs(p.y - q.y) < 12),
+    axes AS (SELECT *, unnest([p.yaw, p.yaw + pi() / 2, q.yaw, q.yaw + pi() / 2]) AS t FROM pairs)
+    SELECT scene, p.box AS box_a, q.box AS box_b FROM axes GROUP BY 1, 2, 3 HAVING bool_and(abs((q.x - p.x) * cos(t) + (q.y - p.y) * sin(t)) <= {_REACH})""")
+def touching_boxes(load):
+    """Pairs of boxes of a scene that intersect, by grids of cells."""
+    fields = {
+        "x": F.col("l_partkey") % 97 * 2.5, "y": F.col("l_extendedprice") % 89 * 2.5, "z": F.col("l_quantity") % 3, "length": 2 + F.col("l_quantity") / 8,
+        "width": 1 + F.col("l_discount") * 20, "height": F.lit(1.5), "yaw": F.col("l_orderkey") % 7 * 0.9,
+    }
+    b = load("lineitem").where("l_returnflag = 'R'").select((F.col("l_suppkey") % 20).alias("scene"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("box"), *[c.alias(n) for n, c in fields.items()])
+    return boxes.touching(b, ["scene"], "box")
