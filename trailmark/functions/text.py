@@ -112,3 +112,9 @@ def rephrased(text: Column, phrases: dict[str, list[str]], draw: Column) -> Colu
 def blank(text: Column) -> Column:
     """Whether a forced text came to nothing; null did not."""
     return F.coalesce(F.regexp_replace(text, r"\s+", "") == "", F.lit(False))
+
+
+def degenerate(forced: Column, texts: Column) -> Column:
+    """Whether a forced alternative generated nothing: it is there, and its first text is
+    missing or blank. Null (nothing was forced) is not degenerate."""
+    return forced.isNotNull() & blank(F.coalesce(F.get(texts, F.lit(0)), F.lit("")))

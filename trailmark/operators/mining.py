@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.statistics import ratio
+from trailmark.operators import scans
 from trailmark.operators.joins import pairs_within
 
 
@@ -44,3 +45,40 @@ def qualified(floors: DataFrame, cross: DataFrame, scene: str, cluster: str, con
     order = [F.coalesce("z", F.lit(0.0)).desc(), F.col("cross").desc(), F.col(scene)]
     kept = both.withColumn("z", z).where(passes)
     return kept.withColumn("rank_in_cluster", F.row_number().over(Window.partitionBy(cluster).orderBy(*order)))
+
+
+def cross_distances(clean: DataFrame, changed: DataFrame, scene: str, condition: str, value: str) -> DataFrame:
+    """Mean distance of a scene's clean samples to those of each of its changed conditions:
+    scene, condition, cross.
+
+    Every changed sample needs only the count and sum of the clean ones up to it, a running
+    total over the scene's sorted values, so clean samples aren't repeated per condition and
+    a scene may be many tasks. Null values take no part; scenes without clean samples have
+    no row.
+    """
+    a = clean.select(scene, F.lit(None).cast(changed.schema[condition].dataType).alias(condition), F.col(value).cast("double").alias("v"), F.lit(1).alias("is_clean"))
+    b = changed.select(scene, condition, F.col(value).cast("double").alias("v"), F.lit(0).alias("is_clean"))
+    clean_v = F.col("is_clean") * F.col("v")
+    both = a.unionByName(b).where(F.col("v").isNotNull())
+    order = [F.col("v").asc(), F.col("is_clean").asc(), F.col(condition).asc()]
+    summed = scans.running(both, [scene], order, {"n_to": scans.total(F.col("is_clean")), "s_to": scans.total(clean_v)}, {"n_all": F.sum("is_clean"), "s_all": F.sum(clean_v)})
+    v, n, s = F.col("v"), F.col("n_to"), F.col("s_to")
+    apart = (v * n - s) + (F.col("s_all") - s - v * (F.col("n_all") - n))
+    return summed.where("is_clean = 0 AND n_all > 0").groupBy(scene, condition).agg(F.avg(apart / F.col("n_all")).alias("cross"))
+
+
+def above_floors(floors: DataFrame, cross: DataFrame, scene: str) -> DataFrame:
+    """Conditions whose cross distance is above the scene's and the cluster's floor, with z
+    (null where the noise has no deviation)."""
+    both = floors.join(cross, scene).where(F.col("cross") > F.greatest("scene_floor", "cluster_floor"))
+    return both.withColumn("z", ratio(F.col("cross") - F.col("noise_mean"), F.col("noise_std")))
+
+
+def ranked(pairs: DataFrame, scene: str, cluster: str, condition: str, rows: int = scans.ROWS) -> DataFrame:
+    """Qualified pairs with their rank in the scene and in the cluster, by z and then by
+    cross, largest first (no z counts as 0; ties by scene and condition). A cluster of more
+    than ``rows`` pairs is numbered range by range."""
+    order = [F.coalesce("z", F.lit(0.0)).desc(), F.col("cross").desc(), F.col(scene).asc(), F.col(condition).asc()]
+    for name, key in (("rank_within_scene", scene), ("rank_within_cluster", cluster)):
+        pairs = scans.running(pairs, [key], order, {name: scans.place()}, rows=rows).withColumn(name, F.col(name) + 1)
+    return pairs

@@ -249,14 +249,14 @@ def mined_pairs(load):
 
 
 @query("""
-    WITH c AS (SELECT label, min(vec_id) AS other FROM embeddings GROUP BY 1)
-    SELECT v.vec_id, c.other, round(list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS similarity, v.label = a.label AS same FROM embeddings v JOIN c USING (label) JOIN embeddings a ON a.vec_id = c.other WHERE v.vec_id <> c.other""")
+    WITH c AS (SELECT min(vec_id) AS other FROM embeddings GROUP BY label)
+    SELECT v.vec_id, c.other, round(list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS similarity, v.label = a.label AS same FROM embeddings v JOIN c ON v.vec_id <> c.other JOIN embeddings a ON a.vec_id = c.other""")
 def anchor_similarities(load):
-    """Every vector against its label's anchor, the vector of the least id."""
-    e = load("embeddings")
+    """Every vector against every label's anchor, the vector of its least id."""
+    e = load("embeddings").select("vec_id", "label", "embedding")
     anchors = e.groupBy(F.col("label").alias("l")).agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("a"))
-    pairs = e.join(anchors, F.col("label") == F.col("l")).where(F.col("vec_id") != F.col("a.vec_id"))
-    return pairs.select("vec_id", F.col("a.vec_id").alias("other"), F.round(rewards.cosine(F.col("embedding"), F.col("a.embedding")), 6).alias("similarity"), (F.col("label") == F.col("l")).alias("same"))
+    pairs = joins.all_pairs(e, anchors.select("l", F.col("a.vec_id").alias("other"), F.col("a.embedding").alias("x"))).where("vec_id <> other")
+    return pairs.select("vec_id", "other", F.round(rewards.cosine(F.col("embedding"), F.col("x")), 6).alias("similarity"), (F.col("label") == F.col("l")).alias("same"))
 
 
 @query("""

@@ -34,4 +34,4 @@ def query(sql: str | None = None):
     return wrap
 
 
-from . import domain, filters_joins, grouped, kept_sources, numbers, phrases, reasoning, sequences, texts_nested  # noqa: E402, F401
+from . import domain, filters_joins, grouped, kept_sources, motion, numbers, phrases, reasoning, resumed, sequences, texts_nested  # noqa: E402, F401

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +88,30 @@ def append_json(df: DataFrame, path: str) -> None:
 def remaining(todo: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """What a resumed run still has to do."""
     return todo.join(done.select(*key).distinct(), key, "left_anti")
+
+
+def projected(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """The named columns; one that df lacks, or a null, becomes its default (None: null)."""
+    column = lambda name, value: F.lit(value) if name not in df.columns else F.col(name) if value is None else F.coalesce(name, F.lit(value))
+    return df.select(*[column(name, value).alias(name) for name, value in defaults.items()])
+
+
+def parquet_in_bytes(df: DataFrame, content: str, schema: str, rows: int = 10_000) -> DataFrame:
+    """The rows of Parquet files that df holds as bytes, such as members of archives.
+
+    Only the schema's columns are decoded, batch by batch; one file's bytes are the most a
+    task holds at a time. Null content has no rows; other bytes that aren't Parquet fail.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = df.sparkSession.createDataFrame([], schema).schema
+    target = to_arrow_schema(wanted)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                if data.is_valid:
+                    for found in pq.ParquetFile(io.BytesIO(data.as_py())).iter_batches(rows, columns=target.names):
+                        yield from pa.Table.from_batches([found]).select(target.names).cast(target).to_batches()
+
+    return df.select(content).mapInArrow(read, wanted)
