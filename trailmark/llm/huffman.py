@@ -32,6 +32,8 @@ from .files import opened, written
 
 MAGIC = b"TMHUF01\n"
 MAX_BITS = 16
+#: Bits that the decoder's window surely holds: 32, less those before a code in its first byte.
+WIDEST = 25
 BLOCK = 1 << 19
 LANE = 256
 FILE_IDS = 8 << 20
@@ -41,9 +43,14 @@ END_ID = 2
 # ---- codes
 
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most limit bits (package-merge); 0 for absent ids."""
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Optimal code lengths of at most limit bits (package-merge); 0 for absent ids.
+
+    Without a limit it is MAX_BITS, or where more ids are used than that suits, two more
+    than would number them, up to WIDEST."""
     used = np.flatnonzero(counts)
+    if limit is None:
+        limit = min(WIDEST, max(MAX_BITS, (len(used) - 1).bit_length() + 2))
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) < 2:
         lengths[used] = 1
@@ -81,8 +88,9 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(id, bits) for each value of the next limit bits."""
+def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, bits) for each value of the next bits: MAX_BITS, or as many as the longest code."""
+    limit = max(MAX_BITS, int(lengths.max(initial=0)))
     used = np.flatnonzero(lengths)
     order = used[np.argsort(lengths[used], kind="stable")]
     spread = 1 << (limit - lengths[order].astype(np.int64))
@@ -114,12 +122,13 @@ def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tup
 
 def decode_block(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     ids, bits = table
+    unread = np.uint32(33 - len(ids).bit_length())
     b = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint32)
     window = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
     at, last = checkpoints.astype(np.int64), len(window) - 1
     out = np.empty((LANE, len(at)), np.uint32)
     for k in range(LANE):
-        code = (window[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32)) >> 16
+        code = (window[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32)) >> unread
         out[k] = ids[code]
         at += bits[code]
     return out.T.reshape(-1)[:n]
@@ -241,7 +250,8 @@ def id_counts(coded: DataFrame, vocabulary: int) -> np.ndarray:
 
 def write(df: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Writes token files under path; returns their manifest (file, part, docs, ids, start),
-    start being the number of ids in all files before. Null ids come first."""
+    start being the number of ids in all files before. Null ids come first; rows of one id
+    follow each other in the order of a hash of their token ids, over as many files as they fill."""
     tokenizer = tokenizer or tokens.default_path()
     vocabulary = len(tokens.encoder(tokenizer).bytes)
     coded = stored(tokenised(df, tokenizer, id_col, text_col, end_id), "token-ids")
@@ -255,8 +265,10 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, id_col: str =
         name = written(f"{path}/part-{part:06d}.huf", file_chunks(batches, codes, lengths, dtype, meta))
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([meta["docs"]], pa.int64()), pa.array([meta["ids"]], pa.int64())], ["file", "part", "docs", "ids"])
 
-    docs = coded.where("n is not null").select("id", "n", "ids")
-    ordered = docs.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    # rows of one id may fill many files: they are told apart by what they hold
+    docs = coded.where("n is not null").select("id", "n", "ids", F.xxhash64("ids").alias("held"))
+    order = [F.col("id").asc_nulls_first(), F.col("held").asc()]
+    ordered = docs.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("held")
     manifest = stored(ordered.mapInArrow(save, "file string, part long, docs long, ids long"), "token-files").where("docs > 0")
     discard(coded)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
@@ -298,7 +310,9 @@ def _rows(rows: list[tuple], id_type: pa.DataType, with_ids: bool) -> pa.RecordB
 
 def round_trip(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """Encodes df's texts to files and reads them back. Null and empty texts are the end
-    id alone; repeated rows are documents of their own; an empty table gives none."""
+    id alone; repeated rows are documents of their own; an empty table gives none. A text of
+    any length is one document over many blocks. Further columns of df, whatever they are
+    called, take no part."""
     kind = df.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
     path = path or scratch(df.sparkSession, "tokens")
     return read(write(df, path, tokenizer, id_col, text_col, end_id), kind, id_col)
