@@ -159,7 +159,8 @@ def brute_slots(need):
         if left[s] < need[s]:
             out.append((t, s, left[s]))
         left[s] += 1
-    return out + [(total + r, s, r) for s in range(len(need)) for r in range(min(left[s], need[s]), need[s])]
+    got = [min(a, b) for a, b in zip(left, need)]
+    return out + [(total + (r - got[s]) * len(need) + s, s, r) for s in range(len(need)) for r in range(got[s], need[s])]
 
 
 class Long(int):
@@ -417,3 +418,47 @@ def test_blocks_round_trip():
         payload, points = huffman.encode_block(ids[:n], huffman.canonical(lengths), lengths)
         assert (huffman.decode_block(payload, points, n, huffman.decode_table(lengths)) == ids[:n]).all()
         assert len(points) == -(-n // huffman.LANE)
+
+
+def test_more_ids_than_sixteen_bits_number_go_round():
+    rng = np.random.default_rng(9)
+    ids = rng.permutation(np.concatenate([np.arange(90_000), np.minimum(rng.geometric(0.001, 60_000), 89_999)])).astype(np.uint32)
+    lengths = huffman.code_lengths(np.bincount(ids))
+    assert 16 < lengths.max() <= huffman.WIDEST and (2.0 ** -lengths[lengths > 0].astype(float)).sum() == 1
+    payload, points = huffman.encode_block(ids, huffman.canonical(lengths), lengths)
+    assert (huffman.decode_block(payload, points, len(ids), huffman.decode_table(lengths)) == ids).all()
+
+
+def test_widest_codes_go_round():
+    counts = np.array([2**k for k in range(30)])
+    lengths = huffman.code_lengths(counts, huffman.WIDEST)
+    assert lengths.max() == huffman.WIDEST
+    ids = np.random.default_rng(2).integers(0, 30, 5000).astype(np.uint32)
+    payload, points = huffman.encode_block(ids, huffman.canonical(lengths), lengths)
+    assert (huffman.decode_block(payload, points, len(ids), huffman.decode_table(lengths)) == ids).all()
+
+
+def test_rows_of_one_id_fill_many_token_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(huffman, "FILE_IDS", 500)
+    rows = [(None if i % 3 else 7, f"text number {i} of one id") for i in range(400)]
+    manifest = huffman.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert max(r.docs for r in manifest.collect()) < 200 and manifest.count() > 4
+    read = huffman.read(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in read] == sorted((i for i, _ in rows), key=lambda i: i or 0)
+    assert [r.start for r in read] == [sum(x.n_tokens for x in read[:k]) for k in range(len(read))]
+    assert len({r.ids_crc32 for r in read}) == 400
+
+
+def test_no_two_sources_share_a_slot(spark):
+    for need in ([40, 20], [1] * 40 + [3] * 20, [1, 200, 1, 1, 9]):
+        slots = [r.slot for r in mixing.schedule(spark, need, chunk_slots=16).collect()]
+        assert len(slots) == len(set(slots)) == sum(need)
+
+
+def test_endless_headers_are_refused():
+    import io
+
+    from trailmark.llm import warc
+
+    with pytest.raises(ValueError, match="no blank line"):
+        warc._Scan(io.BytesIO(b"WARC/1.0\r\n" + b"a: b\r\n" * 400_000)).headers()

@@ -56,7 +56,8 @@ def schedule(spark, need: list[int], points=golden, chunk_slots: int = CHUNK) ->
     slot, n) fall into the sources' shares.
 
     Slots beyond a source's need are left out; the few that the points leave short (a
-    low-discrepancy sequence is off by a handful) follow at the end.
+    low-discrepancy sequence is off by a handful) follow at the end, one of each such source
+    in turn. No slot is given twice; the numbers at the end have gaps.
     """
     slots, wanted = int(sum(need)), np.asarray(need)
     ends = np.cumsum(wanted) / max(slots, 1)
@@ -96,8 +97,8 @@ def schedule(spark, need: list[int], points=golden, chunk_slots: int = CHUNK) ->
     wants = spark.createDataFrame([(s, int(n)) for s, n in enumerate(need)], "src int, need long")
     got = counts.groupBy("src").agg(F.sum("n").alias("got"))
     short = wants.join(got, "src", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
-    late = short.select("src", F.explode(F.expr("sequence(got, need - 1)")).alias("rank"))
-    return laid.unionByName(late.select((F.lit(slots) + F.col("rank")).alias("slot"), "src", "rank"))
+    late = short.select("src", "got", F.explode(F.expr("sequence(got, need - 1)")).alias("rank"))
+    return laid.unionByName(late.select((F.lit(slots) + (F.col("rank") - F.col("got")) * len(need) + F.col("src")).alias("slot"), "src", "rank"))
 
 
 def _key(id_col: str, text_col: str, source_col: str) -> list:
