@@ -194,6 +194,7 @@ class _Scan:
     """Buffered header scanner over a seekable file; skipped payloads aren't read."""
 
     CHUNK = 1 << 16
+    MAX_HEADERS = 1 << 20
 
     def __init__(self, raw):
         self.raw, self.buffer, self.at = raw, b"", 0
@@ -212,6 +213,8 @@ class _Scan:
             end = self.buffer.find(b"\r\n\r\n", self.at)
             if end >= 0 and end - self.at > 2:
                 break
+            if len(self.buffer) - self.at > self.MAX_HEADERS:
+                raise ValueError(f"no blank line within {self.MAX_HEADERS} bytes of headers")
             if not self._fill(self.CHUNK):
                 return None
         lines = self.buffer[self.at : end].decode("utf-8", "replace").split("\r\n")
