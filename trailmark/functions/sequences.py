@@ -85,10 +85,10 @@ def turn_step(d: Column) -> Column:
 
 
 def unwrap(x: Column) -> Column:
-    """Angles without jumps: each step is brought into [-pi, pi), half-turns keep sign."""
-    start = F.struct(at(x, 0).alias("v"), F.array(at(x, 0)).alias("out"))
-    grown = F.aggregate(differences(x), start, lambda a, d: F.struct((a["v"] + turn_step(d)).alias("v"), F.concat(a["out"], F.array(a["v"] + turn_step(d))).alias("out")), lambda a: a["out"])
-    return F.when(F.size(x) > 0, grown).otherwise(x)
+    """Angles without jumps: each step is brought into [-pi, pi), half-turns keep sign. The
+    steps are summed up first and then added to the first angle."""
+    steps = running_sum(F.transform(differences(x), turn_step))
+    return F.transform(indexes(x), lambda i: at(x, 0) + F.when(i > 0, at(steps, i - 1)).otherwise(F.lit(0.0)))
 
 
 def longest_run(flags: Column) -> Column:
