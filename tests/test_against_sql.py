@@ -29,3 +29,26 @@ def test_a_turn_of_just_45_degrees(spark, tmp_path, name):
     items = pd.DataFrame([(16376, *s) for s in steps], columns=["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount"])
     got, want = rows_of(spark, tmp_path, name, lineitem=items)
     assert got == want
+
+
+def scenes(clean, changed):
+    """lineitem of scenes of one cluster: (flag, quantity) of each, by scene."""
+    rows = [(8 * k, i, 4 * i, flag, float(v)) for k, (a, b) in enumerate(zip(clean, changed)) for i, (flag, v) in enumerate([*(("N", v) for v in a), *(("R", v) for v in b)])]
+    return pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity"])
+
+
+@pytest.mark.parametrize("name", ["mined_pairs", "ranked_pairs"])
+@pytest.mark.parametrize(("clean", "changed"), [([0, 1, 20], [27, 27, 27, 27, 26]), ([0, 2, 31], [42, 42, 42, 41, 41]), ([0, 7, 20], [28, 28, 28, 27, 27])])
+def test_distances_that_just_equal_a_floor(spark, tmp_path, name, clean, changed):
+    got, want = rows_of(spark, tmp_path, name, lineitem=scenes([clean] * 3, [changed] * 3))
+    assert got == want
+
+
+@pytest.mark.parametrize("values", [[30.0, 48.0, 1.0, 2.0, 3.0], [14.0, 17.0, 2.0], [9.0, 13.0], [18.0, 28.0, 0.0, 1.0, 2.0], [5.0]])
+def test_floors_are_those_of_sql(spark, values):
+    from trailmark.functions.statistics import quantile
+    from pyspark.sql import functions as F
+
+    want = duckdb.execute("SELECT quantile_cont(x, 0.9) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchone()[0]
+    got = spark.createDataFrame([(values,)], "v array<double>").select(quantile(F.sort_array("v"), 0.9)).first()[0]
+    assert got == want

@@ -16,6 +16,19 @@ def floor_rank(sorted_values: Column, q: float) -> Column:
     return F.get(sorted_values, F.floor(F.lit(q) * (F.size(sorted_values) - 1)).cast("int"))
 
 
+def between(low: Column, high: Column, share: Column) -> Column:
+    """low * (1 - share) + high * share with the first product and the sum rounded once
+    (DuckDB's quantile_cont), so that a value next to a threshold lies on the same side."""
+    return F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low.cast("double"), 1 - share, high * share).cast("double")
+
+
+def quantile(sorted_values: Column, q: float) -> Column:
+    """Interpolated between the elements around q * (n - 1)."""
+    place = F.lit(q) * (F.size(sorted_values) - 1)
+    low, high = (F.get(sorted_values, c(place).cast("int")) for c in (F.floor, F.ceil))
+    return F.when(F.size(sorted_values) > 0, between(low, high, place - F.floor(place)))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, null where whole is zero."""
     return F.try_divide(part, whole)
