@@ -52,3 +52,19 @@ def test_floors_are_those_of_sql(spark, values):
     want = duckdb.execute("SELECT quantile_cont(x, 0.9) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchone()[0]
     got = spark.createDataFrame([(values,)], "v array<double>").select(quantile(F.sort_array("v"), 0.9)).first()[0]
     assert got == want
+
+
+def test_similarities_equal_those_of_all_pairs(spark, sf):
+    from pyspark.sql import functions as F
+
+    from trailmark.operators import joins, rewards
+
+    vectors = [[1.0, 2.0, 2.0], [0.0, 0.0, 0.0], None, [1.0, None, 3.0], [3.0], [], [-1.0, 0.5, 0.25], [0.1, 0.7, 1e-3]]
+    left = spark.createDataFrame(list(enumerate(vectors * 3)), "id int, v array<float>")
+    right = left.select(F.col("id").cast("string").alias("of"), F.col("v").alias("w"))
+    plain = joins.all_pairs(left, right).select("id", "of", rewards.cosine(F.col("v"), F.col("w")).alias("similarity"))
+    got = joins.similarities(left, right, "v", "w", rows=5)
+    assert got.columns == plain.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    plan = registry.QUERIES["search_similarities"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan  # no vector is gone through pair by pair
