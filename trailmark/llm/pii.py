@@ -3,7 +3,9 @@
 The CRF labels words as O or one of the kinds. It is trained on a small labelled table
 by gradient ascent on the exact likelihood (forward-backward) and decoded by Viterbi in
 numpy batches. Its sequences are the words within REACH words of one that holds a digit,
-an at sign or a spelled-out at or dot; other words can't be personal data of these kinds.
+an at sign or a spelled-out or lone at or dot. No other word can be part of what is added: a
+span must hold a digit, or an at between a user and a host, of which the user lies within two
+words of the at and each part of the host within two words of an at or a dot.
 What it finds beside the base spans (local phone numbers, spelled-out or bracketed
 addresses of mail and of hosts, cards with other separators) is added if it passes the
 kind's own test: the same as for base spans, after spelled-out signs are put back.
@@ -39,7 +41,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({](?i:at|dot)[\])}]|(?<![^\x20\x09-\x0D])(?i:dot)(?![^\x20\x09-\x0D])")
+_TRIGGER = re.compile(r"[0-9@]|[\[({](?i:at|dot)[\])}]|(?<![^\x20\x09-\x0D])[\[({]?(?:(?i:at|dot)|\.)[\])}]?(?![^\x20\x09-\x0D])")
 _AT = re.compile(r"[\x20\x09-\x0D]*[\[({][\x20\x09-\x0D]*(?:at|@)[\x20\x09-\x0D]*[\])}][\x20\x09-\x0D]*|[\x20\x09-\x0D]+at[\x20\x09-\x0D]+", re.I)
 _DOT = re.compile(r"[\x20\x09-\x0D]*[\[({][\x20\x09-\x0D]*(?:dot|\.)[\x20\x09-\x0D]*[\])}][\x20\x09-\x0D]*|[\x20\x09-\x0D]+dot[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\.[\x20\x09-\x0D]+", re.I)
 #: What an added span must be once spelled-out signs are put back.
