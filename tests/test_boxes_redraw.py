@@ -54,3 +54,11 @@ def test_redraw(spark):
     short = {r.s: (r.drawn, r.short) for r in sampling.unmet(df, out, ["s"], 8).collect()}
     assert short["c"] == (0, 8) and "a" not in short
     assert sampling.redrawn(df.limit(0), ["s"], "k", 8, lambda c: c).count() == 0
+
+
+def test_axes_are_not_worked_out_pair_by_pair(spark):
+    df = spark.createDataFrame([(0, k, 1.0 * k, 0.0, 0.0, 2.0, 2.0, 1.0, 0.3) for k in range(4)], "scene int, box int, " + ", ".join(f"{c} double" for c in FIELDS))
+    out = boxes.touching(df, ["scene"], "box")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joined = next(line for line in plan.splitlines() if "Join Inner, " in line and "_small" in line)
+    assert "COS(" not in joined and out.count() == 5

@@ -64,17 +64,24 @@ def bicycle_step(x: Column, y: Column, yaw: Column, speed: Column, steer: Column
     return x + speed * F.cos(yaw + slip) * dt, y + speed * F.sin(yaw + slip) * dt, yaw + speed / rear * F.sin(slip) * dt, F.greatest(F.lit(0.0), speed + accel * dt)
 
 
-def boxes_touch(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Whether two upright boxes (x, y, length, width, yaw, and z, height) intersect: no
-    axis of either parts them."""
-    parted = F.abs(a["z"] - b["z"]) > (a["height"] + b["height"]) / 2
+def box_axes(yaw: Column) -> dict[str, Column]:
+    """The directions that boxes_touch needs of a box, worked out once a box."""
+    return {f"{n}{i}": f(yaw + turn) for i, turn in enumerate((0.0, math.pi / 2)) for n, f in (("cos", F.cos), ("sin", F.sin))}
+
+
+def boxes_touch(a: dict, b: dict, absolute=F.abs):
+    """Whether two upright boxes (x, y, length, width, yaw or its box_axes, and z, height)
+    intersect: no axis of either parts them. Fields are columns, or with box_axes and np.abs
+    arrays."""
+    a, b = (box if "cos0" in box else box | box_axes(box["yaw"]) for box in (a, b))
+    parted = absolute(a["z"] - b["z"]) > (a["height"] + b["height"]) / 2
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    for yaw, turn in ((a["yaw"], 0.0), (a["yaw"], math.pi / 2), (b["yaw"], 0.0), (b["yaw"], math.pi / 2)):
-        ux, uy = F.cos(yaw + turn), F.sin(yaw + turn)
-        reach = F.lit(0.0)
+    for axes, i in ((a, 0), (a, 1), (b, 0), (b, 1)):
+        ux, uy = axes[f"cos{i}"], axes[f"sin{i}"]
+        reach = 0.0
         for box in (a, b):
-            reach = reach + F.abs(F.cos(box["yaw"]) * ux + F.sin(box["yaw"]) * uy) * box["length"] / 2 + F.abs(-F.sin(box["yaw"]) * ux + F.cos(box["yaw"]) * uy) * box["width"] / 2
-        parted = parted | (F.abs(dx * ux + dy * uy) > reach)
+            reach = reach + absolute(box["cos0"] * ux + box["sin0"] * uy) * box["length"] / 2 + absolute(-box["sin0"] * ux + box["cos0"] * uy) * box["width"] / 2
+        parted = parted | (absolute(dx * ux + dy * uy) > reach)
     return ~parted
 
 

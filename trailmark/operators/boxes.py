@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.geometry import boxes_touch
+from trailmark.functions.geometry import box_axes, boxes_touch
 
 FIELDS = ("x", "y", "z", "length", "width", "height", "yaw")
 #: Bounds are a little wider than boxes, so that rounding can't part two that touch.
@@ -21,14 +23,16 @@ def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0) -> Da
     whose cells are as long as it is (``cell`` at least), in nine cells of it at most; of two
     boxes the smaller one is looked up at the larger one's level, and the pair reported by one
     of the cells they share. So a box is copied a few times a level, whatever the sizes, and
-    only boxes in the same cells meet. Boxes with a null or non-finite field touch nothing.
+    only boxes in the same cells meet, of which those whose bounds lie apart are left out
+    before any axis is looked at; the others are tested as arrays. Boxes with a null or non-finite field touch nothing.
     """
     finite = [F.abs(F.col(c).cast("double")) < float("inf") for c in FIELDS]
     known = df.select(*group, F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in FIELDS]).where(F.array_min(F.array(*[F.coalesce(f, F.lit(False)) for f in finite])))
     cos, sin, l, w = F.abs(F.cos("yaw")), F.abs(F.sin("yaw")), F.abs("length") / 2, F.abs("width") / 2
     half = {"x": cos * l + sin * w, "y": sin * l + cos * w}
     ends = {f"_{c}{side}": F.col(c) + s * (h * (1 + SLACK) + SLACK * (1 + F.abs(c))) for c, h in half.items() for side, s in ((0, -1), (1, 1))}
-    sized = known.withColumns(ends)
+    axes = box_axes(F.col("yaw"))
+    sized = known.withColumns(ends | axes)
     side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
     sized = sized.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(side / cell))).cast("int"))
     levels = sized.agg(F.collect_set("_level").alias("_levels"))  # one row, a few dozen numbers
@@ -36,17 +40,27 @@ def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0) -> Da
     def dealt(boxes: DataFrame, at: Column) -> DataFrame:
         cells = lambda c: F.sequence(_cell(F.col(f"_{c}0"), at, cell), _cell(F.col(f"_{c}1"), at, cell))
         out = boxes.withColumn("_at", at).withColumn("_c", F.explode(cells("x"))).withColumn("_r", F.explode(cells("y")))
-        return out.select(*group, "_at", "_c", "_r", F.struct("_key", "_level", "_x0", "_y0", *FIELDS).alias("_box"))
+        first = [_cell(F.col(f"_{c}0"), at, cell).alias(f"_{n}0") for n, c in (("c", "x"), ("r", "y"))]
+        return out.select(*group, "_at", "_c", "_r", F.struct("_key", "_level", *first, *ends, *[c for c in FIELDS if c != "yaw"], *axes).alias("_box"))
 
     large = dealt(sized, F.col("_level")).withColumnRenamed("_box", "_large")
     small = sized.crossJoin(F.broadcast(levels)).withColumn("_up", F.explode(F.filter("_levels", lambda v: v >= F.col("_level")))).drop("_levels")
     small = dealt(small, F.col("_up")).withColumnRenamed("_box", "_small")
     a, b = F.col("_small"), F.col("_large")
     once = (a["_level"] < b["_level"]) | (a["_key"] < b["_key"])
-    shared = [F.col(f"_{n}") == F.greatest(_cell(a[f"_{c}0"], F.col("_at"), cell), _cell(b[f"_{c}0"], F.col("_at"), cell)) for n, c in (("c", "x"), ("r", "y"))]
-    touch = boxes_touch({c: a[c] for c in FIELDS}, {c: b[c] for c in FIELDS})
-    pairs = small.join(large, [*group, "_at", "_c", "_r"]).where(once & shared[0] & shared[1]).where(touch)
-    return pairs.select(*group, F.least(a["_key"], b["_key"]).alias(f"{key}_a"), F.greatest(a["_key"], b["_key"]).alias(f"{key}_b"))
+    shared = [F.col(f"_{n}") == F.greatest(a[f"_{n}0"], b[f"_{n}0"]) for n in "cr"]
+    near = (a["_x0"] <= b["_x1"]) & (b["_x0"] <= a["_x1"]) & (a["_y0"] <= b["_y1"]) & (b["_y0"] <= a["_y1"])
+    pairs = small.join(large, [*group, "_at", "_c", "_r"]).where(near & once & shared[0] & shared[1])
+    fields, keys = [*FIELDS[:-1], *axes], [F.least(a["_key"], b["_key"]).alias(f"{key}_a"), F.greatest(a["_key"], b["_key"]).alias(f"{key}_b")]
+    near_by = pairs.select(*group, *keys, *[box[c].alias(f"_{s}_{c}") for s, box in (("a", a), ("b", b)) for c in fields])
+    names = near_by.columns[: len(group) + 2]
+
+    def meeting(batches):
+        for batch in batches:
+            one, two = ({c: batch.column(f"_{s}_{c}").to_numpy(zero_copy_only=False) for c in fields} for s in "ab")
+            yield batch.select(names).filter(pa.array(boxes_touch(one, two, np.abs)))
+
+    return near_by.mapInArrow(meeting, ", ".join(f"`{n}` {near_by.schema[n].dataType.simpleString()}" for n in names))
 
 
 def _cell(x: Column, level: Column, cell: float) -> Column:
