@@ -41,7 +41,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({](?i:at|dot)[\])}]|(?<![^\x20\x09-\x0D])[\[({]?(?:(?i:at|dot)|\.)[\])}]?(?![^\x20\x09-\x0D])")
+_TRIGGER = re.compile(r"[0-9@]|[\[({][\x20\x09-\x0D]*(?:(?i:at|dot)|\.)[\x20\x09-\x0D]*[\])}]|(?<![^\x20\x09-\x0D])[\[({]?(?:(?i:at|dot)|\.)[\])}]?(?![^\x20\x09-\x0D])")
 _AT = re.compile(r"[\x20\x09-\x0D]*[\[({][\x20\x09-\x0D]*(?:at|@)[\x20\x09-\x0D]*[\])}][\x20\x09-\x0D]*|[\x20\x09-\x0D]+at[\x20\x09-\x0D]+", re.I)
 _DOT = re.compile(r"[\x20\x09-\x0D]*[\[({][\x20\x09-\x0D]*(?:dot|\.)[\x20\x09-\x0D]*[\])}][\x20\x09-\x0D]*|[\x20\x09-\x0D]+dot[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\.[\x20\x09-\x0D]+", re.I)
 #: What an added span must be once spelled-out signs are put back.
