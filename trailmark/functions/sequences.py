@@ -6,6 +6,7 @@ A null array gives null; arrays are taken to hold no nulls.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,12 @@ def at(x: Column, i) -> Column:
     return F.get(x, i if isinstance(i, Column) else F.lit(i))
 
 
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, which is worked out once however often body names it; inside a lambda an
+    expression is else worked out again for each element."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def indexes(x: Column) -> Column:
     return F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
 
@@ -33,7 +40,7 @@ def gradient(x: Column, step: float = 1.0) -> Column:
 
 def differences(x: Column) -> Column:
     """x[i+1] - x[i]."""
-    return F.transform(F.filter(indexes(x), lambda i: i > 0), lambda i: at(x, i) - at(x, i - 1))
+    return bound(x, lambda x: F.transform(F.filter(indexes(x), lambda i: i > 0), lambda i: at(x, i) - at(x, i - 1)))
 
 
 def moving_average(x: Column, window: int) -> Column:
@@ -53,7 +60,7 @@ def running_sum(x: Column) -> Column:
 def half_turn_unwrap(x: Column) -> Column:
     """Angles less a whole turn for each jump of more than half of one, halves to even."""
     turns = running_sum(F.transform(differences(x), lambda d: F.bround(d / (2 * math.pi)).cast("double")))
-    return F.transform(indexes(x), lambda i: at(x, i) - F.when(i > 0, at(turns, i - 1)).otherwise(F.lit(0.0)) * (2 * math.pi))
+    return bound(turns, lambda turns: F.transform(indexes(x), lambda i: at(x, i) - F.when(i > 0, at(turns, i - 1)).otherwise(F.lit(0.0)) * (2 * math.pi)))
 
 
 def time_slice(x: Column, first: float, last: float, step: float) -> Column:
@@ -88,7 +95,7 @@ def unwrap(x: Column) -> Column:
     """Angles without jumps: each step is brought into [-pi, pi), half-turns keep sign. The
     steps are summed up first and then added to the first angle."""
     steps = running_sum(F.transform(differences(x), turn_step))
-    return F.transform(indexes(x), lambda i: at(x, 0) + F.when(i > 0, at(steps, i - 1)).otherwise(F.lit(0.0)))
+    return bound(steps, lambda steps: F.transform(indexes(x), lambda i: at(x, 0) + F.when(i > 0, at(steps, i - 1)).otherwise(F.lit(0.0))))
 
 
 def longest_run(flags: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trailmark.functions.sequences import bound
+
 
 def nearest_rank(sorted_values: Column, q: float) -> Column:
     """Element round(q * (n - 1)), halves to even."""
@@ -63,10 +65,8 @@ def close_to(a: Column, b: float, relative: float = 1e-9) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp(x.cast("double") - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(raised, lambda x: x / total)
+    raised = bound(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x.cast("double") - top)))
+    return bound(raised, lambda r: bound(F.aggregate(r, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(r, lambda x: x / total)))
 
 
 def entropy(shares: Column, least: float = 1e-12) -> Column:
@@ -82,6 +82,5 @@ def largest(values: Column, k: int) -> Column:
 
 def negative_log_likelihood(logits: Column, target: Column) -> Column:
     """Of the element at target, from 0; null outside the array."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
-    return F.log(total) + top - F.get(logits, target).cast("double")
+    total = lambda top: F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
+    return bound(F.array_max(logits), lambda top: F.log(total(top)) + top) - F.get(logits, target).cast("double")

@@ -95,11 +95,19 @@ def ambiguous(margins_: Column, t: Thresholds = Thresholds()) -> Column:
 
 
 def well_driven(track: Column, hz: float, most_speed: float = 45.0, most_change: float = 12.0) -> Column:
-    """Speed and its change stay within physical bounds; three samples at least."""
-    xs, ys = F.transform(track, lambda p: p[0]), F.transform(track, lambda p: p[1])
-    speed = F.zip_with(S.differences(xs), S.differences(ys), lambda a, b: F.sqrt(a * a + b * b) * hz)
-    change = F.transform(S.differences(speed), lambda d: F.abs(d) * hz)
-    return (F.size(track) >= 3) & (F.array_max(speed) <= most_speed) & (F.coalesce(F.array_max(change), F.lit(0.0)) <= most_change)
+    """Speed and its change stay within physical bounds; three samples at least. One pass
+    over the samples, with the largest of both so far."""
+    fields = ("x", "y", "speed", "top", "change")
+    start = F.struct(*[F.lit(None).cast("double").alias(n) for n in fields])
+
+    def step(a: Column, p: Column) -> Column:
+        dx, dy = p[0] - a["x"], p[1] - a["y"]
+        speed = F.sqrt(dx * dx + dy * dy) * hz
+        values = (p[0].cast("double"), p[1].cast("double"), speed, F.greatest(a["top"], speed), F.greatest(a["change"], F.abs(speed - a["speed"]) * hz))
+        return F.struct(*[v.alias(n) for n, v in zip(fields, values)])
+
+    fits = lambda a: (a["top"] <= most_speed) & (F.coalesce(a["change"], F.lit(0.0)) <= most_change)
+    return (F.size(track) >= 3) & F.aggregate(track, start, step, fits)
 
 
 def chunks(df: DataFrame, group: list[str], order: str, size: int) -> DataFrame:
