@@ -35,8 +35,9 @@ def step_entropies(load):
 def uncertain_positions(load):
     """The most uncertain steps of each label, by entropy and by the runner-up's chance."""
     s = _steps(load)
-    pick = lambda column, method: sampling.top_per_group(s, ["label"], [F.round(column, 7).desc(), F.col("vec_id")], 5).select("label", F.lit(method).alias("method"), "vec_id", "rank")
-    return pick("entropy", "entropy").unionByName(pick("runner_up", "prob_gap"))
+    by = F.array(*[F.struct(F.lit(method).alias("method"), F.round(column, 7).alias("score")) for method, column in (("entropy", "entropy"), ("prob_gap", "runner_up"))])
+    scored = s.select("label", "vec_id", F.inline(by))  # both scores from one pass over the vectors
+    return sampling.top_per_group(scored, ["label", "method"], [F.desc("score"), F.col("vec_id")], 5).select("label", "method", "vec_id", "rank")
 
 
 _ORDER = "l_linenumber, l_partkey, l_quantity, l_discount"
