@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.functions import sequences as S
 from trailmark.operators import scans
 
 
@@ -53,11 +58,33 @@ def leave_one_out(df: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def medoid(pairs: DataFrame, group: list[str], a: str, b: str, distance: str) -> DataFrame:
     """The member with the least mean distance to the others (ties: the smallest)."""
-    both = pairs.select(*group, F.col(a).alias("member"), F.col(distance).alias("_d")).unionByName(pairs.select(*group, F.col(b).alias("member"), F.col(distance).alias("_d")))
+    ends = F.explode(F.array(a, b)).alias("member")  # each pair is made once
+    both = pairs.select(*group, ends, F.col(distance).alias("_d"))
     means = both.groupBy(*group, "member").agg(F.avg("_d").alias("mean_distance"))
     return means.groupBy(*group).agg(F.min(F.struct("mean_distance", "member")).alias("_m")).select(*group, "_m.member", "_m.mean_distance")
 
 
+def medoid_within(df: DataFrame, group: list[str], member: str, value: str, distance: Callable[[Column, Column], Column]) -> DataFrame:
+    """The same of a group's rows themselves, over all pairs of rows of different members: a
+    group is gathered in an array, so that its pairs are never rows. For groups of bounded
+    size, as in joins.pairs_within; the work is their square."""
+    items = F.collect_list(F.struct(F.col(member).alias("m"), F.col(value).alias("v")))
+    known = reduce(and_, [F.col(c).isNotNull() for c in [*group, member]])
+    rows = df.where(known).groupBy(*group).agg(items.alias("_s"))
+
+    def mean(m: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("n"))
+        add = lambda a, d: F.when(d.isNull(), a).otherwise(F.struct((a["t"] + d).alias("t"), (a["n"] + 1).alias("n")))
+        own = F.filter("_s", lambda x: x["m"] == m)
+        total = lambda others: F.aggregate(own, start, lambda a, x: F.aggregate(others, a, lambda a, y: add(a, distance(x["v"], y["v"]).cast("double"))), lambda a: F.when(a["n"] > 0, a["t"] / a["n"]))
+        return S.bound(F.filter("_s", lambda y: y["m"] != m), total)
+
+    members = F.array_distinct(F.transform("_s", lambda x: x["m"]))
+    best = F.array_min(F.transform("_members", lambda m: F.struct(mean(m).alias("mean_distance"), m.alias("member"))))
+    rows = rows.withColumn("_members", members).where(F.size("_members") > 1)  # a lone member has no distance
+    return rows.select(*group, best.alias("_m")).select(*group, "_m.member", "_m.mean_distance")
+
+
 def gates(df: DataFrame, group: list[str], gates: dict[str, Column]) -> DataFrame:
     """How many rows qualify, and how many of the others fail each gate (a row may fail
     several)."""
