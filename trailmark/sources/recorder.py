@@ -29,11 +29,13 @@ def simulation(logs: DataFrame) -> DataFrame:
 def lines(logs: DataFrame) -> DataFrame:
     """log, frame, elapsed, place, section and line, in one row per line of a frame."""
     head = r"^([0-9]+) at ([0-9.]+) seconds"
-    frames = logs.where(F.col("text").rlike(head)).select("log", F.regexp_extract("text", head, 1).cast("long").alias("frame"), F.regexp_extract("text", head, 2).cast("double").alias("elapsed"), F.split("text", "\n").alias("lines"))
-    out = frames.select("log", "frame", "elapsed", F.posexplode("lines").alias("place", "line"))
-    opens = F.when(F.col("line").rlike("^ [^ ]"), F.trim("line"))
-    before = Window.partitionBy("log", "frame").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # a frame's lines
-    return out.withColumn("section", F.last(opens, True).over(before))
+    frames = logs.where(F.col("text").rlike(head)).select("log", F.regexp_extract("text", head, 1).cast("long").alias("frame"), F.regexp_extract("text", head, 2).cast("double").alias("elapsed"), F.split("text", r"\n(?= [^ \n])").alias("sections"))
+    # a section's lines lie together, so none are shuffled: a frame is cut before each line that opens one
+    first = F.aggregate("sections", F.array(F.lit(0)), lambda at, s: F.concat(at, F.array(F.element_at(at, -1) + F.size(F.split(s, "\n")))))
+    parts = frames.select("log", "frame", "elapsed", first.alias("first"), F.posexplode("sections").alias("k", "part"))
+    opener = F.when(F.col("k") > 0, F.trim(F.substring_index("part", "\n", 1)))
+    out = parts.select("log", "frame", "elapsed", F.get("first", "k").alias("first"), opener.alias("section"), F.posexplode(F.split("part", "\n")).alias("i", "line"))
+    return out.select("log", "frame", "elapsed", (F.col("first") + F.col("i")).alias("place"), "line", "section")
 
 
 def frames(told: DataFrame) -> DataFrame:
@@ -65,6 +67,7 @@ def actors(told: DataFrame) -> DataFrame:
     opener = F.regexp_extract("section", r"^Create ([0-9]+):", 1).try_cast("long")
     own = F.when(line.rlike("^  [^ ].* = "), F.struct(F.substring_index(F.trim(line), " = ", 1).alias("key"), F.regexp_replace(line, r"^.*? = ", "").alias("value")))
     fields = [F.when(kind == k, c).alias(n) for k, cs in known.items() for n, c in cs.items()]
+    told = told.where(line.rlike("^ (Create|Destroy|Parenting) ") | F.col("section").startswith("Create "))
     rows = told.select("log", F.when(kind != "", actor).otherwise(opener).alias("actor"), *fields, F.when(opener.isNotNull() & (kind == ""), own).alias("own")).where("actor is not null")
     return rows.groupBy("log", "actor").agg(*[F.max(c).alias(c) for c in ("type_id", "created", "destroyed", "parent")], F.map_from_entries(F.array_distinct(F.collect_list("own"))).alias("attributes"))
 
