@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators.claims import ENTITY_CLASSES
@@ -48,8 +48,9 @@ def load_tracks(tracks: DataFrame, key: str, strict: bool = False, frame: str |
         if some:
             raise ValueError("; ".join(f"{r[key]}: {r['fault']} {r['detail']}" for r in some))
     known = tracks.where(F.col("label_class").isin(*LABEL_CLASSES))
-    one = known.groupBy(key, "track_id").agg(F.countDistinct("label_class").alias("_n")).where("_n = 1").select(key, "track_id")
-    return known.join(one, [key, "track_id"], "left_semi")
+    track = Window.partitionBy(key, "track_id")
+    marked = known.withColumn("_least", F.min("label_class").over(track)).withColumn("_most", F.max("label_class").over(track))
+    return marked.where("_least = _most").drop("_least", "_most")
 
 
 def present(tracks: DataFrame, key: str, window: tuple[Column, Column], most_distance: float = PRESENCE, least_samples: int = SAMPLES) -> DataFrame:
