@@ -25,10 +25,17 @@ def _at(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-class Shard(InputPartition):
-    def __init__(self, uri: str):
-        super().__init__(uri)
-        self.uri = uri
+#: Bytes of shards that a task reads at most (a longer shard is a task of its own), what
+#: opening one counts as, and tasks among which fewer bytes are dealt.
+TASK_BYTES, OPEN_BYTES, TASKS = 32 << 20, 64 << 10, 32
+#: Members that a task writes, about: small ones cost time rather than bytes.
+WRITE_MEMBERS = 20_000
+
+
+class Shards(InputPartition):
+    def __init__(self, uris: list[str]):
+        super().__init__(uris)
+        self.uris = uris
 
 
 class TarSource(DataSource):
@@ -63,27 +70,39 @@ class TarReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         system, path = _at(self.path)
         infos = system.get_file_info(fs.FileSelector(path, recursive=True)) if system.get_file_info(path).type == fs.FileType.Directory else [system.get_file_info(path)]
-        names = sorted(i.path for i in infos if i.type == fs.FileType.File and i.path.endswith(".tar"))
+        found = sorted((i.path, i.size + OPEN_BYTES) for i in infos if i.type == fs.FileType.File and i.path.endswith(".tar"))
         scheme = self.path.partition("://")[0] if "://" in self.path else "file"
-        return [Shard(n if scheme == "file" else f"{scheme}://{n}") for n in names]
+        share = min(TASK_BYTES, sum(s for _, s in found) // TASKS)
+        dealt, held = [], 0
+        for name, size in found:
+            if not dealt or held + size > share:
+                dealt.append([])
+                held = 0
+            dealt[-1].append(f"{scheme}://{name}")
+            held += size
+        return [Shards(uris) for uris in dealt]
+
+    def read(self, partition: Shards) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for uri in partition.uris:
+            for row in self._members(uri):
+                rows.append(row)
+                size += 200 + len(row[5] or b"")
+                if size > 8 << 20:
+                    yield _batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
-    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
-        uri = partition.uri if "://" in partition.uri else f"file://{partition.uri}"
+    def _members(self, uri: str) -> Iterator[tuple]:
         system, path = _at(uri)
-        rows, size = [], 0
         with system.open_input_file(path) as f, tarfile.open(fileobj=f, mode="r:") as tar:
             for m in tar:  # seeks from header to header
+                tar.members.clear()  # else it keeps each header
                 clip, _, extension = m.name.rpartition("/")[2].partition(".")
                 if not m.isfile() or any(v not in w for v, w in ((clip, self.wanted.get("clip")), (extension, self.wanted.get("extension"))) if w is not None):
                     continue
-                data = tar.extractfile(m).read() if self.data else None
-                rows.append((path.rpartition("/")[2], clip, extension, m.offset, m.size, data, uri))
-                size += m.size if self.data else 200
-                if size > 8 << 20:
-                    yield _batch(rows)
-                    rows, size = [], 0
-        if rows:
-            yield _batch(rows)
+                yield path.rpartition("/")[2], clip, extension, m.offset, m.size, tar.extractfile(m).read() if self.data else None, uri
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -189,7 +208,8 @@ def write_tar(members: DataFrame, path: str, per_shard: int = 50, cells: int = 1
             done.append(_closed(key, out, path))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["split", "shard", "clips", "members", "bytes"])
 
-    dealt = rows.repartition("split", "shard").sortWithinPartitions("split", "shard", "clip", "extension")
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // WRITE_MEMBERS))
+    dealt = rows.repartition(tasks, "split", "shard").sortWithinPartitions("split", "shard", "clip", "extension")
     manifest = dealt.mapInArrow(save, "split string, shard string, clips long, members long, bytes long")
     manifest.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_manifest")
     return members.sparkSession.read.parquet(f"{path.rstrip('/')}/_manifest")
