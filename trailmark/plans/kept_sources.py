@@ -55,13 +55,14 @@ def report_scan(load):
 @query("""
     SELECT l_orderkey::VARCHAR AS route_id, 'Town' || (l_orderkey % 7) AS town, count(*) AS points, round(sum(l_quantity), 4) AS x, round(sum(l_tax * 100), 4) AS y FROM lineitem GROUP BY 1, 2""")
 def xml_route_scan(load):
-    """Orders as routes in XML, an item a way point."""
+    """Orders as routes in XML, an item a way point. A file is read by one task, so files
+    are bounded."""
     li = load("lineitem")
     path = scratch(li.sparkSession, "routes")
     point = F.struct(F.col("l_quantity").cast("double").alias("_x"), (F.col("l_tax") * 100).cast("double").alias("_y"), F.lit(0.0).alias("_z"))
     routes = li.groupBy("l_orderkey").agg(F.collect_list(point).alias("position"))
     town = F.concat(F.lit("Town"), (F.col("l_orderkey") % 7).cast("string"))
-    routes.select(F.col("l_orderkey").cast("string").alias("_id"), town.alias("_town"), F.struct("position").alias("waypoints")).write.format("xml").option("rootTag", "routes").option("rowTag", "route").save(path)
+    routes.select(F.col("l_orderkey").cast("string").alias("_id"), town.alias("_town"), F.struct("position").alias("waypoints")).write.format("xml").option("maxRecordsPerFile", 50_000).option("rootTag", "routes").option("rowTag", "route").save(path)
     total = lambda c: F.round(F.aggregate("waypoints", F.lit(0.0), lambda s, p: s + p[c]), 4).alias(c)
     return tables.routes(li.sparkSession, path).select("route_id", "town", F.size("waypoints").cast("long").alias("points"), total("x"), total("y"))
 
