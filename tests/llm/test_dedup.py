@@ -172,3 +172,19 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95)] + [(200, 201 + i) for i in range(50)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(2, 41)}, 100: 90, 95: 90, **{201 + i: 200 for i in range(50)}}
+
+
+def test_rows_that_share_nothing_are_not_dealt(spark, monkeypatch):
+    """Of texts without relatives neither signatures nor sketches go into the orders."""
+    rng = np.random.default_rng(8)
+    text = lambda: [f"w{k}" for k in rng.integers(0, 10_000, 120)]
+    rows = [(i, " ".join(text())) for i in range(400)]
+    for i in range(6):
+        words = rows[i][1].split()
+        rows += [(1000 + i, " ".join([*words[:-1], "x"])), (2000 + i, " ".join(["x", *words[1:]]))]
+    dealt, whole = [], near_dedup._orders
+    monkeypatch.setattr(near_dedup, "_orders", lambda *a: dealt.append(whole(*a)) or dealt[-1])
+    monkeypatch.setattr(near_dedup, "_joined", lambda c, *a, f=near_dedup._joined: dealt.append(dealt.pop().count()) or f(c, *a))
+    got = near_dedup.membership(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(rows))
+    assert len(dealt) == 2 and 18 * 12 < dealt[1] < 18 * near_dedup.TREES + 100

@@ -4,7 +4,9 @@ Documents with equal shingle sets form classes; one row per class goes on. Its M
 signature gives TREES sort keys of VALUES values. Each sorted order is dealt by range, so
 that a region of any size is spread over tasks. Rows that share ``depth`` values in an
 order are candidates; depth follows from the similarity asked for, so that all orders miss
-a pair at the threshold about once in a million times.
+a pair at the threshold about once in a million times. Most rows share depth values with no
+other one. That is found out first, from a hash and a number a row and order; the others'
+signatures and sketches alone are dealt.
 
 Candidates come in three rounds. The first takes only next neighbours in a few orders; its
 confirmed links already join most groups of copies. The second takes WINDOW neighbours in
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, each_slice, stored
+from .common import discard, each_slice, gathered, stored
 from .components import components
 
 SHINGLE = 5
@@ -42,6 +44,8 @@ MISS_ORDERS, MISS_SKETCH = 5e-6, 1e-5
 #: Bits of a MinHash value in the sketch: with fewer, unlike values often look alike.
 BITS = 4
 ROWS_PER_TASK = 100_000
+#: The same of rows of two numbers.
+REGIONS_PER_TASK = 500_000
 #: Rows of a crowded region, and shingles in them, that are held against as many others
 #: in one task. Deeper levels send each row once or twice more, which pays in regions of
 #: more than DESCEND blocks.
@@ -278,18 +282,46 @@ def _across(window: int, forest: Forest):
     return run
 
 
+def _companions(batches):
+    """node, and the bit of the order, of rows whose region the row before or after has too.
+    The first and last rows at hand stay, since theirs may go on elsewhere."""
+    for batch in gathered(batches):
+        if not len(batch):
+            continue
+        region = batch.column("region").to_numpy()
+        same, edge = region[1:] == region[:-1], np.ones(1, bool)
+        shared = np.concatenate([edge, same]) | np.concatenate([same, edge])
+        bits = np.left_shift(1, region[shared] & 31).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(shared)), pa.array(bits)], ["node", "trees"])
+
+
+def sharing(classes: DataFrame, forest: Forest) -> DataFrame:
+    """(node, trees) of the classes (node, signature) that share depth values of an order with
+    another class; trees has a bit for each such order. Few classes and bits more may come
+    along, none is left out."""
+    wide = classes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "signature", "node")
+    # the order's number takes the place of a hash's last five bits
+    rows = wide.select(F.expr(f"(xxhash64(substring(signature, tree * {2 * VALUES} + 1, {2 * forest.depth})) & -32L) | tree").alias("region"), "node")
+    tasks = max(1, -(-classes.count() * TREES // REGIONS_PER_TASK))
+    dealt = rows.repartitionByRange(tasks, "region", "node").sortWithinPartitions("region")
+    return dealt.mapInArrow(_companions, "node long, trees int").groupBy("node").agg(F.bit_or("trees").alias("trees"))
+
+
 def _orders(classes: DataFrame, trees: int, values: int, columns: list[str]) -> DataFrame:
-    wide = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "signature", *columns)
+    """A row (tree, key, columns) for each of the first trees orders that a class's bits name."""
+    named = F.expr(f"filter(sequence(0, {trees - 1}), t -> getbit(trees, t) = 1)")
+    wide = classes.select(F.explode(named).alias("tree"), "signature", *columns)
     return wide.select("tree", F.expr(f"substring(signature, tree * {2 * VALUES} + 1, {2 * values})").alias("key"), *columns)
 
 
 def candidates(classes: DataFrame, trees: int, window: int, forest: Forest) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct pairs (a, b), a < b, of classes (node, part, n, signature, sketch) that
+    """Distinct pairs (a, b), a < b, of classes (node, part, n, signature, sketch, trees) that
     lie near each other in one of the first trees orders and not in one part; the regions
     (tree, key) of more rows than the window reaches that aren't all one part; and the
     stored table that both read."""
     rows = _orders(classes, trees, VALUES, ["node", "part", "n", "sketch"])
-    tasks = max(1, -(-classes.count() * trees // ROWS_PER_TASK))
+    dealt = classes.agg(F.sum(F.expr(f"bit_count(trees & {(1 << trees) - 1})"))).first()[0] or 0
+    tasks = max(1, -(-dealt // ROWS_PER_TASK))
     order = rows.repartitionByRange(tasks, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     near = stored(order.mapInArrow(_neighbours(window, forest), _NEAR), "forest")
     inside = near.where("a is not null and tree is null").select("a", "b")
@@ -447,11 +479,15 @@ def _members(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     made = stored(keyed.mapInArrow(_features, f"id {kind}, key1 long, key2 long, n long, hi long, lo long, signature binary, sketch binary"), "signatures")
     sets = made.where("n > 0").groupBy("n", "hi", "lo").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key1", "key2")).alias("first"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     sets = sets.select("n", "hi", "lo", F.col("first.id").alias("first"), "first.key1", "first.key2", "signature", "sketch")
-    classes = stored(sets.withColumn("node", F.monotonically_increasing_id()).withColumn("part", F.col("node")), "classes")
+    classes = stored(sets.withColumn("node", F.monotonically_increasing_id()), "classes")
+    shared = stored(sharing(classes, forest), "shared")
+    small = F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared
+    joined = stored(classes.join(small, "node").withColumn("part", F.col("node")), "parts")
+    discard(shared)
 
-    pairs, _, near = candidates(classes, FIRST_TREES, 1, forest)
-    links, spent = confirmed(pairs, classes, keyed, percent)
-    joined = _joined(classes, links, [*spent, near])
+    pairs, _, near = candidates(joined, FIRST_TREES, 1, forest)
+    links, spent = confirmed(pairs, joined, keyed, percent)
+    joined = _joined(joined, links, [*spent, near])
     pairs, crowded, near = candidates(joined, TREES, WINDOW, forest)
     crowded = stored(crowded, "crowded")
     links, spent = confirmed(pairs, joined, keyed, percent)
@@ -460,7 +496,10 @@ def _members(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
         joined = _uncrowded(joined, crowded, keyed, forest)
     discard(crowded)
     least = joined.groupBy("part").agg(F.min("first").alias("component_id"))
-    named = joined.join(least, "part").select("n", "hi", "lo", "part", "component_id")
+    named = joined.select("node", "part").join(least, "part")
+    # a class that shares nothing is a part of its own
+    named = classes.select("node", "n", "hi", "lo", "first").join(named, "node", "left")
+    named = named.select("n", "hi", "lo", F.coalesce("part", "node").alias("part"), F.coalesce("component_id", "first").alias("component_id"))
     out = made.select("id", "key1", "key2", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
     return out.select("id", "key1", "key2", "n", "part", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
