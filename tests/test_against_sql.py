@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
 import pandas as pd
 import pytest
@@ -31,6 +33,26 @@ def test_a_turn_of_just_45_degrees(spark, tmp_path, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["manoeuvre_labels", "label_report", "commitment_verdicts"])
+def test_turns_of_45_degrees_but_for_the_last_place_of_an_angle(spark, tmp_path, name):
+    tracks = {
+        131: [(25, 0.08), (12, 0.1), (48, 0.04), (40, 0.0), (23, 0.0)],
+        148: [(1, 0.02), (33, 0.0), (27, 0.01), (42, 0.04), (19, 0.04)],
+        266: [(6, 0.09), (21, 0.08), (3, 0.01), (28, 0.1), (42, 0.08)],
+    }
+    rows = [(order, i, i, float(quantity), discount) for order, track in tracks.items() for i, (quantity, discount) in enumerate(track, 1)]
+    got, want = rows_of(spark, tmp_path, name, lineitem=pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount"]))
+    assert got == want
+
+
+def test_angles_of_arrays(spark):
+    from trailmark.functions import sequences
+
+    rows = [([1.0, -1.0, 0.0], [1.0, 0.0, -2.0]), (None, None), ([], []), ([-0.0, None], [-1.0, 1.0])]
+    got = spark.createDataFrame(rows, "y array<double>, x array<double>").coalesce(1).select(sequences.angles("y", "x")).collect()
+    assert [r[0] for r in got] == [[math.pi / 4, -math.pi / 2, math.pi], None, [], [-math.pi, None]]
+
+
 def scenes(clean, changed):
     """lineitem of scenes of one cluster: (flag, quantity) of each, by scene."""
     rows = [(8 * k, i, 4 * i, flag, float(v)) for k, (a, b) in enumerate(zip(clean, changed)) for i, (flag, v) in enumerate([*(("N", v) for v in a), *(("R", v) for v in b)])]

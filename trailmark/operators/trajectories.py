@@ -39,7 +39,7 @@ def features(df: DataFrame, track: str, hz: float, native_accel: str | None = No
     dt = 1.0 / hz
     xs, ys = F.transform(track, lambda p: p[0]), F.transform(track, lambda p: p[1])
     step1 = df.withColumn("_vx", S.gradient(xs, dt)).withColumn("_vy", S.gradient(ys, dt)).withColumn("_y", ys)
-    step2 = step1.withColumn("_raw", F.zip_with("_vx", "_vy", lambda a, b: F.sqrt(a * a + b * b))).withColumn("_turn", S.unwrap(F.zip_with("_vx", "_vy", lambda a, b: F.atan2(b, a))))
+    step2 = step1.withColumn("_raw", F.zip_with("_vx", "_vy", lambda a, b: F.sqrt(a * a + b * b))).withColumn("_angle", S.angles("_vy", "_vx")).withColumn("_turn", S.unwrap(F.col("_angle")))
     step3 = step2.withColumn("_speed", S.moving_average(F.col("_raw"), t.window)).withColumn("_heading", S.moving_average(F.col("_turn"), t.window))
     derived = S.gradient(F.col("_speed"), dt)
     accel = F.coalesce(F.col(native_accel), derived) if native_accel else derived
