@@ -62,3 +62,34 @@ def test_axes_are_not_worked_out_pair_by_pair(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     joined = next(line for line in plan.splitlines() if "Join Inner, " in line and "_small" in line)
     assert "COS(" not in joined and out.count() == 5
+
+
+def crowd(spark, n):
+    """Boxes of three sizes at one place, in two scenes and one unknown, keys as text."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["s", "t", None]), k % 2, f"k{k % (n - 5):03}", rng.uniform(-9, 9), rng.uniform(-9, 9), rng.uniform(0, 2), *rng.choice([(2.0, 1.0), (6.0, 2.0), (20.0, 3.0)]), 1.5, rng.uniform(-4, 4)) for k in range(n)]
+    return spark.createDataFrame(rows, "scene string, half int, box string, " + ", ".join(f"{c} double" for c in FIELDS))
+
+
+def test_blocks_of_crowded_cells_hold_every_pair(spark):
+    df, group = crowd(spark, 150), ["scene", "half"]
+    a, b = (df.select(*group, F.col("box").alias(f"box_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in FIELDS]) for s in "ab")
+    plain = a.join(b, group).where("box_a < box_b").where(boxes_touch(*[{c: F.col(f"{c}_{s}") for c in FIELDS} for s in "ab"]))
+    want = sorted(map(tuple, plain.select(*group, "box_a", "box_b").collect()))
+    for rows in (3, 20, 1000):
+        assert sorted(map(tuple, boxes.touching(df, group, "box", rows=rows).collect())) == want
+    assert len(want) > 200
+
+
+def test_a_key_does_not_touch_itself(spark):
+    rows = [(0, 7, 0.0, 0.0, 0.0, 2.0, 2.0, 1.0, 0.0), (0, 7, 0.0, 0.0, 0.0, 9.0, 9.0, 1.0, 0.0), (0, 8, 1.0, 0.0, 0.0, 2.0, 2.0, 1.0, 0.0)]
+    out = boxes.touching(spark.createDataFrame(rows, "scene int, box int, " + ", ".join(f"{c} double" for c in FIELDS)), ["scene"], "box")
+    assert sorted(map(tuple, out.collect())) == [(0, 7, 8), (0, 7, 8)]
+
+
+def test_cells_are_joined_and_not_boxes(spark):
+    rows = [(0, k, 0.01 * k, 0.0, 0.0, 2.0, 2.0, 1.0, 0.3) for k in range(60)]
+    out = boxes.touching(spark.createDataFrame(rows, "scene int, box int, " + ", ".join(f"{c} double" for c in FIELDS)), ["scene"], "box")
+    assert out.count() == 60 * 59 // 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") >= 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +13,13 @@ from trailmark.functions.geometry import box_axes, boxes_touch
 FIELDS = ("x", "y", "z", "length", "width", "height", "yaw")
 #: Bounds are a little wider than boxes, so that rounding can't part two that touch.
 SLACK = 1e-9
+#: Boxes of a cell that are one row of the join; cells with more are dealt in blocks.
+ROWS = 8000
+#: Pairs whose bounds are compared at once, and near pairs whose axes are.
+BOUNDS, AXES = 1 << 20, 1 << 15
 
 
-def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0) -> DataFrame:
+def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0, rows: int = ROWS) -> DataFrame:
     """group, <key>_a and <key>_b of each pair of boxes of a group that intersect, edges
     included, once, a before b.
 
@@ -23,44 +28,111 @@ def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0) -> Da
     whose cells are as long as it is (``cell`` at least), in nine cells of it at most; of two
     boxes the smaller one is looked up at the larger one's level, and the pair reported by one
     of the cells they share. So a box is copied a few times a level, whatever the sizes, and
-    only boxes in the same cells meet, of which those whose bounds lie apart are left out
-    before any axis is looked at; the others are tested as arrays. Boxes with a null or non-finite field touch nothing.
+    only boxes in the same cells meet. A cell's boxes are joined as arrays: bounds are compared
+    first, and axes are looked at only for pairs whose bounds overlap. Cells of more than
+    ``rows`` boxes fall into blocks of about so many, each pair of blocks a row of its own.
+    Boxes with a null key or group, or a null or non-finite field, touch nothing.
     """
     finite = [F.abs(F.col(c).cast("double")) < float("inf") for c in FIELDS]
-    known = df.select(*group, F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in FIELDS]).where(F.array_min(F.array(*[F.coalesce(f, F.lit(False)) for f in finite])))
+    told = [F.col(c).isNotNull() for c in (*group, key)]
+    known = df.select(*group, F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in FIELDS], F.array_min(F.array(*told, *[F.coalesce(f, F.lit(False)) for f in finite])).alias("_ok")).where("_ok").drop("_ok")
     cos, sin, l, w = F.abs(F.cos("yaw")), F.abs(F.sin("yaw")), F.abs("length") / 2, F.abs("width") / 2
     half = {"x": cos * l + sin * w, "y": sin * l + cos * w}
     ends = {f"_{c}{side}": F.col(c) + s * (h * (1 + SLACK) + SLACK * (1 + F.abs(c))) for c, h in half.items() for side, s in ((0, -1), (1, 1))}
-    axes = box_axes(F.col("yaw"))
-    sized = known.withColumns(ends | axes)
+    sized = known.withColumns(ends | box_axes(F.col("yaw")))
     side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
     sized = sized.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(side / cell))).cast("int"))
     levels = sized.agg(F.collect_set("_level").alias("_levels"))  # one row, a few dozen numbers
+    place = [*group, "_at", "_c", "_r"]
 
     def dealt(boxes: DataFrame, at: Column) -> DataFrame:
         cells = lambda c: F.sequence(_cell(F.col(f"_{c}0"), at, cell), _cell(F.col(f"_{c}1"), at, cell))
-        out = boxes.withColumn("_at", at).withColumn("_c", F.explode(cells("x"))).withColumn("_r", F.explode(cells("y")))
-        first = [_cell(F.col(f"_{c}0"), at, cell).alias(f"_{n}0") for n, c in (("c", "x"), ("r", "y"))]
-        return out.select(*group, "_at", "_c", "_r", F.struct("_key", "_level", *first, *ends, *[c for c in FIELDS if c != "yaw"], *axes).alias("_box"))
+        return boxes.withColumn("_at", at).withColumn("_c", F.explode(cells("x"))).withColumn("_r", F.explode(cells("y")))
 
-    large = dealt(sized, F.col("_level")).withColumnRenamed("_box", "_large")
+    large = dealt(sized, F.col("_level"))
     small = sized.crossJoin(F.broadcast(levels)).withColumn("_up", F.explode(F.filter("_levels", lambda v: v >= F.col("_level")))).drop("_levels")
-    small = dealt(small, F.col("_up")).withColumnRenamed("_box", "_small")
-    a, b = F.col("_small"), F.col("_large")
-    once = (a["_level"] < b["_level"]) | (a["_key"] < b["_key"])
-    shared = [F.col(f"_{n}") == F.greatest(a[f"_{n}0"], b[f"_{n}0"]) for n in "cr"]
-    near = (a["_x0"] <= b["_x1"]) & (b["_x0"] <= a["_x1"]) & (a["_y0"] <= b["_y1"]) & (b["_y0"] <= a["_y1"])
-    pairs = small.join(large, [*group, "_at", "_c", "_r"]).where(near & once & shared[0] & shared[1])
-    fields, keys = [*FIELDS[:-1], *axes], [F.least(a["_key"], b["_key"]).alias(f"{key}_a"), F.greatest(a["_key"], b["_key"]).alias(f"{key}_b")]
-    near_by = pairs.select(*group, *keys, *[box[c].alias(f"_{s}_{c}") for s, box in (("a", a), ("b", b)) for c in fields])
-    names = near_by.columns[: len(group) + 2]
+    small = dealt(small, F.col("_up"))
+    full = small.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n")).where("_n > 1")
+    fields = [*FIELDS[:-1], *box_axes(F.col("yaw")), *ends]
+
+    def packed(boxes: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        """Boxes of a cell and block, once for each block of the other side."""
+        n = F.coalesce("_n", F.lit(1))
+        blocks = boxes.join(F.broadcast(full), place, "left").withColumn(own, F.pmod(F.xxhash64("_key"), n).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), n - 1)))
+        starts = [(F.col(f"_{i}") == _cell(F.col(f"_{c}0"), F.col("_at"), cell)).alias(f"_starts_{c}") for i, c in (("c", "x"), ("r", "y"))]
+        box = F.struct("_key", (F.col("_level") < F.col("_at")).alias("_lower"), *starts, *fields)
+        return blocks.groupBy(*place, "_small_block", "_large_block").agg(F.collect_list(box).alias(name))
+
+    sides = packed(small, "_small_block", "_large_block", "_small"), packed(large, "_large_block", "_small_block", "_large")
+    met = sides[0].join(sides[1], [*place, "_small_block", "_large_block"]).select(*group, "_small", "_large")
+    names = [*group, f"{key}_a", f"{key}_b"]
 
     def meeting(batches):
         for batch in batches:
-            one, two = ({c: batch.column(f"_{s}_{c}").to_numpy(zero_copy_only=False) for c in fields} for s in "ab")
-            yield batch.select(names).filter(pa.array(boxes_touch(one, two, np.abs)))
+            for row, first, second in _meeting(_boxes(batch.column("_small")), _boxes(batch.column("_large"))):
+                yield pa.RecordBatch.from_arrays([*(batch.column(g).take(row) for g in group), first, second], names)
+
+    kinds = [known.schema[c].dataType.simpleString() for c in (*group, "_key", "_key")]
+    return met.mapInArrow(meeting, ", ".join(f"`{n}` {kind}" for n, kind in zip(names, kinds)))
+
+
+def _boxes(column: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """The row of each box of a column of arrays, and the boxes' fields, by row and _y0."""
+    sizes, boxes = pc.list_value_length(column).to_numpy(), column.flatten()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    fields = {f.name: a for f, a in zip(boxes.type, boxes.flatten())}
+    order = np.lexsort((fields["_y0"].to_numpy(), row))
+    return row[order], {name: a.take(pa.array(order)) for name, a in fields.items()}
+
+
+def _meeting(small: tuple, large: tuple):
+    """Row and both keys of each pair of a row's small and large boxes that intersect."""
+    sides = [{c: a.to_numpy(zero_copy_only=False) for c, a in fields.items() if c != "_key"} for _, fields in (small, large)]
+    keys = pa.concat_arrays([small[1]["_key"], large[1]["_key"]])
+    place = (keys if pa.types.is_integer(keys.type) else pc.rank(keys, tiebreaker="dense")).to_numpy()
+    n, both = len(small[0]), {c: np.concatenate([side[c] for side in sides]) for c in sides[0]}
+    found, waiting = [], 0
+    for i, j in _near(small[0], large[0], *sides, place[:n], place[n:]):
+        found.append((i, j))
+        waiting += len(i)
+        if waiting >= AXES:
+            yield from _tested(found, small[0], both, keys, place, n)
+            found, waiting = [], 0
+    yield from _tested(found, small[0], both, keys, place, n)
+
+
+def _near(row_a, row_b, a: dict, b: dict, place_a, place_b):
+    """Positions of the pairs that this row's cell reports and whose bounds overlap."""
+    ends = [np.searchsorted(rows, np.arange(row_a[-1] + 2) if len(row_a) else [0]) for rows in (row_a, row_b)]
+    for s0, s1, l0, l1 in zip(ends[0][:-1], ends[0][1:], ends[1][:-1], ends[1][1:]):
+        if s0 == s1 or l0 == l1:
+            continue
+        low, tallest, step = b["_y0"][l0:l1], (b["_y1"][l0:l1] - b["_y0"][l0:l1]).max(), max(1, min(256, BOUNDS // (l1 - l0)))
+        tallest += SLACK * (1 + abs(tallest) + np.abs(low[[0, -1]]).max())
+        for start in range(s0, s1, step):
+            one = slice(start, min(s1, start + step))
+            two = slice(l0 + np.searchsorted(low, a["_y0"][start] - tallest), l0 + np.searchsorted(low, a["_y1"][one].max(), "right"))
+            near = a["_x0"][one, None] <= b["_x1"][two]
+            near &= b["_x0"][two] <= a["_x1"][one, None]
+            near &= a["_y0"][one, None] <= b["_y1"][two]
+            near &= b["_y0"][two] <= a["_y1"][one, None]
+            for c in "xy":
+                near &= a[f"_starts_{c}"][one, None] | b[f"_starts_{c}"][two]
+            near &= (place_a[one, None] < place_b[two]) | a["_lower"][one, None]
+            i, j = np.nonzero(near)
+            yield i + start, j + two.start
+
 
-    return near_by.mapInArrow(meeting, ", ".join(f"`{n}` {near_by.schema[n].dataType.simpleString()}" for n in names))
+def _tested(found: list, row, both: dict, keys: pa.Array, place, n: int):
+    """Of near pairs those that intersect, the box with the lesser key first."""
+    i, j = (np.concatenate([pair[k] for pair in found] or [np.zeros(0, int)]) for k in (0, 1))
+    fields = [c for c in both if not c.startswith("_")]
+    for start in range(0, len(i), AXES):
+        a, b = i[start : start + AXES], j[start : start + AXES] + n
+        lesser = place[a] < place[b]
+        p, q = np.where(lesser, a, b), np.where(lesser, b, a)
+        touch = boxes_touch(*({c: both[c][at] for c in fields} for at in (p, q)), np.abs) & (place[p] != place[q])
+        yield pa.array(row[a[touch]]), keys.take(pa.array(p[touch])), keys.take(pa.array(q[touch]))
 
 
 def _cell(x: Column, level: Column, cell: float) -> Column:
