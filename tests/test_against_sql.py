@@ -90,3 +90,19 @@ def test_similarities_equal_those_of_all_pairs(spark, sf):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
     plan = registry.QUERIES["search_similarities"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" not in plan  # no vector is gone through pair by pair
+
+
+def test_similarities_copy_no_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trailmark.operators import joins
+
+    monkeypatch.setattr(joins, "PAIRS", 50, raising=False)
+    left = spark.range(60).select("id", F.array(F.col("id") * 1.0, F.lit(2.0)).alias("v"))
+    right = spark.range(30).select(F.col("id").cast("string").alias("of"), F.array(F.lit(1.0), F.col("id") * 1.0).alias("w")).repartition(3)
+    got = joins.similarities(left, right, "v", "w", rows=7)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(" not in plan
+    assert got.rdd.getNumPartitions() == 36
+    assert got.count() == got.select("id", "of").distinct().count() == 60 * 30
+    assert joins.similarities(left, right.limit(0), "v", "w").count() == joins.similarities(left.limit(0), right, "v", "w").count() == 0
