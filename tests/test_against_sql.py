@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -92,6 +93,16 @@ def test_similarities_equal_those_of_all_pairs(spark, sf):
     assert "zip_with" not in plan  # no vector is gone through pair by pair
 
 
+def test_boxes_that_share_a_key(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    n = 500
+    items = pd.DataFrame({"l_orderkey": rng.integers(0, 30, n), "l_linenumber": rng.integers(1, 5, n), "l_partkey": rng.integers(0, 7, n), "l_suppkey": rng.integers(0, 2, n) * 20 + rng.integers(0, 2, n)})
+    items = items.assign(l_extendedprice=rng.integers(0, 800, n) / 100, l_quantity=rng.integers(1, 51, n) * 1.0, l_discount=rng.integers(0, 11, n) / 100, l_returnflag=rng.choice(["R", "R", "N"], n))
+    items = pd.concat([items, items[:20]])  # whole rows twice
+    got, want = rows_of(spark, tmp_path, "touching_boxes", lineitem=items)
+    assert got == want and len(want) > 400
+
+
 def test_similarities_copy_no_row(spark, monkeypatch):
     from pyspark.sql import functions as F
 

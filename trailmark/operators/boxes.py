@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.geometry import box_axes, boxes_touch
@@ -19,7 +19,7 @@ ROWS = 8000
 BOUNDS, AXES = 1 << 20, 1 << 15
 
 
-def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0, rows: int = ROWS) -> DataFrame:
+def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0, rows: int = ROWS, within: float | None = None) -> DataFrame:
     """group, <key>_a and <key>_b of each pair of boxes of a group that intersect, edges
     included, once, a before b.
 
@@ -32,6 +32,10 @@ def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0, rows:
     first, and axes are looked at only for pairs whose bounds overlap. Cells of more than
     ``rows`` boxes fall into blocks of about so many, each pair of blocks a row of its own.
     Boxes with a null key or group, or a null or non-finite field, touch nothing.
+
+    With ``within`` a few boxes of a group may share a key: two keys then touch, and are
+    reported once, if all boxes of one that overlap a box of the other in height and are
+    nearer to it than that in x and in y intersect it.
     """
     finite = [F.abs(F.col(c).cast("double")) < float("inf") for c in FIELDS]
     told = [F.col(c).isNotNull() for c in (*group, key)]
@@ -39,9 +43,17 @@ def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0, rows:
     cos, sin, l, w = F.abs(F.cos("yaw")), F.abs(F.sin("yaw")), F.abs("length") / 2, F.abs("width") / 2
     half = {"x": cos * l + sin * w, "y": sin * l + cos * w}
     ends = {f"_{c}{side}": F.col(c) + s * (h * (1 + SLACK) + SLACK * (1 + F.abs(c))) for c, h in half.items() for side, s in ((0, -1), (1, 1))}
-    sized = known.withColumns(ends | box_axes(F.col("yaw")))
+    axes = box_axes(F.col("yaw"))
+    sized = known.withColumns(ends | axes)
     side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
     sized = sized.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(side / cell))).cast("int"))
+    fields = [*FIELDS[:-1], *axes, *ends]
+    if within is not None:
+        sharing = Window.partitionBy(*group, "_key")
+        same = F.sort_array(F.collect_list(F.struct(*FIELDS, *axes)).over(sharing))
+        shared = F.count(F.lit(1)).over(sharing) > 1
+        sized = sized.withColumns({"_same": F.when(shared, same), "_own": F.row_number().over(sharing.orderBy(*FIELDS))})
+        fields += ["_same", "_own"]
     levels = sized.agg(F.collect_set("_level").alias("_levels"))  # one row, a few dozen numbers
     place = [*group, "_at", "_c", "_r"]
 
@@ -53,7 +65,6 @@ def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0, rows:
     small = sized.crossJoin(F.broadcast(levels)).withColumn("_up", F.explode(F.filter("_levels", lambda v: v >= F.col("_level")))).drop("_levels")
     small = dealt(small, F.col("_up"))
     full = small.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n")).where("_n > 1")
-    fields = [*FIELDS[:-1], *box_axes(F.col("yaw")), *ends]
 
     def packed(boxes: DataFrame, own: str, other: str, name: str) -> DataFrame:
         """Boxes of a cell and block, once for each block of the other side."""
@@ -69,7 +80,7 @@ def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0, rows:
 
     def meeting(batches):
         for batch in batches:
-            for row, first, second in _meeting(_boxes(batch.column("_small")), _boxes(batch.column("_large"))):
+            for row, first, second in _meeting(_boxes(batch.column("_small")), _boxes(batch.column("_large")), within):
                 yield pa.RecordBatch.from_arrays([*(batch.column(g).take(row) for g in group), first, second], names)
 
     kinds = [known.schema[c].dataType.simpleString() for c in (*group, "_key", "_key")]
@@ -85,20 +96,48 @@ def _boxes(column: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
     return row[order], {name: a.take(pa.array(order)) for name, a in fields.items()}
 
 
-def _meeting(small: tuple, large: tuple):
+def _meeting(small: tuple, large: tuple, within: float | None):
     """Row and both keys of each pair of a row's small and large boxes that intersect."""
-    sides = [{c: a.to_numpy(zero_copy_only=False) for c, a in fields.items() if c != "_key"} for _, fields in (small, large)]
+    sides = [{c: a.to_numpy(zero_copy_only=False) for c, a in fields.items() if c not in ("_key", "_same")} for _, fields in (small, large)]
     keys = pa.concat_arrays([small[1]["_key"], large[1]["_key"]])
     place = (keys if pa.types.is_integer(keys.type) else pc.rank(keys, tiebreaker="dense")).to_numpy()
     n, both = len(small[0]), {c: np.concatenate([side[c] for side in sides]) for c in sides[0]}
+    shared = None if within is None else _Shared(both, pa.concat_arrays([small[1]["_same"], large[1]["_same"]]), within)
     found, waiting = [], 0
     for i, j in _near(small[0], large[0], *sides, place[:n], place[n:]):
         found.append((i, j))
         waiting += len(i)
         if waiting >= AXES:
-            yield from _tested(found, small[0], both, keys, place, n)
+            yield from _tested(found, small[0], both, keys, place, n, shared)
             found, waiting = [], 0
-    yield from _tested(found, small[0], both, keys, place, n)
+    yield from _tested(found, small[0], both, keys, place, n, shared)
+
+
+class _Shared:
+    """Boxes whose key others of their group have too."""
+
+    def __init__(self, both: dict, same: pa.ListArray, within: float):
+        sizes = pc.fill_null(pc.list_value_length(same), 0).to_numpy()
+        others = same.flatten()
+        self.within, self.repeated, self.size, n = within, sizes > 0, np.maximum(sizes, 1), len(sizes)
+        self.start = np.where(self.repeated, n + np.cumsum(sizes) - sizes, np.arange(n))
+        self.own = np.where(self.repeated, both["_own"] - 1, 0)
+        self.all = {f.name: np.concatenate([both[f.name], a.to_numpy()]) for f, a in zip(others.type, others.flatten()) if f.name in both}
+
+    def reported(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which of these intersecting pairs are the first of their keys, all of whose near
+        boxes intersect."""
+        width = self.size[q]
+        count = self.size[p] * width
+        ends = np.cumsum(count)
+        pair, k = np.repeat(np.arange(len(p)), count), np.arange(ends[-1]) - np.repeat(ends - count, count)
+        a, b = ({c: v[at] for c, v in self.all.items()} for at in (self.start[p][pair] + k // width[pair], self.start[q][pair] + k % width[pair]))
+        touch, near = boxes_touch(a, b, np.abs), np.abs(a["z"] - b["z"]) <= (a["height"] + b["height"]) / 2
+        for c in "xy":
+            near &= np.abs(a[c] - b[c]) < self.within
+        near |= touch
+        first = np.minimum.reduceat(np.where(near, k, count[pair]), ends - count)
+        return np.logical_and.reduceat(touch | ~near, ends - count) & (first == self.own[p] * width + self.own[q])
 
 
 def _near(row_a, row_b, a: dict, b: dict, place_a, place_b):
@@ -123,7 +162,7 @@ def _near(row_a, row_b, a: dict, b: dict, place_a, place_b):
             yield i + start, j + two.start
 
 
-def _tested(found: list, row, both: dict, keys: pa.Array, place, n: int):
+def _tested(found: list, row, both: dict, keys: pa.Array, place, n: int, shared: _Shared | None):
     """Of near pairs those that intersect, the box with the lesser key first."""
     i, j = (np.concatenate([pair[k] for pair in found] or [np.zeros(0, int)]) for k in (0, 1))
     fields = [c for c in both if not c.startswith("_")]
@@ -132,6 +171,10 @@ def _tested(found: list, row, both: dict, keys: pa.Array, place, n: int):
         lesser = place[a] < place[b]
         p, q = np.where(lesser, a, b), np.where(lesser, b, a)
         touch = boxes_touch(*({c: both[c][at] for c in fields} for at in (p, q)), np.abs) & (place[p] != place[q])
+        if shared is not None:
+            doubtful = np.flatnonzero(touch & (shared.repeated[p] | shared.repeated[q]))
+            if len(doubtful):
+                touch[doubtful] = shared.reported(p[doubtful], q[doubtful])
         yield pa.array(row[a[touch]]), keys.take(pa.array(p[touch])), keys.take(pa.array(q[touch]))
 
 
