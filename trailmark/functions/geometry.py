@@ -64,9 +64,9 @@ def bicycle_step(x: Column, y: Column, yaw: Column, speed: Column, steer: Column
     return x + speed * F.cos(yaw + slip) * dt, y + speed * F.sin(yaw + slip) * dt, yaw + speed / rear * F.sin(slip) * dt, F.greatest(F.lit(0.0), speed + accel * dt)
 
 
-def box_axes(yaw: Column) -> dict[str, Column]:
-    """The directions that boxes_touch needs of a box, worked out once a box."""
-    return {f"{n}{i}": f(yaw + turn) for i, turn in enumerate((0.0, math.pi / 2)) for n, f in (("cos", F.cos), ("sin", F.sin))}
+def box_axes(yaw, by=F) -> dict:
+    """The directions that boxes_touch needs of a box, worked out once a box; by is np for arrays."""
+    return {f"{n}{i}": getattr(by, n)(yaw + turn) for i, turn in enumerate((0.0, math.pi / 2)) for n in ("cos", "sin")}
 
 
 def boxes_touch(a: dict, b: dict, absolute=F.abs):

@@ -40,20 +40,16 @@ def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0, rows:
     finite = [F.abs(F.col(c).cast("double")) < float("inf") for c in FIELDS]
     told = [F.col(c).isNotNull() for c in (*group, key)]
     known = df.select(*group, F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in FIELDS], F.array_min(F.array(*told, *[F.coalesce(f, F.lit(False)) for f in finite])).alias("_ok")).where("_ok").drop("_ok")
-    cos, sin, l, w = F.abs(F.cos("yaw")), F.abs(F.sin("yaw")), F.abs("length") / 2, F.abs("width") / 2
-    half = {"x": cos * l + sin * w, "y": sin * l + cos * w}
-    ends = {f"_{c}{side}": F.col(c) + s * (h * (1 + SLACK) + SLACK * (1 + F.abs(c))) for c, h in half.items() for side, s in ((0, -1), (1, 1))}
-    axes = box_axes(F.col("yaw"))
-    sized = known.withColumns(ends | axes)
-    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
-    sized = sized.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(side / cell))).cast("int"))
-    fields = [*FIELDS[:-1], *axes, *ends]
+    fields = list(FIELDS)
     if within is not None:
         sharing = Window.partitionBy(*group, "_key")
-        same = F.sort_array(F.collect_list(F.struct(*FIELDS, *axes)).over(sharing))
+        same = F.sort_array(F.collect_list(F.struct(*FIELDS)).over(sharing))
         shared = F.count(F.lit(1)).over(sharing) > 1
-        sized = sized.withColumns({"_same": F.when(shared, same), "_own": F.row_number().over(sharing.orderBy(*FIELDS))})
+        known = known.withColumns({"_same": F.when(shared, same), "_own": F.row_number().over(sharing.orderBy(*FIELDS))})
         fields += ["_same", "_own"]
+    sized = known.withColumns(_ends({c: F.col(c) for c in FIELDS}, F))
+    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    sized = sized.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(side / cell))).cast("int"))
     levels = sized.agg(F.collect_set("_level").alias("_levels"))  # one row, a few dozen numbers
     place = [*group, "_at", "_c", "_r"]
 
@@ -87,22 +83,33 @@ def touching(df: DataFrame, group: list[str], key: str, cell: float = 4.0, rows:
     return met.mapInArrow(meeting, ", ".join(f"`{n}` {kind}" for n, kind in zip(names, kinds)))
 
 
-def _boxes(column: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    """The row of each box of a column of arrays, and the boxes' fields, by row and _y0."""
+def _ends(box: dict, by) -> dict:
+    """A box's bounds, a little wide; by is F for columns and np for arrays."""
+    cos, sin, l, w = by.abs(by.cos(box["yaw"])), by.abs(by.sin(box["yaw"])), by.abs(box["length"]) / 2, by.abs(box["width"]) / 2
+    half = {"x": cos * l + sin * w, "y": sin * l + cos * w}
+    return {f"_{c}{side}": box[c] + s * (h * (1 + SLACK) + SLACK * (1 + by.abs(box[c]))) for c, h in half.items() for side, s in ((0, -1), (1, 1))}
+
+
+def _boxes(column: pa.ListArray) -> tuple[np.ndarray, dict, dict]:
+    """The row of each box of a column of arrays, the boxes' numbers and their other fields, by
+    row and _y0."""
     sizes, boxes = pc.list_value_length(column).to_numpy(), column.flatten()
     row = np.repeat(np.arange(len(sizes)), sizes)
     fields = {f.name: a for f, a in zip(boxes.type, boxes.flatten())}
-    order = np.lexsort((fields["_y0"].to_numpy(), row))
-    return row[order], {name: a.take(pa.array(order)) for name, a in fields.items()}
+    other = {c: fields.pop(c) for c in ("_key", "_same") if c in fields}
+    numbers = {c: a.to_numpy(zero_copy_only=False) for c, a in fields.items()}
+    numbers |= _ends(numbers, np)
+    order = np.lexsort((numbers["_y0"], row))
+    return row[order], {c: v[order] for c, v in numbers.items()}, {c: a.take(pa.array(order)) for c, a in other.items()}
 
 
 def _meeting(small: tuple, large: tuple, within: float | None):
     """Row and both keys of each pair of a row's small and large boxes that intersect."""
-    sides = [{c: a.to_numpy(zero_copy_only=False) for c, a in fields.items() if c not in ("_key", "_same")} for _, fields in (small, large)]
-    keys = pa.concat_arrays([small[1]["_key"], large[1]["_key"]])
+    sides, keys = [small[1], large[1]], pa.concat_arrays([small[2]["_key"], large[2]["_key"]])
     place = (keys if pa.types.is_integer(keys.type) else pc.rank(keys, tiebreaker="dense")).to_numpy()
     n, both = len(small[0]), {c: np.concatenate([side[c] for side in sides]) for c in sides[0]}
-    shared = None if within is None else _Shared(both, pa.concat_arrays([small[1]["_same"], large[1]["_same"]]), within)
+    both |= box_axes(both["yaw"], np)
+    shared = None if within is None else _Shared(both, pa.concat_arrays([small[2]["_same"], large[2]["_same"]]), within)
     found, waiting = [], 0
     for i, j in _near(small[0], large[0], *sides, place[:n], place[n:]):
         found.append((i, j))
@@ -122,7 +129,8 @@ class _Shared:
         self.within, self.repeated, self.size, n = within, sizes > 0, np.maximum(sizes, 1), len(sizes)
         self.start = np.where(self.repeated, n + np.cumsum(sizes) - sizes, np.arange(n))
         self.own = np.where(self.repeated, both["_own"] - 1, 0)
-        self.all = {f.name: np.concatenate([both[f.name], a.to_numpy()]) for f, a in zip(others.type, others.flatten()) if f.name in both}
+        boxes = {f.name: np.concatenate([both[f.name], a.to_numpy()]) for f, a in zip(others.type, others.flatten())}
+        self.all = boxes | box_axes(boxes["yaw"], np)
 
     def reported(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Which of these intersecting pairs are the first of their keys, all of whose near
@@ -165,7 +173,7 @@ def _near(row_a, row_b, a: dict, b: dict, place_a, place_b):
 def _tested(found: list, row, both: dict, keys: pa.Array, place, n: int, shared: _Shared | None):
     """Of near pairs those that intersect, the box with the lesser key first."""
     i, j = (np.concatenate([pair[k] for pair in found] or [np.zeros(0, int)]) for k in (0, 1))
-    fields = [c for c in both if not c.startswith("_")]
+    fields = [c for c in both if not c.startswith("_") and c != "yaw"]
     for start in range(0, len(i), AXES):
         a, b = i[start : start + AXES], j[start : start + AXES] + n
         lesser = place[a] < place[b]
