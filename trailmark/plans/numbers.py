@@ -201,4 +201,4 @@ def touching_boxes(load):
         "width": 1 + F.col("l_discount") * 20, "height": F.lit(1.5), "yaw": F.col("l_orderkey") % 7 * 0.9,
     }
     b = load("lineitem").where("l_returnflag = 'R'").select((F.col("l_suppkey") % 20).alias("scene"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("box"), *[c.alias(n) for n, c in fields.items()])
-    return boxes.touching(b, ["scene"], "box", within=12.0)
+    return boxes.touching(b, ["scene"], "box", cell=12.0, within=12.0)
